@@ -1,3 +1,67 @@
-ORACLE_SQL=None
-run=None
-STAGES=[]
+"""A corpus pipeline over documents: language ID, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridscore.llm import decontaminate, language_id, line_dedup, packing, simhash
+from gridscore.llm.common import shared_dir, table
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null texts and texts without letters) go. The languages are learned from docs itself."""
+    found = language_id.identify(docs, language_id.fit(docs), out="__language")
+    return found.where(F.col("__language.lang") != "und").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents hold stay in the last one only; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).withColumn("text", F.array_join("__kept", "\n"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component stays; rows without an id stay."""
+    found = simhash.near_duplicates(docs).where("doc_id = component").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found.hint("merge"), docs["doc_id"] == F.col("__id"), "left").where("doc_id IS NULL OR __id IS NOT NULL").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one word in twenty or more lies in benchmark windows go."""
+    found = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark"), out="__matches")
+    return found.where(~decontaminate.is_contaminated(F.col("__matches"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in batches of like length."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Fingerprint components and the packing program are beyond SQL; tests/llm compares run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

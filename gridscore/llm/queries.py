@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridscore.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash
+from gridscore.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup
 from gridscore.llm.common import table
 
 QUERIES = {
     "op1_chat_format": lambda spark, sf_dir: chat_format.digest(table(spark, sf_dir, "conversations")),
     "op2_language_id": lambda spark, sf_dir: language_id.digest(table(spark, sf_dir, "documents")),
+    "op3_suffix_dedup": lambda spark, sf_dir: suffix_dedup.digest(table(spark, sf_dir, "documents")),
     "op4_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
     "op5_quality_classifier": lambda spark, sf_dir: quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_quality_rules": lambda spark, sf_dir: quality_rules.digest(table(spark, sf_dir, "documents")),

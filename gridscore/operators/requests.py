@@ -21,7 +21,7 @@ def match_models(models: DataFrame, targets: DataFrame) -> DataFrame:
     """
     pats = targets.select("id", F.explode(F.when(F.col("model_tag").isNotNull(), F.array("model_tag")).otherwise(F.col("model_patterns"))).alias("pattern"), F.col("model_tag").isNotNull().alias("exact"))
     pats = pats.withColumn("rule", F.when(~F.col("exact"), glob_regex(F.lower("pattern"))))
-    hit = F.when(F.col("exact"), F.col("tag") == F.col("pattern")).otherwise(F.lower("tag").rlike(F.col("rule")))
+    hit = F.when(F.col("exact"), F.col("tag") == F.col("pattern")).otherwise(F.rlike(F.lower("tag"), F.col("rule")))
     found = models.join(F.broadcast(pats), hit).groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("installed"))
     out = targets.select("id").join(found, "id", "left")
     return out.select("id", F.coalesce("installed", F.array().cast("array<string>")).alias("installed"), F.when(F.col("installed").isNotNull(), "available").otherwise("not_installed").alias("status"))

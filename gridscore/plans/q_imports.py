@@ -1 +1,268 @@
-ENTRIES = {}
+"""Queries of sources, sinks, imports, reports and streams over data derived from the tables; files are written to the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from gridscore.operators import ingest, scoring
+from gridscore.operators.shred import grid_cells, shred_tables
+from gridscore.plans.derive import PAIRS_SQL, predictions, responses, samples, table
+from gridscore.sources import files, imports
+from gridscore.sources.schemas import SAMPLE, TOKENS
+from gridscore.streaming.latest import last_snapshot, stream_latest, stream_summaries
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the folder that the session shares with its executors."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="gridscore-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def with_pairs(sql: str) -> str:
+    return f"WITH {PAIRS_SQL} {sql}"
+
+
+def _samples(spark, d):
+    return samples(spark, d).select("dataset", "sample_id", "image", "gt_html", "meta")
+
+
+def _sample_files(spark, d):
+    at = scratch(spark, "samples")
+    files.write_jsonl(_samples(spark, d), at)
+    return at
+
+
+_SAMPLES_SQL = "SELECT dataset, sample_id, 'tables/' || sample_id || '.png' AS image, CAST(6 * (n + 1) AS INTEGER) AS n_elements FROM (SELECT DISTINCT dataset, sample_id, n FROM mode)"
+
+
+def _sized(df):
+    return shred_tables(df.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").select("dataset", "sample_id", "image", "g.n_elements")
+
+
+def q_jsonl(spark, d):
+    return _sized(files.read_jsonl(spark, _sample_files(spark, d), SAMPLE).unionByName(files.read_jsonl(spark, scratch(spark, "absent"), SAMPLE)))
+
+
+def q_samples(spark, d):
+    return _sized(files.read_samples(spark, _sample_files(spark, d), "orders_1"))
+
+
+def _annotations(spark, d):
+    """One annotated table for each order: its line numbers in a row, a closer too many on every third."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("n"))
+    cell = F.array(F.lit("<td>"), F.lit("</td>"))
+    count = F.size("n") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)
+    tokens = F.concat(F.array(F.lit("<tr>")), F.flatten(F.array_repeat(cell, count)), F.array(F.lit("</tr>")))
+    cells = F.transform("n", lambda x: F.struct(F.array(F.lit("<b>"), x.cast("string"), F.lit("</b>")).alias("tokens")))
+    split = F.when(F.col("l_orderkey") % 2 == 0, "val").otherwise("train")
+    name = F.concat(F.col("l_orderkey").cast("string"), F.lit(".png"))
+    return li.select(name.alias("filename"), split.alias("split"), F.col("l_orderkey").alias("imgid"), F.struct(F.struct(tokens.alias("tokens")).alias("structure"), cells.alias("cells")).alias("html"))
+
+
+def _image_names(spark, d):
+    """Images of all orders but every fifth, and of as many that no one annotated."""
+    o = table(spark, d, "orders").select("o_orderkey").where("o_orderkey % 5 <> 0")
+    name = F.concat(F.col("o_orderkey").cast("string"), F.lit(".png"))
+    return o.select(name.alias("name")).union(o.select(F.concat(F.lit("x"), name).alias("name")))
+
+
+def q_annotations(spark, d):
+    at = scratch(spark, "annotations")
+    files.write_jsonl(_annotations(spark, d), at)
+    return imports.token_samples(files.read_jsonl(spark, at, TOKENS), _image_names(spark, d), "pubs").select("dataset", "sample_id", "image", "gt_html", F.col("meta")["missing_image"].alias("missing"))
+
+
+_TOKEN_SQL = """WITH l AS (SELECT l_orderkey AS k, string_agg('<td><b>' || l_linenumber || '</b></td>', '' ORDER BY l_linenumber) AS body FROM lineitem GROUP BY l_orderkey)
+SELECT {cols} FROM l LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = k {where}"""
+_TOKEN_HTML = "'<html><body><table><tr>' || body || CASE WHEN k % 3 = 0 THEN '<td></td>' ELSE '' END || '</tr></table></body></html>'"
+
+
+def q_tokens(spark, d):
+    a = _annotations(spark, d)
+    return a.select("imgid", imports.tokens_to_html(F.col("html.structure.tokens"), F.col("html.cells")).alias("html"))
+
+
+def q_reconcile(spark, d):
+    out = imports.reconcile_inventory(_annotations(spark, d).select(F.col("filename").alias("name")), _image_names(spark, d))
+    return out.select("gt_count", "image_count", F.size("missing_images").alias("missing"), F.size("extra_images").alias("extra"), F.col("missing_images")[0].alias("first_missing"), F.element_at("extra_images", -1).alias("last_extra"))
+
+
+_RECONCILE_SQL = """WITH a AS (SELECT DISTINCT l_orderkey || '.png' AS name FROM lineitem), o AS (SELECT o_orderkey || '.png' AS name FROM orders WHERE o_orderkey % 5 <> 0), i AS (SELECT name FROM o UNION SELECT 'x' || name FROM o),
+m AS (SELECT name FROM a EXCEPT SELECT name FROM i), x AS (SELECT name FROM i EXCEPT SELECT name FROM a)
+SELECT (SELECT count(*) FROM a) AS gt_count, (SELECT count(*) FROM i) AS image_count, (SELECT CAST(count(*) AS INTEGER) FROM m) AS missing, (SELECT CAST(count(*) AS INTEGER) FROM x) AS extra, (SELECT min(name) FROM m) AS first_missing, (SELECT max(name) FROM x) AS last_extra"""
+
+
+def q_manifest(spark, d):
+    """A manifest of all pages; every third image and every fifth truth is missing."""
+    p = table(spark, d, "pages").select("page_id")
+    key = F.col("page_id").cast("string")
+    m = p.select(F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("tables/"), key, F.lit(".png")).alias("image"), F.concat(F.lit("gt/"), key, F.lit(".html")).alias("gt"), F.lit("crawl").alias("source"), "page_id")
+    images, truths = m.where("page_id % 3 <> 0").select("image"), m.where("page_id % 5 <> 0").select("gt", F.concat(F.lit("<table><tr><td>"), "id", F.lit("</td></tr></table>")).alias("value"))
+    good = imports.manifest_samples(m, images, truths, "bench", "r1").select("sample_id", "gt_html", F.lit("usable").alias("state"))
+    return good.union(imports.manifest_missing(m, images, truths).select("missing", F.lit(None).cast("string"), F.lit("missing")))
+
+
+_MANIFEST_SQL = "SELECT 'p' || page_id AS sample_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN '<table><tr><td>p' || page_id || '</td></tr></table>' END AS gt_html, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'usable' ELSE 'missing' END AS state FROM pages"
+
+
+def q_page_pairs(spark, d):
+    """Pages made of the crawled ones: an image for each list item, a table for each paragraph."""
+    p = table(spark, d, "pages")
+    html = F.regexp_replace(F.regexp_replace("html", "(?s)<li>.*?</li>", '<img src="i.png">'), "(?s)<p>(.*?)</p>", "<table><tr><td>x</td></tr></table>")
+    suffix = F.element_at(F.array(F.lit(".html"), F.lit(".htm"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int"))
+    out = imports.page_pairs(p.select(F.concat(F.lit("d/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), suffix).alias("path"), html.alias("value")), "web")
+    return out.select("sample_id", "image", "gt_html", F.col("meta")["source_file"].alias("source_file"), F.col("meta")["source_index"].alias("source_index"))
+
+
+_PAGES_SQL = """WITH p AS (SELECT page_id, len(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS li, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>')) AS pa FROM pages), n AS (SELECT page_id, page_id % 3 AS rank, least(li, pa) AS n FROM p),
+x AS (SELECT page_id, rank, unnest(range(n)) AS i FROM n), y AS (SELECT *, row_number() OVER (ORDER BY rank, page_id, i) - 1 AS num FROM x)
+SELECT 'web_' || CASE WHEN num < 10000 THEN lpad(CAST(num AS VARCHAR), 4, '0') ELSE CAST(num AS VARCHAR) END AS sample_id, 'i.png' AS image, '<html><body><table><tr><td>x</td></tr></table></body></html>' AS gt_html,
+ 'd/' || lpad(CAST(page_id AS VARCHAR), 9, '0') || ['.html', '.htm', '.txt'][CAST(rank + 1 AS INTEGER)] AS source_file, CAST(i AS VARCHAR) AS source_index FROM y"""
+
+
+def q_paired(spark, d):
+    """Images of three suffixes with the truth of the same stem; every fourth truth is markdown, every seventh is missing."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("s"))
+    suffix = F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".gif")), (F.col("k") % 3 + 1).cast("int"))
+    images = p.select(F.concat(F.lit("im/"), "s", suffix).alias("path"))
+    value = F.when(F.col("k") % 4 == 0, F.concat(F.lit("|a|b|\n|---|---|\n|"), "s", F.lit("|1|"))).otherwise(F.concat(F.lit("<p>t</p><table><tr><td>"), "s", F.lit("</td></tr></table>")))
+    out = imports.paired_samples(images, p.where("k % 7 <> 0").select(F.concat(F.lit("gt/"), "s", F.lit(".html")).alias("path"), value.alias("value")), "pairs")
+    return out.select("sample_id", "image", "gt_html")
+
+
+_PAIRED_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 'im/' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.png' ELSE '.JPG' END AS image,
+ CASE WHEN p_partkey % 4 = 0 THEN '<html><body><table><tr><th>a</th><th>b</th></tr><tr><td>' || p_partkey || '</td><td>1</td></tr></table></body></html>' ELSE '<html><body><table><tr><td>' || p_partkey || '</td></tr></table></body></html>' END AS gt_html
+ FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 3 <> 2"""
+
+
+def q_items(spark, d):
+    """A payload for each supplier, an object or a bare list; blank fields fall through."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name"))
+    html = F.concat(F.lit("<table><tr><td>"), "s_name", F.lit("</td></tr></table>"))
+    null = F.lit(None).cast("string")
+    item = F.struct(F.when(F.col("k") % 3 != 0, F.concat(F.lit("s"), F.col("k").cast("string"))).alias("id"), F.when(F.col("k") % 2 == 0, "").alias("gt_html"), html.alias("table_html"), F.when(F.col("k") % 5 == 0, null).otherwise("a.png").alias("src"))
+    body = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.array(item).alias("items")))).otherwise(F.to_json(F.array(item)))
+    out = imports.item_samples(imports.exploded_items(s.select(body.alias("body"))), "items")
+    return out.select("sample_id", "image", "gt_html")
+
+
+_ITEMS_SQL = "SELECT CASE WHEN s_suppkey % 3 <> 0 THEN 's' || s_suppkey ELSE 'items_0000' END AS sample_id, 'a.png' AS image, '<html><body><table><tr><td>' || s_name || '</td></tr></table></body></html>' AS gt_html FROM supplier WHERE s_suppkey % 5 <> 0"
+
+
+def q_manifest_report(spark, d):
+    return files.write_dataset(_samples(spark, d), scratch(spark, "dataset"), "html:orders")
+
+
+def q_data_report(spark, d):
+    r = imports.data_report(_samples(spark, d))
+    return r.select("dataset", "sample_count", F.md5(F.array_join("sample_ids", ",")).alias("ids"))
+
+
+def q_csv(spark, d):
+    """Scores through a CSV file with a byte order mark and back."""
+    truth = samples(spark, d)
+    s = scoring.score_runs(truth, predictions(spark, d, truth)).select("dataset", "run_id", "sample_id", "teds", "numeric_cells_total", "seconds", "run_ok")
+    at = scratch(spark, "scores")
+    files.write_csv(s, at)
+    back = files.read_csv(spark, at, "dataset string, run_id string, sample_id string, teds double, numeric_cells_total int, seconds double, run_ok boolean")
+    return back.withColumn("teds", F.round("teds", 9))
+
+
+def q_normalize_summary(spark, d):
+    """Old headers, as a file would have them."""
+    o = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    old = o.select(F.lit("orders").alias("dataset"), F.col("o_orderstatus").alias("model_parser"), F.col("n").cast("string").alias("tables"), F.lit("").alias("TEDS ↑"), F.lit("x").alias("note"))
+    return scoring.normalize_summary(old)
+
+
+def q_union_rows(spark, d):
+    """Rows of three tables under the union of their columns."""
+    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return files.union_rows(c, s, n)
+
+
+def q_ingest(spark, d):
+    """Chat bodies on even regions, generate bodies on odd ones; failed calls have none."""
+    r = responses(spark, d)
+    null = F.lit(None).cast("string")
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    body = F.when(F.col("text").isNull(), null).when(F.col("k") % 2 == 0, chat).otherwise(F.to_json(F.struct(F.lit(" ").alias("response"), F.col("text").alias("thinking"))))
+    rows = r.select("dataset", "run_id", "sample_id", "seq", F.when(F.col("k") % 2 == 0, "chat").otherwise("generate").alias("kind"), body.alias("body"), "seconds", F.when(F.col("text").isNull(), "timeout").alias("error"))
+    out = ingest.ingest_responses(rows)
+    return out.groupBy("dataset", "run_id").agg(F.count_if("run_ok").alias("run_ok"), F.count_if("conversion_ok").alias("conversion_ok"), F.count_if(F.col("error") == "timeout").alias("timeouts"), F.sum("removed_caption_note_rows").alias("removed"))
+
+
+def q_reconvert(spark, d):
+    """Stored predictions whose raw text is converted again; those without stay."""
+    r = responses(spark, d)
+    p = r.select("dataset", "run_id", "sample_id", "mode", F.col("seq").cast("string").alias("raw_path"), F.lit("").alias("html"), F.lit(False).alias("conversion_ok"), F.lit("old").alias("error"))
+    out = ingest.reconvert(p, r.where("text IS NOT NULL AND mode <> 4").select(F.col("seq").cast("string").alias("raw_path"), F.col("text").alias("value")))
+    return out.groupBy("run_id", "mode").agg(F.count("*").alias("rows"), F.count_if("conversion_ok").alias("converted"), F.count_if(F.col("error") == "old").alias("kept"))
+
+
+def _arrivals(spark, d):
+    """Events as prediction rows that arrive in three files, out of order."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("run_id"), F.lit("s").alias("sample_id"), F.col("event_id").alias("seq"), "value")
+    at = scratch(spark, "arrivals")
+    for k in (2, 0, 1):
+        e.where(F.col("seq") % 3 == k).write.mode("append").parquet(at)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(at)
+
+
+def q_stream_latest(spark, d):
+    path = scratch(spark, "latest")
+    query = stream_latest(_arrivals(spark, d), path, scratch(spark, "progress"))
+    query.awaitTermination()
+    return last_snapshot(spark, path, query).select("dataset", "run_id", "seq", "value")
+
+
+def q_stream_leaderboard(spark, d):
+    s = _arrivals(spark, d).select("dataset", "run_id", F.col("run_id").alias("sample_id"), "seq", *[F.col("value").alias(c) for c in ("teds", "teds_s", "cell_f1", "seconds")], F.lit(1).alias("numeric_cells_correct"), F.lit(2).alias("numeric_cells_total"), F.lit(False).alias("run_failure"), F.lit(False).alias("conversion_failure"))
+    path = scratch(spark, "board")
+    query = stream_summaries(s, path, scratch(spark, "progress"))
+    query.awaitTermination()
+    return last_snapshot(spark, f"{path}/summaries", query).select("dataset", "run_id", "tables", F.round("teds", 9).alias("teds"), "numeric_cell_accuracy")
+
+
+_LAST = "SELECT event_type AS dataset, CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1"
+
+
+def q_prepare(spark, d):
+    """Samples of each dataset: a fixed draw of twenty, and the report on them."""
+    from gridscore.operators.upsert import fixed_sample
+
+    s = _samples(spark, d)
+    out = fixed_sample(s.where("dataset = 'orders_1'"), 20, 20260917).unionByName(fixed_sample(s.where("dataset = 'orders_2'"), 20, 20260917))
+    r = imports.data_report(out)
+    return r.select("dataset", "sample_count", F.array_join("sample_ids", ",").alias("ids"))
+
+
+ENTRIES = {
+    "src_jsonl_roundtrip": (q_jsonl, with_pairs(_SAMPLES_SQL)),
+    "src_samples": (q_samples, with_pairs(_SAMPLES_SQL + " WHERE dataset = 'orders_1'")),
+    "src_token_annotations": (q_annotations, _TOKEN_SQL.format(cols=f"'pubs' AS dataset, CAST(k AS VARCHAR) AS sample_id, k || '.png' AS image, {_TOKEN_HTML} AS gt_html, CASE WHEN o_orderkey IS NULL THEN 'true' ELSE 'false' END AS missing", where="WHERE k % 2 = 0")),
+    "tokens_to_html": (q_tokens, _TOKEN_SQL.format(cols=f"k AS imgid, {_TOKEN_HTML} AS html", where="")),
+    "reconcile_inventory": (q_reconcile, _RECONCILE_SQL),
+    "src_manifest": (q_manifest, _MANIFEST_SQL),
+    "import_page_pairs": (q_page_pairs, _PAGES_SQL),
+    "import_paired": (q_paired, _PAIRED_SQL),
+    "import_items": (q_items, _ITEMS_SQL),
+    "import_manifest_report": (q_manifest_report, with_pairs("SELECT dataset, count(DISTINCT sample_id) AS sample_count, 'html:orders' AS source FROM mode GROUP BY dataset")),
+    "prepare_datasets": (q_prepare, with_pairs(", o AS (SELECT DISTINCT dataset, sample_id FROM mode WHERE dataset IN ('orders_1', 'orders_2')), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('20260917:' || sample_id), sample_id) AS n FROM o) SELECT dataset, count(*) AS sample_count, string_agg(sample_id, ',' ORDER BY sample_id) AS ids FROM r WHERE n <= 20 GROUP BY dataset")),
+    "data_report": (q_data_report, with_pairs(", o AS (SELECT DISTINCT dataset, sample_id FROM mode) SELECT dataset, count(*) AS sample_count, md5(string_agg(sample_id, ',' ORDER BY sample_id)) AS ids FROM o GROUP BY dataset")),
+    "src_csv_scores": (q_csv, with_pairs("SELECT dataset, run_id, sample_id, round(teds, 9) AS teds, CAST(num_total AS INTEGER) AS numeric_cells_total, seconds, ran AS run_ok FROM scored")),
+    "normalize_summary": (q_normalize_summary, "SELECT 'orders' AS dataset, o_orderstatus AS run_id, CAST(count(*) AS VARCHAR) AS tables, CAST(NULL AS VARCHAR) AS teds, 'x' AS note FROM orders GROUP BY o_orderstatus"),
+    "sink_csv_scores": (q_union_rows, "SELECT c_name AS name, c_acctbal AS balance, CAST(NULL AS INTEGER) AS nation FROM customer UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier UNION ALL SELECT n_name, NULL, NULL FROM nation"),
+    "ingest_responses": (q_ingest, with_pairs("SELECT dataset, run_id, count(*) FILTER (WHERE ran) AS run_ok, count(*) FILTER (WHERE conv) AS conversion_ok, count(*) FILTER (WHERE NOT ran) AS timeouts, CAST(sum(CASE WHEN mode = 7 THEN 3 WHEN ran THEN 0 END) AS BIGINT) AS removed FROM pair GROUP BY dataset, run_id")),
+    "reconvert_run": (q_reconvert, with_pairs("SELECT run_id, mode, count(*) AS rows, count(*) FILTER (WHERE conv AND mode <> 4) AS converted, count(*) FILTER (WHERE mode IN (0, 4)) AS kept FROM pair GROUP BY run_id, mode")),
+    "stream_latest": (q_stream_latest, _LAST),
+    "stream_leaderboard": (q_stream_leaderboard, f"WITH l AS ({_LAST}) SELECT dataset, run_id, count(*) AS tables, round(avg(value), 9) AS teds, 0.5::DOUBLE AS numeric_cell_accuracy FROM l GROUP BY dataset, run_id"),
+}

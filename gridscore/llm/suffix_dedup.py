@@ -20,7 +20,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,23 +248,47 @@ def _cut(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs: (doc binary, text binary), doc unique. (doc, start, stop) ranges whose union is what repeats cover."""
+def _windows(length: int):
+    """mapInArrow over the same rows as _resolve: a row for each window, (gram, digest, doc, at); doc is null where the context is known."""
+    schema = pa.schema([("gram", pa.int64()), ("digest", pa.int64()), ("doc", pa.binary()), ("at", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for gram, doc, first, offset, text, known in zip(*[c.to_pylist() for c in batch.columns]):
+                n = len(text) - length + 1
+                digests = [xxhash.xxh3_64_intdigest(text[k : k + length], offset - k) - (1 << 63) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array(digests, pa.int64()), pa.array([None if known else doc] * n, pa.binary()), pa.array(range(first, first + n), pa.int64())], schema=schema)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, max_group: int = 20_000) -> DataFrame:
+    """docs: (doc binary, text binary), doc unique. (doc, start, stop) ranges whose union is what repeats cover.
+
+    Distinct contexts of one gram are held by one task, up to max_group of them; the windows of more than that are counted by digest
+    instead, with map-side combining, and joined back, which splits a hot gram over all tasks.
+    """
     session = docs.sparkSession
     n = int(session.conf.get("spark.sql.shuffle.partitions"))
     anchors = stored(docs.mapInArrow(_anchors(length), "doc binary, gram long, whole long, first long, windows int, offset int"), "anchors")
-    kinds = anchors.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first")).alias("one"))
+    me = F.xxhash64("doc", "first")
+    kinds = anchors.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(me).alias("one"))
     grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
     known = stored(kinds.join(grams.hint("merge"), "gram").select("gram", "whole", "n", "kinds", "one"), "kinds")
     met = anchors.join(known.hint("merge"), ["gram", "whole"])
     whole = met.where("n > 1").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("windows") + length - 1).alias("stop"))
-    needed = met.where((F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("one.doc") == F.col("doc")) & (F.col("one.first") == F.col("first")))))
-    needed = needed.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "windows", "offset", (F.col("n") > 1).alias("known"))).alias("needed"))
+    needed = met.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == me)))
+    needed = needed.groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "windows", "offset", (F.col("n") > 1).alias("known"), (F.col("kinds") > max_group).alias("hot"))).alias("needed"))
     cut = docs.join(needed.hint("merge"), "doc").select("doc", "text", F.explode("needed").alias("c"))
     bytes_of = F.substring(F.col("text"), (F.col("c.first") + 1).cast("int"), F.col("c.windows") + (length - 1))
-    rows = cut.select("c.gram", "doc", "c.first", "c.offset", bytes_of.alias("bytes"), "c.known")
-    resolved = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), SPANS)
-    return whole.union(resolved)
+    rows = cut.select("c.gram", "doc", "c.first", "c.offset", bytes_of.alias("bytes"), "c.known", "c.hot")
+    resolved = rows.where("NOT hot").drop("hot").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), SPANS)
+    if known.where(F.col("kinds") > max_group).isEmpty():
+        return whole.union(resolved)
+    windows = rows.where("hot").drop("hot").mapInArrow(_windows(length), "gram long, digest long, doc binary, at long")
+    twice = windows.groupBy("gram", "digest").count().where("count > 1").select("gram", "digest")
+    counted = windows.where("doc IS NOT NULL").join(twice.hint("merge"), ["gram", "digest"]).select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+    return whole.union(resolved).union(counted)
 
 
 RESULT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
@@ -285,24 +309,30 @@ def _keep(with_text: bool):
     return keep
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
+def _names(rows: DataFrame, nth: Column, mark: Column) -> DataFrame:
+    """(doc, text): names that hold the number among copies, a mark of the text, and the id, in bytes."""
+    kind = F.when(F.col("__id").isNull(), "n").otherwise("i")
+    name = F.concat(kind, F.lit("|"), nth, F.lit("|"), mark, F.lit("|"), F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    return rows.select(name.cast("binary").alias("doc"), "text")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = True, max_group: int = 20_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256), one row per row of docs; the id column keeps its name.
 
     Null texts are empty. Rows with equal ids and equal texts are copies of each other, like any two rows: each row is a text of its own,
-    numbered within its id and text. Texts shorter than `length` lose nothing.
+    numbered within its id and text. Texts shorter than `length` lose nothing. An empty table gives an empty table.
     """
-    from pyspark.sql import Window
-
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    # an id of its own for each row, the same whenever the input is read: ids are unique as a rule, and repeats are numbered apart
-    repeats = rows.groupBy("__id").count().where("count > 1 OR __id IS NULL")
-    own = rows.select("__id", F.concat(F.lit("i"), F.coalesce(F.col("__id").cast("string"), F.lit("-"))).cast("binary").alias("doc"), "text")
-    if not repeats.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy("text"))
-        own = stored(rows.withColumn("__n", nth).select("__id", F.concat_ws("-", F.lit("r"), F.col("__id").cast("string"), F.md5("text"), "__n").cast("binary").alias("doc"), "text"), "rows")
-    found = repeated_spans(own.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    if rows.groupBy("__id").count().where("count > 1").isEmpty():
+        own = _names(rows, F.lit("1"), F.lit(""))
+    else:  # ids that repeat: copies are numbered once, and the numbers stored
+        nth = F.row_number().over(Window.partitionBy("__id", F.md5("text")).orderBy("text"))
+        own = stored(_names(rows.withColumn("__n", nth), F.col("__n").cast("string"), F.md5("text")), "rows")
+    found = repeated_spans(own, length, max_group).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = own.join(found.hint("merge"), "doc", "left").withColumn("__r", _keep(with_text)(F.col("text"), F.col("spans")))
-    return joined.select(F.col("__id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "__r.n_removed", "__r.n_spans", "__r.kept", "__r.kept_sha256")
+    name = F.col("doc").cast("string")
+    own_id = F.when(name.startswith("i"), F.regexp_extract(name, r"(?s)^[^|]*\|[^|]*\|[^|]*\|(.*)$", 1)).cast(docs.schema[id_col].dataType)
+    return joined.select(own_id.alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "__r.n_removed", "__r.n_spans", "__r.kept", "__r.kept_sha256")
 
 
 def digest(docs: DataFrame) -> DataFrame:

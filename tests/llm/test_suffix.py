@@ -45,13 +45,13 @@ def planted(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_planted(spark, seed):
-    from gridscore.llm.suffix_dedup import digest
+@pytest.mark.parametrize("seed, max_group", [(1, 20_000), (2, 20_000), (2, 3)])
+def test_planted(spark, seed, max_group):
+    from gridscore.llm.suffix_dedup import remove_repeats
 
     texts = planted(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digest(df).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, max_group=max_group).collect()}
     assert got == dict(enumerate(plain([(t or "").encode() for t in texts], 400)))
 
 

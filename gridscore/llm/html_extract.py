@@ -233,7 +233,7 @@ class Field:
         return out[::-1]
 
 
-def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 450, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages drawn from layouts, with a label for each block."""
     rng = random.Random(seed)
     parser = Parser()
@@ -264,7 +264,7 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
             k = rng.randint(1, 5)
             box = lambda names, body: f'<{rng.choice(["div", "section", "div"])} {rng.choice(["class", "class", "id"])}="{rng.choice(names)}">{body}</div>'
             if kind == "ad":
-                put(box(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad banner", "adsbox"], f"<p>{sentence(2, 25)}</p>" if rng.random() < 0.4 else sentence(2, 25)), 0)
+                put(box(["ad", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad banner", "ad unit"], f"<p>{sentence(2, 25)}</p>" if rng.random() < 0.4 else sentence(2, 25)), 0)
             elif kind == "notice":
                 put(box(["cookie", "cookie notice", "notice", "consent", "alert", "gdpr banner", "disclaimer", "popup", "subscribe modal"], f"<p>{sentence(4, 30)}</p><button>{words(1, 2)}</button>"), 0, 0)
             elif kind == "share":
@@ -292,6 +292,8 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.9:
             put(f"<h1>{prose(1, 12)}</h1>", 1)
         for i in range(rng.randint(1, 12)):
+            if rng.random() < 0.12:
+                clutter("inside")
             r = rng.random()
             if r < 0.66:
                 put(f"<p>{prose(1, 120)}</p>", 1)

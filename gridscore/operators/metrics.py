@@ -14,7 +14,7 @@ def _total(grid: Column) -> Column:
 
 def cell_f1(pred: Column, truth: Column) -> Column:
     """struct of precision, recall, f1, correct, pred_total, gt_total; cells that only one side has count in its total; 0 where nothing is to divide by."""
-    same = F.zip_with(pred, truth, lambda p, t: F.coalesce(F.size(F.filter(F.zip_with(p, t, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), normalize_cell_text(a) == normalize_cell_text(b))), lambda x: x)), F.lit(0)))
+    same = F.zip_with(pred, truth, lambda p, t: F.coalesce(F.size(F.filter(F.zip_with(p, t, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), (a == b) | (normalize_cell_text(a) == normalize_cell_text(b)))), lambda x: x)), F.lit(0)))
     correct = F.aggregate(F.transform(same, lambda n: F.greatest(n, F.lit(0))), F.lit(0), lambda a, n: a + n)
     return cell_scores(correct, _total(pred), _total(truth))
 
@@ -29,7 +29,7 @@ def cell_scores(correct: Column, pred_total: Column, gt_total: Column) -> Column
 
 def numeric_accuracy(pred: Column, truth: Column) -> Column:
     """struct of accuracy (null without numeric truth cells), correct, total; only truth cells with a digit count."""
-    hit = lambda t, r, c: let(normalize_number(t), lambda n: F.when(n.isNotNull(), F.coalesce(normalize_number(F.get(F.get(pred, r), c)) == n, F.lit(False)).cast("int")))
+    hit = lambda t, r, c: let(normalize_number(t), lambda n: F.when(n.isNotNull(), F.coalesce((F.get(F.get(pred, r), c) == t) | (normalize_number(F.get(F.get(pred, r), c)) == n), F.lit(False)).cast("int")))
     hits = F.transform(truth, lambda row, r: F.transform(row, lambda t, c: hit(t, r, c)))
     counted = F.filter(F.flatten(hits), lambda x: x.isNotNull())
     return let(counted, lambda h: let(F.aggregate(h, F.lit(0), lambda a, x: a + x), lambda n: F.struct((n / F.nullif(F.size(h), F.lit(0))).alias("accuracy"), n.alias("correct"), F.size(h).alias("total"))))

@@ -12,6 +12,8 @@ from gridscore.operators.shred import shred_tables
 from gridscore.operators.treedist import tree_similarity
 from gridscore.operators.upsert import latest
 
+#: Lists of runs up to this length are broadcast; longer ones are joined by a shuffle.
+BROADCAST_RUNS = 100_000
 SCORE_COLUMNS = (
     "dataset", "run_id", "sample_id", "image", "teds", "teds_s", "numeric_cell_accuracy", "numeric_cells_correct", "numeric_cells_total", "cell_precision", "cell_recall", "cell_f1",
     "cell_text_correct", "pred_cells_total", "gt_cells_total", "run_ok", "conversion_ok", "run_failure", "conversion_failure", "seconds", "error",
@@ -27,6 +29,7 @@ def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | Non
     succeeded; the number score needs the conversion only. Predictions without a sample are ignored.
     """
     runs = (predictions if runs is None else runs).select("dataset", "run_id").distinct()
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs.hint("merge")
     truth = shred_tables(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
     last = latest(predictions.select("dataset", "run_id", "sample_id", order_col, "html", "run_ok", "conversion_ok", "seconds", "error"), ["dataset", "run_id", "sample_id"], order_col)
     last = last.withColumn("html", F.when(F.coalesce("conversion_ok", F.lit(False)), F.col("html")))

@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from gridscore.functions.textnorm import NOTE_ROW
 
 FIRST_TABLE = T.StructType([T.StructField("html", T.StringType()), T.StructField("removed", T.IntegerType())])
-NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType()), T.StructField("leftmost", T.IntegerType()), T.StructField("content", T.ArrayType(T.StringType()))])
+NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType()), T.StructField("leftmost", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("size", T.IntegerType())])
 SHREDDED = T.StructType([T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("n_elements", T.IntegerType()), T.StructField("bad_spans", T.IntegerType())])
 
 VOID = {"br", "img", "hr", "input", "wbr", "col", "meta", "link"}
 #: A start tag ends these open elements, up to the nearest table.
 ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, **{g: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for g in ("thead", "tbody", "tfoot")}}
+#: A cell's content is one string: characters, and inline tags between these two in place of < and >.
+TAG_OPEN, TAG_CLOSE = "\ue001", "\ue002"
 _NOTE = re.compile(NOTE_ROW.replace("(?iU)", "(?i)"))
 _SPACE = re.compile(r"\s+")
 
@@ -198,12 +200,11 @@ def nodes_of(table: Node) -> list[dict]:
         for child in () if cell else node.children():
             k = walk(child)
             first = k if first < 0 else first
-        content: list[str] | None = None
+        tokens: list[str] = []
         if cell:
-            content = []
-            _tokens(node, content)
+            _tokens(node, tokens)
         leftmost = len(out) if first < 0 else first
-        out.append({"tag": "td" if cell else node.tag, "colspan": span(node, "colspan")[0] if cell else None, "rowspan": span(node, "rowspan")[0] if cell else None, "leftmost": leftmost, "content": content})
+        out.append({"tag": "td" if cell else node.tag, "colspan": span(node, "colspan")[0] if cell else None, "rowspan": span(node, "rowspan")[0] if cell else None, "leftmost": leftmost, "content": "".join(t if len(t) == 1 else TAG_OPEN + t[1:-1] + TAG_CLOSE for t in tokens) if cell else None, "size": len(tokens)})
         return leftmost
 
     walk(table)
@@ -237,7 +238,7 @@ def with_first_table(df: DataFrame, column: str, out: str, strip_notes: bool = T
 
 def shred_tables(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with struct<grid, nodes, n_elements, bad_spans> of the first table; without one: empty arrays and null nodes."""
-    node = pa.struct([("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("leftmost", pa.int32()), ("content", pa.list_(pa.string()))])
+    node = pa.struct([("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("leftmost", pa.int32()), ("content", pa.string()), ("size", pa.int32())])
     arrow = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("nodes", pa.list_(node)), ("n_elements", pa.int32()), ("bad_spans", pa.int32())])
 
     def of(text):

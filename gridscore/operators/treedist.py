@@ -6,12 +6,19 @@ and deletions cost 1, a rename costs 1 if tag or spans differ and the share of e
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridscore.operators.shred import TAG_CLOSE, TAG_OPEN
+
+_PLAIN = {ord(TAG_OPEN): "<", ord(TAG_CLOSE): ">"}
+_TOKEN = re.compile(f"{TAG_OPEN}[^{TAG_CLOSE}]*{TAG_CLOSE}|.", re.S)
+
 
 def edits(a, b) -> int:
     """Edit distance of two sequences, without what they share at the ends."""
@@ -34,12 +41,14 @@ def edits(a, b) -> int:
 def rename_cost(a: dict, b: dict, structure_only: bool, mode: str) -> float:
     if a["tag"] != b["tag"] or a["colspan"] != b["colspan"] or a["rowspan"] != b["rowspan"]:
         return 1.0
-    x, y = a["content"], b["content"]
-    if structure_only or not (x or y) or x == y:
+    x, y = a["content"] or "", b["content"] or ""
+    if structure_only or x == y:
         return 0.0
-    x, y = x or [], y or []
-    n = max(len(x), len(y), 1)
-    return (edits("".join(x), "".join(y)) if mode == "chars" else edits(x, y)) / n
+    if mode == "chars":
+        x, y = x.translate(_PLAIN), y.translate(_PLAIN)
+    else:
+        x, y = _TOKEN.findall(x), _TOKEN.findall(y)
+    return edits(x, y) / max(a["size"], b["size"], 1)
 
 
 def keyroots(nodes: list[dict]) -> list[int]:
@@ -54,7 +63,7 @@ def tree_distance(a: list[dict], b: list[dict], structure_only: bool = False, mo
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             if x["tag"] == y["tag"] == "td":
-                key = (x["colspan"], x["rowspan"], tuple(x["content"] or ()), y["colspan"], y["rowspan"], tuple(y["content"] or ()))
+                key = (x["colspan"], x["rowspan"], x["content"], y["colspan"], y["rowspan"], y["content"])
                 if key not in memo:
                     memo[key] = rename_cost(x, y, structure_only, mode)
                 cost[i, j] = memo[key]
@@ -97,16 +106,15 @@ def tree_similarity(pred: Column, truth: Column, structure_only: bool = False, m
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([None if x is None or y is None else tree_distance(x, y, structure_only, mode) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
-    bare = lambda nodes: F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n["colspan"].alias("colspan"), n["rowspan"].alias("rowspan"), n["leftmost"].alias("leftmost"), F.lit(None).cast("array<string>").alias("content")))
+    bare = lambda nodes: F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n["colspan"].alias("colspan"), n["rowspan"].alias("rowspan"), n["leftmost"].alias("leftmost"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("size")))
     a, b = pred["nodes"], truth["nodes"]
     same_shape = bare(a) == bare(b)
     if structure_only:
         a, b, in_place = bare(a), bare(b), F.lit(0.0)
     else:
-        text = lambda n: F.coalesce(F.array_join(n["content"], ""), F.lit(""))
-        size = lambda n: F.coalesce(F.size(n["content"]), F.lit(0))
+        text = lambda n: F.translate(F.coalesce(n["content"], F.lit("")), TAG_OPEN + TAG_CLOSE, "<>")
         changed = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: ~x["a"]["content"].eqNullSafe(x["b"]["content"]))
-        costs = F.transform(changed, lambda x: F.levenshtein(text(x["a"]), text(x["b"])) / F.greatest(size(x["a"]), size(x["b"]), F.lit(1)))
+        costs = F.transform(changed, lambda x: F.levenshtein(text(x["a"]), text(x["b"])) / F.greatest(x["a"]["size"], x["b"]["size"], F.lit(1)))
         in_place = F.aggregate(costs, F.lit(0.0), lambda t, x: t + x) if mode == "chars" else F.when(F.size(changed) == 0, 0.0)
     # any mapping but node to node needs a deletion and an insertion, which cost 2
     simple = F.coalesce(same_shape & (in_place <= 2.0), F.lit(False))

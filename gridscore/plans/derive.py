@@ -39,6 +39,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dataset_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, run_id): every region's run of every dataset."""
+    datasets = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders_"), F.left("o_orderpriority", F.lit(1))).alias("dataset")).distinct()
+    return datasets.select("dataset", F.explode(F.array(*[F.lit(r.run_id) for r in runs(spark, sf_dir).select("run_id").collect()])).alias("run_id"))
+
+
 def _render(mode: Column, grid: Column, html: Column) -> Column:
     pipes = lambda rows: F.array_join(F.transform(rows, lambda r: F.concat(F.lit("|"), F.array_join(r, "|"), F.lit("|"))), "\n")
     head, rest, n = F.slice(grid, 1, 1), F.slice(grid, 2, F.size(grid)), F.size(grid)
@@ -62,14 +68,16 @@ def responses(spark: SparkSession, sf_dir: str, truth: DataFrame | None = None)
     """Every run's answer to every sample, rendered in one of twelve modes; null is a failed call."""
     r = runs(spark, sf_dir)
     own = F.array(*[F.struct(*[F.lit(x[c]).cast(t).alias(c) for c, t in r.dtypes]) for x in r.collect()])  # regions: five rows
-    rows = (samples(spark, sf_dir) if truth is None else truth).select("*", F.explode(own).alias("__run")).select("*", "__run.*").drop("__run")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work in each row: not left to coalescing
+    rows = (samples(spark, sf_dir) if truth is None else truth).repartition(n, "sample_id").select("*", F.explode(own).alias("__run")).select("*", "__run.*").drop("__run")
     rows = rows.withColumn("mode", (F.col("o_orderkey") * 31 + F.col("k") * 7) % MODES)
     seconds = F.when(F.col("mode") != 1, (F.col("o_orderkey") + F.col("k") * 3) % 50 / 10.0)
     return rows.withColumn("text", _render(F.col("mode"), F.col("grid"), F.col("gt_html"))).withColumn("seconds", seconds).withColumn("seq", F.col("o_orderkey") * 10 + F.col("k"))
 
 
 def predictions(spark: SparkSession, sf_dir: str, truth: DataFrame | None = None) -> DataFrame:
-    rows = convert_responses(responses(spark, sf_dir, truth), "text")
+    own = ("dataset", "run_id", "sample_id", "seq", "seconds", "preprocess_profile", "backend_tag", "prompt_id", "long_image_side", "mode", "text")
+    rows = convert_responses(responses(spark, sf_dir, truth).select(*own), "text")
     ok = F.col("text").isNotNull()
     return rows.select(
         "dataset", "run_id", "sample_id", "seq", ok.alias("run_ok"), (ok & F.col("conversion_ok")).alias("conversion_ok"), F.when(ok, F.col("html")).otherwise("").alias("html"), "seconds",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridscore.operators import ingest, scoring
 from gridscore.operators.shred import grid_cells, shred_tables
-from gridscore.plans.derive import PAIRS_SQL, predictions, responses, samples, table
+from gridscore.plans.derive import PAIRS_SQL, dataset_runs, predictions, responses, samples, table
 from gridscore.sources import files, imports
 from gridscore.sources.schemas import SAMPLE, TOKENS
 from gridscore.streaming.latest import last_snapshot, stream_latest, stream_summaries
@@ -167,7 +167,7 @@ def q_data_report(spark, d):
 def q_csv(spark, d):
     """Scores through a CSV file with a byte order mark and back."""
     truth = samples(spark, d)
-    s = scoring.score_runs(truth, predictions(spark, d, truth)).select("dataset", "run_id", "sample_id", "teds", "numeric_cells_total", "seconds", "run_ok")
+    s = scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d)).select("dataset", "run_id", "sample_id", "teds", "numeric_cells_total", "seconds", "run_ok")
     at = scratch(spark, "scores")
     files.write_csv(s, at)
     back = files.read_csv(spark, at, "dataset string, run_id string, sample_id string, teds double, numeric_cells_total int, seconds double, run_ok boolean")

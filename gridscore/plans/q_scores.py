@@ -8,14 +8,14 @@ from gridscore.operators import scoring, shred, upsert
 from gridscore.operators.convert import cells_to_html
 from gridscore.operators.metrics import cell_f1, numeric_accuracy
 from gridscore.operators.treedist import tree_similarity
-from gridscore.plans.derive import PAIRS_SQL, predictions, responses, runs, samples, table
+from gridscore.plans.derive import PAIRS_SQL, dataset_runs, predictions, responses, runs, samples, table
 
 KEYS = ["dataset", "run_id", "sample_id"]
 
 
 def _scores(spark, d):
     truth = samples(spark, d)
-    return scoring.score_runs(truth, predictions(spark, d, truth))
+    return scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d))
 
 
 def _pairs(spark, d):
@@ -73,7 +73,7 @@ def q_compare(spark, d):
 def _board(spark, d, **options):
     truth = samples(spark, d)
     p = predictions(spark, d, truth)
-    return scoring.leaderboard(scoring.score_runs(truth, p), scoring.run_attributes(runs(spark, d).withColumn("sample_id", F.lit("0"))), **options)
+    return scoring.leaderboard(scoring.score_runs(truth, p, dataset_runs(spark, d)), scoring.run_attributes(runs(spark, d).withColumn("sample_id", F.lit("0"))), **options)
 
 
 _BOARD_SQL = """, named AS (SELECT run_id, preprocess_profile AS profile, CASE WHEN backend_tag <> '' THEN backend_tag ELSE replace(run_id, '_', ':') END AS display_name FROM run),
@@ -137,7 +137,7 @@ SELECT dataset, sample_id, CASE i WHEN 0 THEN round(1 - 1.0::DOUBLE * levenshtei
 def q_tree_nodes(spark, d):
     truth = shred.shred_tables(samples(spark, d).select("sample_id", "gt_html"), "gt_html", "g")
     nodes = truth.select("sample_id", "g.n_elements", F.explode("g.nodes").alias("n"))
-    return nodes.groupBy("sample_id").agg(F.max("n_elements").alias("n_elements"), F.count_if(F.col("n.tag") == "td").alias("cells"), F.count_if(F.col("n.tag") == "tr").alias("rows"), F.sum(F.coalesce(F.size("n.content"), F.lit(0))).alias("content_tokens"))
+    return nodes.groupBy("sample_id").agg(F.max("n_elements").alias("n_elements"), F.count_if(F.col("n.tag") == "td").alias("cells"), F.count_if(F.col("n.tag") == "tr").alias("rows"), F.sum("n.size").alias("content_tokens"))
 
 
 _NODES_SQL = """WITH c AS (SELECT l_orderkey AS k, count(*) AS n, sum(length(CAST(l_linenumber AS VARCHAR)) + length(CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR)) + length(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR)) + length(l_returnflag) + 10) AS t
@@ -231,7 +231,7 @@ def q_payload(spark, d):
 
     truth = samples(spark, d)
     p = predictions(spark, d, truth)
-    out = viewer_payload(truth, scoring.score_runs(truth, p), p)
+    out = viewer_payload(truth, scoring.score_runs(truth, p, dataset_runs(spark, d)), p)
     return out.select("dataset", "run_id", F.size("samples").alias("n"), F.col("samples")[0]["sample_id"].alias("first_id"), F.round(F.col("samples")[0]["teds"], 9).alias("first_teds"), F.element_at("samples", -1)["sample_id"].alias("last_id"))
 
 

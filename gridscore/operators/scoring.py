@@ -34,7 +34,10 @@ def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | Non
     last = latest(predictions.select("dataset", "run_id", "sample_id", order_col, "html", "run_ok", "conversion_ok", "seconds", "error"), ["dataset", "run_id", "sample_id"], order_col)
     last = last.withColumn("html", F.when(F.coalesce("conversion_ok", F.lit(False)), F.col("html")))
     last = shred_tables(last, "html", "p").drop("html", order_col)
-    pairs = truth.join(runs, "dataset").join(last, ["dataset", "run_id", "sample_id"], "left")
+    keys = ["dataset", "run_id", "sample_id"]
+    # a pair is few bytes and much work, so the number of partitions is set and not left to coalescing by size
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = truth.join(runs, "dataset").repartition(n, *keys).join(last.hint("merge"), keys, "left")
     return score_pairs(pairs)
 
 

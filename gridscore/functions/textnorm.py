@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 #: White space as Unicode text processing means it: Java's class lacks U+001C to U+001F.
 WS = r"(?U)[\s\x1c-\x1f]+"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: A text without any of these is ASCII in single spaced words, so that normalising leaves it as it is.
+UNTIDY = r"^ | $|  |[^ -~]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 #: Decimal digits of all scripts and what they stand for, from the Unicode tables.
-_ND = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_ND = list(filter(str.isdecimal, map(chr, range(128, sys.maxunicode + 1))))
 DIGITS, ASCII_DIGITS = "".join(_ND), "".join(str(unicodedata.decimal(c)) for c in _ND)
 
 #: What lower case has otherwise than case folding: final sigma, the kept dotless i, and Cherokee, which folds to capitals.
@@ -49,15 +51,17 @@ def lines(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Runs of white space become one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS, " "))
+    return let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(UNTIDY), F.trim(F.regexp_replace(t, WS, " "))).otherwise(t))
 
 
 def clean_cell_text(c: Column) -> Column:
     """normalize_text without a dangling tag at the end."""
-    t = normalize_text(c)
-    for rule in (r"</\s*$", r"<\s*$", r"</\s*[A-Za-z][^>]*$"):
-        t = F.regexp_replace(t, rule, "")
-    return normalize_text(t)
+    def cut(t):
+        for rule in (r"</\s*$", r"<\s*$", r"</\s*[A-Za-z][^>]*$"):
+            t = F.regexp_replace(t, rule, "")
+        return F.trim(F.regexp_replace(t, WS, " "))
+
+    return let(normalize_text(c), lambda t: F.when(F.contains(t, F.lit("<")), cut(t)).otherwise(t))
 
 
 def casefold(c: Column) -> Column:
@@ -74,11 +78,14 @@ def normalize_cell_text(c: Column) -> Column:
 
 
 def clean_latex_text(c: Column) -> Column:
-    t = F.replace(c, F.lit(r"\(\pm\)"), F.lit("±"))
-    t = F.regexp_replace(t, r"\\\((.*?)\\\)", "$1")
-    t = F.regexp_replace(t, r"_\{([^{}]+)\}", "$1")
-    t = F.regexp_replace(t, r"\^\{([^{}]+)\}", "$1")
-    return clean_cell_text(F.replace(t, F.lit("\\"), F.lit("")))
+    def unwrapped(t):
+        t = F.replace(t, F.lit(r"\(\pm\)"), F.lit("±"))
+        t = F.regexp_replace(t, r"\\\((.*?)\\\)", "$1")
+        t = F.regexp_replace(t, r"_\{([^{}]+)\}", "$1")
+        t = F.regexp_replace(t, r"\^\{([^{}]+)\}", "$1")
+        return F.replace(t, F.lit("\\"), F.lit(""))
+
+    return clean_cell_text(let(c, lambda t: F.when(t.rlike(r"[\\{]"), unwrapped(t)).otherwise(t)))
 
 
 def ascii_digits(c: Column) -> Column:

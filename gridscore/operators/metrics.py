@@ -29,7 +29,10 @@ def cell_scores(correct: Column, pred_total: Column, gt_total: Column) -> Column
 
 def numeric_accuracy(pred: Column, truth: Column) -> Column:
     """struct of accuracy (null without numeric truth cells), correct, total; only truth cells with a digit count."""
-    hit = lambda t, r, c: let(normalize_number(t), lambda n: F.when(n.isNotNull(), F.coalesce((F.get(F.get(pred, r), c) == t) | (normalize_number(F.get(F.get(pred, r), c)) == n), F.lit(False)).cast("int")))
-    hits = F.transform(truth, lambda row, r: F.transform(row, lambda t, c: hit(t, r, c)))
+    def hit(t, p):
+        same = (p == t) | (normalize_number(p) == normalize_number(t))
+        return F.when(t.rlike(r"(?U)\d"), F.coalesce(same, F.lit(False)).cast("int"))
+
+    hits = F.transform(truth, lambda row, r: let(F.get(pred, r), lambda other: F.transform(row, lambda t, c: hit(t, F.get(other, c)))))
     counted = F.filter(F.flatten(hits), lambda x: x.isNotNull())
     return let(counted, lambda h: let(F.aggregate(h, F.lit(0), lambda a, x: a + x), lambda n: F.struct((n / F.nullif(F.size(h), F.lit(0))).alias("accuracy"), n.alias("correct"), F.size(h).alias("total"))))

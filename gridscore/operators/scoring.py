@@ -48,7 +48,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<array<string>>")
     p, g = F.coalesce("p.grid", empty), F.col("g.grid")
     pairs = pairs.withColumn("__f", F.when(both, cell_f1(p, g))).withColumn("__n", F.when(F.col("conversion_ok"), numeric_accuracy(p, g)))
-    scorable = lambda c: F.struct(F.when(both, c["nodes"]).alias("nodes"), c["n_elements"].alias("n_elements"))
+    scorable = lambda c: F.struct(F.when(both, c["nodes"]).alias("nodes"), c["shape"].alias("shape"), c["n_elements"].alias("n_elements"))
     pairs = pairs.withColumn("teds", F.when(both, tree_similarity(scorable(F.col("p")), F.col("g"))).otherwise(0.0))
     pairs = pairs.withColumn("teds_s", F.when(both, tree_similarity(scorable(F.col("p")), F.col("g"), structure_only=True)).otherwise(0.0))
     zero = lambda c, v: F.coalesce(c, F.lit(v))

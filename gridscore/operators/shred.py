@@ -7,7 +7,8 @@ What it returns per table: the grid after span expansion, and the tree in post-o
 from __future__ import annotations
 
 import re
-from html import escape
+from hashlib import md5
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from gridscore.functions.textnorm import NOTE_ROW
 
 FIRST_TABLE = T.StructType([T.StructField("html", T.StringType()), T.StructField("removed", T.IntegerType())])
 NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType()), T.StructField("leftmost", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("size", T.IntegerType())])
-SHREDDED = T.StructType([T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("n_elements", T.IntegerType()), T.StructField("bad_spans", T.IntegerType())])
+SHREDDED = T.StructType([T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("shape", T.StringType()), T.StructField("n_elements", T.IntegerType()), T.StructField("bad_spans", T.IntegerType())])
 
 VOID = {"br", "img", "hr", "input", "wbr", "col", "meta", "link"}
 #: A start tag ends these open elements, up to the nearest table.
@@ -28,6 +29,10 @@ ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, **{g:
 TAG_OPEN, TAG_CLOSE = "\ue001", "\ue002"
 _NOTE = re.compile(NOTE_ROW.replace("(?iU)", "(?i)"))
 _SPACE = re.compile(r"\s+")
+#: Elements whose content is not markup.
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+_ATTRIBUTE = re.compile(r'([A-Za-z-]+)="([^"<>&]*)"')
+_PLAIN = re.compile(rf"<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n\r\f]+{_ATTRIBUTE.pattern.replace('(', '(?:')})*)[ \t\n\r\f]*(/?)>|([^<]+)")
 
 
 class Node:
@@ -101,9 +106,35 @@ class FirstTable(HTMLParser):
             self.open[-1].parts.append(data)
 
 
+def _plainly(html: str) -> FirstTable | None:
+    """The parser after markup that is only plain tags and text; null where anything else comes before the table's end."""
+    p, at = FirstTable(), 0
+    for m in _PLAIN.finditer(html):
+        if m.start() != at:
+            return None
+        at = m.end()
+        end, tag, attrs, closed, text = m.groups()
+        if text is not None:
+            p.handle_data(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if tag in RAW or end and (attrs or closed):
+            return None
+        if end:
+            p.handle_endtag(tag)
+            if p.done:
+                return p
+        else:
+            (p.handle_startendtag if closed else p.handle_starttag)(tag, [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else ())
+    return p if at == len(html) else None
+
+
 def parse(html: str | None) -> Node | None:
     if not html:
         return None
+    p = _plainly(html)
+    if p is not None:
+        return p.table
     p = FirstTable()
     p.feed(html)
     p.close()
@@ -211,6 +242,11 @@ def nodes_of(table: Node) -> list[dict]:
     return out
 
 
+def shape_of(nodes: list[dict]) -> str:
+    """Equal for trees that differ in cell contents only."""
+    return md5(repr([(n["tag"], n["colspan"], n["rowspan"], n["leftmost"]) for n in nodes]).encode()).hexdigest()
+
+
 def _with(df: DataFrame, column: str, out: str, kind: T.StructType, arrow: pa.DataType, of) -> DataFrame:
     """df with `out`: of(value) of a column. A plan node of its own, so that filters above neither repeat nor inline it."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
@@ -237,16 +273,16 @@ def with_first_table(df: DataFrame, column: str, out: str, strip_notes: bool = T
 
 
 def shred_tables(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with struct<grid, nodes, n_elements, bad_spans> of the first table; without one: empty arrays and null nodes."""
+    """df with struct<grid, nodes, shape, n_elements, bad_spans> of the first table; without one: empty arrays, null nodes and shape."""
     node = pa.struct([("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("leftmost", pa.int32()), ("content", pa.string()), ("size", pa.int32())])
-    arrow = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("nodes", pa.list_(node)), ("n_elements", pa.int32()), ("bad_spans", pa.int32())])
+    arrow = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("nodes", pa.list_(node)), ("shape", pa.string()), ("n_elements", pa.int32()), ("bad_spans", pa.int32())])
 
     def of(text):
         table = parse(text)
         if table is None:
-            return {"grid": [], "nodes": None, "n_elements": 0, "bad_spans": 0}
-        grid, bad = grid_of(table)
-        return {"grid": grid, "nodes": nodes_of(table), "n_elements": sum(1 for _ in table.all()), "bad_spans": bad}
+            return {"grid": [], "nodes": None, "shape": None, "n_elements": 0, "bad_spans": 0}
+        (grid, bad), nodes = grid_of(table), nodes_of(table)
+        return {"grid": grid, "nodes": nodes, "shape": shape_of(nodes), "n_elements": sum(1 for _ in table.all()), "bad_spans": bad}
 
     return _with(df, column, out, SHREDDED, arrow, of)
 

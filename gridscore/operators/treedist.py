@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridscore.functions.textnorm import let
 from gridscore.operators.shred import TAG_CLOSE, TAG_OPEN
 
 _PLAIN = {ord(TAG_OPEN): "<", ord(TAG_CLOSE): ">"}
@@ -56,7 +57,47 @@ def keyroots(nodes: list[dict]) -> list[int]:
     return sorted(last.values())
 
 
+def _children(nodes: list[dict]) -> list[list[dict]]:
+    """The trees under the root, in order."""
+    out, k = [], len(nodes) - 2
+    while k >= 0:
+        start = nodes[k]["leftmost"]
+        out.append(nodes[start : k + 1])
+        k = start - 1
+    return out[::-1]
+
+
+def _signature(tree: list[dict]) -> list[tuple]:
+    return [(n["tag"], n["colspan"], n["rowspan"], n["content"], i - n["leftmost"] + tree[0]["leftmost"]) for i, n in enumerate(tree)]
+
+
+def _rooted(trees: list[list[dict]], root: dict) -> list[dict]:
+    out: list[dict] = []
+    for tree in trees:
+        shift = len(out) - tree[0]["leftmost"]
+        out.extend({**n, "leftmost": n["leftmost"] + shift} for n in tree)
+    return [*out, {**root, "leftmost": 0}]
+
+
+def without_shared_ends(a: list[dict], b: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Both trees without the equal first and last trees under equal roots, which leaves the distance as it is.
+
+    Nodes outside such a tree can map into it on one side only, and mapping it to its equal instead costs no more.
+    """
+    x, y = _children(a), _children(b)
+    if any(a[-1][k] != b[-1][k] for k in ("tag", "colspan", "rowspan", "content")):
+        return a, b
+    sx, sy = [_signature(t) for t in x], [_signature(t) for t in y]
+    least = min(len(x), len(y))
+    lo = next((i for i in range(least) if sx[i] != sy[i]), least)
+    hi = next((i for i in range(least - lo) if sx[-1 - i] != sy[-1 - i]), least - lo)
+    return _rooted(x[lo : len(x) - hi], a[-1]), _rooted(y[lo : len(y) - hi], b[-1])
+
+
 def tree_distance(a: list[dict], b: list[dict], structure_only: bool = False, mode: str = "chars") -> float:
+    a, b = without_shared_ends(a, b)
+    if min(len(a), len(b)) == 1 and a[-1]["tag"] == b[-1]["tag"] != "td":
+        return float(abs(len(a) - len(b)))
     la, lb = [n["leftmost"] for n in a], [n["leftmost"] for n in b]
     memo: dict = {}
     cost = np.zeros((len(a), len(b)))
@@ -106,18 +147,21 @@ def tree_similarity(pred: Column, truth: Column, structure_only: bool = False, m
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([None if x is None or y is None else tree_distance(x, y, structure_only, mode) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
-    bare = lambda nodes: F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n["colspan"].alias("colspan"), n["rowspan"].alias("rowspan"), n["leftmost"].alias("leftmost"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("size")))
     a, b = pred["nodes"], truth["nodes"]
-    same_shape = bare(a) == bare(b)
+    same_shape = pred["shape"] == truth["shape"]
     if structure_only:
-        a, b, in_place = bare(a), bare(b), F.lit(0.0)
+        bare = lambda nodes: F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n["colspan"].alias("colspan"), n["rowspan"].alias("rowspan"), n["leftmost"].alias("leftmost"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("size")))
+        sent, in_place = bare, F.lit(0.0)
     else:
-        text = lambda n: F.translate(F.coalesce(n["content"], F.lit("")), TAG_OPEN + TAG_CLOSE, "<>")
-        changed = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: ~x["a"]["content"].eqNullSafe(x["b"]["content"]))
-        costs = F.transform(changed, lambda x: F.levenshtein(text(x["a"]), text(x["b"])) / F.greatest(x["a"]["size"], x["b"]["size"], F.lit(1)))
-        in_place = F.aggregate(costs, F.lit(0.0), lambda t, x: t + x) if mode == "chars" else F.when(F.size(changed) == 0, 0.0)
+        text = lambda n: F.translate(n["content"], TAG_OPEN + TAG_CLOSE, "<>")
+        cost = lambda x, y: F.when(x["content"] != y["content"], F.levenshtein(text(x), text(y)) / F.greatest(x["size"], y["size"], F.lit(1))).otherwise(0.0)
+        sent, costs = (lambda nodes: nodes), F.zip_with(a, b, cost)
+        in_place = F.when(a == b, 0.0)
+        if mode == "chars":
+            in_place = in_place.otherwise(F.aggregate(costs, F.lit(0.0), lambda t, x: t + x))
     # any mapping but node to node needs a deletion and an insertion, which cost 2
-    simple = F.coalesce(same_shape & (in_place <= 2.0), F.lit(False))
-    d = F.when(simple, in_place).otherwise(distance(F.when(~simple, a), F.when(~simple, b)))
+    known = F.when(same_shape, let(in_place, lambda c: F.when(c <= 2.0, c)))
+    unknown = known.isNull() & a.isNotNull() & b.isNotNull()
+    d = F.coalesce(known, distance(F.when(unknown, sent(a)), F.when(unknown, sent(b))))
     n = F.greatest(pred["n_elements"], truth["n_elements"], F.lit(1))
-    return F.when(pred["nodes"].isNull() | truth["nodes"].isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - d / n))
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - d / n))

@@ -109,6 +109,39 @@ def test_tree_distance(options):
         assert abs(tree_distance(a, b, **options) - brute(a, b, **options)) < 1e-9
 
 
+def test_shared_ends_and_shapes():
+    from gridscore.operators.shred import shape_of
+    from gridscore.operators.treedist import without_shared_ends
+
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    page = lambda *rows: nodes_of(parse("<table>" + "".join(rows) + "</table>"))
+    long, short = page(row("h", "i"), row(1, 2), row(3, 4), row(5, 6)), page(row("h", "i"), row(1, 2), row(5, 6))
+    a, b = without_shared_ends(long, short)
+    assert [len(a), len(b)] == [4, 1] and tree_distance(long, short) == tree_distance(short, long) == 3
+    # equal rows on both sides of a change count once
+    assert tree_distance(page(row("x"), row("x"), row("x")), page(row("x"), row("x"))) == 2
+    assert tree_distance(long, long) == 0 and tree_distance(page(), page()) == 0
+    assert shape_of(page(row("a"))) == shape_of(page(row("b"))) != shape_of(page(row("a", "b")))
+
+
+def test_plain_markup_is_read_as_any_other():
+    from gridscore.operators.shred import FirstTable
+
+    def fully(html):
+        p = FirstTable()
+        p.feed(html)
+        p.close()
+        return p.table
+
+    rng = random.Random(11)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", '<td colspan="2">', "</td>", '<TH rowspan="2" >', "</th>", "a", "&amp;", "&amp", " x ", "<br>", "<br/>", "<td/>", "<b>", "</b>", "<thead>", "</thead>",
+            "<caption>", "</caption>", "<!-- c -->", "<", "<i class='q'>", "</i >", "<td colspan=2>", "<title>", "</title>", "\n", '</td x="1">', '<td a="1"b="2">', "<script>", "</script>", "&#65;", "&lt"]
+    for _ in range(3000):
+        html = rng.choice(["", "<table>"]) + "".join(rng.choice(bits) for _ in range(rng.randint(1, 24)))
+        one, two = parse(html), fully(html)
+        assert (one is None) == (two is None) and (one is None or one.html() == two.html()), html
+
+
 def test_upsert_and_stream(spark):
     from gridscore.operators.upsert import fixed_sample, upsert
 

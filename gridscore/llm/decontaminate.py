@@ -57,7 +57,8 @@ class Windows:
         padded = np.concatenate([stream, np.full(self.groups[-1][1].shape[1] if self.groups else 0, -2, np.int32)])
         for item, terms in self.groups:
             there = counts[terms]
-            rarest = there.argmin(1)
+            order = np.argsort(there, axis=1, kind="stable")  # one order for the anchor and the rest, so that no term is left out
+            rarest = order[:, 0]
             anchor = terms[np.arange(len(terms)), rarest]
             times = counts[anchor]
             live = np.flatnonzero(times)
@@ -68,7 +69,6 @@ class Windows:
             places = np.flatnonzero(wanted[stream])  # -1 and -2 read the two spare places, which stay false
             places = places[np.argsort(stream[places], kind="stable")]
             first = np.searchsorted(stream[places], np.arange(len(counts)))
-            order = np.argsort(there, 1)
             edges = np.cumsum(times[live])
             for lo in range(0, int(edges[-1]), at_once):  # blocks of (window, posting), so that memory is bounded
                 k = np.arange(lo, min(lo + at_once, int(edges[-1])))

@@ -1,11 +1,12 @@
 """Benchmark decontamination with a positional inverted index.
 
-The corpus is indexed in shards of documents: a task turns its documents into a stream of term numbers and keeps
-postings (term, position) for the terms of the benchmark. For every benchmark window the offset-adjusted
-postings of its rarest term in the shard give the candidate places; the other terms are intersected from the
-rarest up. All terms in place is an exact match; at least `near_terms` in place is a proximity match. Nothing of the
-corpus is shuffled, broadcast or gathered. The benchmark is the stated query set: it is taken in blocks of a fixed number
-of characters, and each block is broadcast.
+The corpus is indexed in shards of documents: a task turns its documents into a stream of term numbers and lists
+the places (postings) of the terms that anchor benchmark windows. The offset-adjusted postings of a window's rarest
+terms in the shard give the candidate places; the other terms are looked up in the stream itself from the
+rarest up. All terms in place is an exact match; at least `near_terms` in place is a proximity match. As many of the
+rarest terms are anchors as may be missing, and one more, so no match depends on the shard. Postings live as
+long as their shard and aren't stored. Nothing of the corpus is shuffled, broadcast or gathered. The benchmark is the stated
+query set: it is taken in blocks of a fixed number of characters, and each block is broadcast.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.vocab: dict[bytes, int] = {}
+        self.size = size
         by_length: dict[int, list] = {}
         self.items = []
         for name, text in items:
@@ -52,54 +54,64 @@ class Windows:
         self.groups = [(np.array([k for k, _ in rows], np.int32), np.array([ids for _, ids in rows], np.int32)) for _, rows in sorted(by_length.items())]
 
     def matches(self, stream: np.ndarray, near_terms: int, at_once: int = 1 << 21):
-        """Yields (item, start, length, exact) arrays. stream: term numbers, -1 for other words, -2 between documents."""
+        """Yields (item, start, length, exact) arrays, each window and place once. stream: term numbers, -1 for other words, -2 around documents.
+
+        A place with enough terms has one of the window's `missing_most + 1` rarest in place, so these are its anchors; an anchor
+        yields the places where no rarer one stands.
+        """
         counts = np.bincount(stream[stream >= 0], minlength=max(1, len(self.vocab)))
         padded = np.concatenate([stream, np.full(self.groups[-1][1].shape[1] if self.groups else 0, -2, np.int32)])
         for item, terms in self.groups:
+            size, rows = terms.shape[1], np.arange(len(terms))
+            missing_most = size - max(1, min(near_terms, size))
             there = counts[terms]
-            order = np.argsort(there, axis=1, kind="stable")  # one order for the anchor and the rest, so that no term is left out
-            rarest = order[:, 0]
-            anchor = terms[np.arange(len(terms)), rarest]
-            times = counts[anchor]
-            live = np.flatnonzero(times)
-            if not len(live):
-                continue
+            order = np.argsort(there, axis=1, kind="stable")  # one order for the anchors and the rest, so that no term is left out
             wanted = np.zeros(len(counts) + 2, bool)
-            wanted[anchor[live]] = True
+            wanted[terms[rows[:, None], order[:, : missing_most + 1]]] = True
             places = np.flatnonzero(wanted[stream])  # -1 and -2 read the two spare places, which stay false
             places = places[np.argsort(stream[places], kind="stable")]
             first = np.searchsorted(stream[places], np.arange(len(counts)))
-            edges = np.cumsum(times[live])
-            for lo in range(0, int(edges[-1]), at_once):  # blocks of (window, posting), so that memory is bounded
-                k = np.arange(lo, min(lo + at_once, int(edges[-1])))
-                row = np.searchsorted(edges, k, side="right")
-                w = live[row]
-                start = places[first[anchor[w]] + k - (edges[row] - times[w])] - rarest[w]
-                ok = start >= 0
-                w, start = w[ok], start[ok]
-                agree = np.ones(len(w), np.int16)
-                missing_most = terms.shape[1] - min(near_terms, terms.shape[1])
-                for j in range(1, terms.shape[1]):
-                    col = order[w, j]
-                    agree += padded[start + col] == terms[w, col]
-                    alive = agree >= j + 1 - missing_most
-                    w, start, agree = w[alive], start[alive], agree[alive]
-                yield item[w], start, terms.shape[1], agree == terms.shape[1]
+            for rank in range(missing_most + 1):
+                column = order[:, rank]
+                anchor = terms[rows, column]
+                times = counts[anchor]
+                live = np.flatnonzero(times)
+                if not len(live):
+                    continue
+                edges = np.cumsum(times[live])
+                for lo in range(0, int(edges[-1]), at_once):  # blocks of (window, posting), so that memory is bounded
+                    k = np.arange(lo, min(lo + at_once, int(edges[-1])))
+                    row = np.searchsorted(edges, k, side="right")
+                    w = live[row]
+                    start = places[first[anchor[w]] + k - (edges[row] - times[w])] - column[w]
+                    new = start >= 0
+                    w, start = w[new], start[new]
+                    for j in range(rank):
+                        col = order[w, j]
+                        new = padded[start + col] != terms[w, col]
+                        w, start = w[new], start[new]
+                    missing = np.full(len(w), rank, np.int16)
+                    for j in range(rank + 1, size):
+                        col = order[w, j]
+                        missing += padded[start + col] != terms[w, col]
+                        alive = missing <= missing_most
+                        w, start, missing = w[alive], start[alive], missing[alive]
+                    yield item[w], start, size, missing == 0
 
 
 def _shard(texts: list[bytes | None], windows: Windows, near_terms: int) -> pa.StructArray:
-    tokens = (b" " + BREAK + b" ").join([(t or b"").translate(TO_WORDS) for t in texts]).split()
+    gap = max(1, windows.size - max(1, near_terms) + 1)  # breaks before a document: no match reaches over so many
+    tokens = b"".join([(b" " + BREAK) * gap + b" " + (t or b"").translate(TO_WORDS) for t in texts]).split()
     vocab = {**windows.vocab, BREAK: -2}
     stream = np.fromiter(map(vocab.get, tokens, repeat(-1)), np.int32, len(tokens))
     del tokens
-    breaks = np.flatnonzero(stream == -2)
-    begins = np.concatenate([[0], breaks + 1])
-    ends = np.concatenate([breaks, [len(stream)]])
+    begins = np.flatnonzero(stream == -2)[gap - 1 :: gap] + 1
+    ends = np.append(begins[1:] - gap, len(stream))[: len(texts)]
     delta = np.zeros(len(stream) + 1, np.int32)
     pairs, near = [], np.zeros(len(texts), np.int64)
     for item, start, length, exact in windows.matches(stream, near_terms):
-        doc = np.searchsorted(begins, start, side="right") - 1
-        np.add.at(near, doc[~exact], 1)
+        doc = np.searchsorted(begins - gap, start, side="right") - 1  # a place with first words missing starts before its document
+        near += np.bincount(doc[~exact], minlength=len(texts))
         np.add.at(delta, start[exact], 1)
         np.add.at(delta, start[exact] + length, -1)
         pairs.append(np.unique(doc[exact].astype(np.int64) * max(1, len(windows.items)) + item[exact]))
@@ -140,7 +152,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with a struct `out`: n_words, spans (word ranges [from, to) inside exact matches), items (ids as strings, sorted), n_near (proximity matches).
 
     A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window. Null texts have no
-    words; items without id or words match nothing; repeated item ids count once. Every row and column of docs stays.
+    words; items without id or words match nothing; repeated item ids count once. n_near counts pairs of a window and a place
+    in the document with `near_terms` or more, but not all, words in place; places may begin before the document's first word or
+    end after its last. Every row and column of docs stays.
     """
     session = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(item_text_col).cast("binary").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")

@@ -1,8 +1,10 @@
 """Decontamination compares every word of a window, at every place, however documents fall into shards."""
 
+import random
+
 import numpy as np
 
-from gridscore.llm.decontaminate import Windows
+from gridscore.llm.decontaminate import Windows, find_matches
 
 
 def test_decoys_with_tied_counts_are_not_exact():
@@ -26,3 +28,38 @@ def test_decoys_with_tied_counts_are_not_exact():
     stream = np.array([windows.vocab.get(w.encode(), -1) for w in decoys], np.int32)
     got = {int(i) for item, _, _, exact in windows.matches(stream, 10) for i in item[exact]}
     assert got == whole
+
+
+def test_near_matches_brute(spark):
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(60)]
+    items = [[rng.choice(vocab) for _ in range(rng.choice([5, 11, 12, 13, 20]))] + [f"rare{i}"] for i in range(12)]
+    docs = []
+    for k in range(240):
+        copy = list(rng.choice(items))
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(["zzz", *vocab])
+        copy[-1] = rng.choice([copy[-1], "misspelt"])
+        copy = copy[rng.choice([0, 0, 0, 1, 3, 5]) :][: rng.choice([99, 99, 11, 7])]
+        around = [rng.choice(vocab) for _ in range(rng.choice([0, 0, 9, 30]))]
+        docs.append(rng.choice([copy + around, around + copy, [], copy]))
+
+    def near(doc):
+        n = 0
+        for item in items:
+            size = min(13, len(item))
+            for i in range(len(item) - size + 1):
+                window = item[i : i + size]
+                for start in range(-size, len(doc)):
+                    same = sum(0 <= start + j < len(doc) and doc[start + j] == w for j, w in enumerate(window))
+                    n += 10 <= same < size
+        return n
+
+    want = {k: near(d) for k, d in enumerate(docs)}
+    assert sum(n > 0 for n in want.values()) > 40
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    for parts in (1, 3, 60):
+        got = find_matches(df.repartition(parts), benchmark, block_chars=500 if parts == 3 else 20_000_000).select("doc_id", "matches.n_near", "matches.n_words").collect()
+        assert {r.doc_id: r.n_near for r in got} == want
+        assert {r.doc_id: r.n_words for r in got} == {k: len(d) for k, d in enumerate(docs)}

@@ -16,9 +16,10 @@ from gridscore.llm.common import shared_dir, table
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts and texts without letters) go. The languages are learned from docs itself."""
+    """Documents without a language (null texts and texts without letters) go. The languages are learned from docs itself; where
+    there are none to learn, all texts with letters stay."""
     found = language_id.identify(docs, language_id.fit(docs), out="__language")
-    return found.where(F.col("__language.lang") != "und").select(*docs.columns)
+    return found.where("__language.lang IS NULL OR __language.lang != 'und'").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A suffix automaton is built over labelled text of each language. A text is cut g
 a language's text; phrases, times the logarithm of the amount of that text, over the length of the parsed text, estimate the
 cross entropy. The language with the least wins.
 
-Fitting takes a bounded sample: at most `rows_per_language` labelled rows for each language, in hash order, and of these at
-most `symbols` symbols. Parsing takes whole texts: it walks all automata over blocks of 256 symbols in
+Fitting takes a bounded sample: `rows_per_language` labelled rows for each language, in hash order (more of them where they
+are short), and of these at most `symbols` symbols. Parsing takes whole texts: it walks all automata over blocks of 256 symbols in
 lockstep, as table lookups; a phrase ends at a block's end, which adds at most one phrase to 256 symbols.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from gridscore.llm.common import held_out
 
 BLOCK = 256
+LETTER = r"\p{L}"
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.ArrayType(T.DoubleType()))])
 
 
@@ -132,11 +133,11 @@ class Languages:
             out[:, j] = np.bincount(doc, count, len(sizes))
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
         codes, ends, letters = self.code(texts)
         sizes = np.maximum(1, np.diff(np.concatenate([[0], ends])))
         if not self.names:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros((len(texts), 0))
+            return [None if ok else "und" for ok in letters.tolist()], np.zeros(len(texts)), np.zeros((len(texts), 0))
         bits = self.phrases(codes, ends) * np.array(self.log_n) / sizes[:, None]
         best = bits.argmin(1)  # ties: the first name
         share = np.exp2(-2 * (bits - bits.min(1, keepdims=True)))
@@ -145,18 +146,41 @@ class Languages:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 64, symbols: int = 30_000) -> Languages:
-    """Learn from rows that aren't held out and have a text and a language; what comes to the driver is bounded by
-    languages times rows_per_language rows of at most 4,000 code points (the longer ones aren't drawn)."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col).between(100, 4000)) & ~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    drawn = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= rows_per_language)
+    """Learn from rows that aren't held out and have a language and a text with letters, of any length.
+
+    A longer text gives a span of 4,000 code points, chosen by its id's hash. Texts of 100 code points and more are drawn
+    first, the shorter ones after them; where a language's draw has shorter ones and too few symbols, more of these are
+    drawn, up to `symbols` rows. So what comes to the driver is bounded for each language.
+    """
+    text, h = F.col(text_col), F.xxhash64(F.col(id_col).cast("string"))
+    span = F.substring(text, (F.pmod(h, F.char_length(text) - 3999) + 1).cast("int"), F.lit(4000))
+    lettered = F.when(span.rlike(LETTER), span).otherwise(F.substring(text, F.regexp_instr(text, F.lit(LETTER)), F.lit(4000)))
+    labelled = docs.where(F.col(lang_col).isNotNull() & text.rlike(LETTER) & ~held_out(F.col(id_col))).select(
+        F.col(lang_col).alias("lang"), F.when(F.char_length(text) > 4000, lettered).otherwise(text).alias("text"), h.alias("h"), (F.char_length(text) < 100).alias("short")
+    )
+
+    def draw(rows: DataFrame, limit: int) -> list:
+        ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("short", "h", "text")))
+        return sorted(ranked.where(F.col("n") <= limit).collect(), key=lambda r: (r.lang, r.n))
+
     texts: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.n)):
+    drawn = draw(labelled, rows_per_language)
+    for r in drawn:
         texts.setdefault(r.lang, []).append(r.text)
+    few = sorted({r.lang for r in drawn if r.short and r.n == rows_per_language and sum(map(len, texts[r.lang])) < symbols})
+    if few:
+        first = {lang: sum(r.lang == lang and not r.short for r in drawn) for lang in few}
+        more: dict[str, list[str]] = {}
+        for r in draw(labelled.where(F.col("lang").isin(few) & F.col("short")), symbols):
+            more.setdefault(r.lang, []).append(r.text)
+        for lang in few:
+            texts[lang][first[lang] :] = more[lang]
     return Languages(texts, symbols)
 
 
 def predictor(session, languages: Languages, at_once: int = 3_000_000):
-    """text column -> struct<lang, score, bits>; `und` with score 0 if the text is null or has no letters."""
+    """text column -> struct<lang, score, bits>; `und` with score 0 if the text is null or has no letters; a null language
+    with score 0 if it has letters but no language could be learned."""
     held = session.sparkContext.broadcast(languages)
 
     @F.arrow_udf(PREDICTION)

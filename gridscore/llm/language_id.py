@@ -5,7 +5,7 @@ a language's text; phrases, times the logarithm of the amount of that text, over
 cross entropy. The language with the least wins.
 
 Fitting takes a bounded sample: `rows_per_language` labelled rows for each language, in hash order (more of them where they
-are short), and of these at most `symbols` symbols. Parsing takes whole texts: it walks all automata over blocks of 256 symbols in
+are short), and of these at most `symbols` letters and runs of others; symbols are their bytes. Parsing takes whole texts: it walks all automata over blocks of 256 symbols in
 lockstep, as table lookups; a phrase ends at a block's end, which adds at most one phrase to 256 symbols.
 """
 
@@ -72,42 +72,61 @@ class SuffixAutomaton:
 
 
 class Languages:
-    """What is broadcast: an alphabet and a table of moves for each language; bounded by `symbols`."""
+    """What is broadcast: a table of moves for each language, over the bytes that its letters hold; bounded by `symbols`.
+
+    Symbols are the UTF-8 bytes of lower-cased letters, and 0 for a run of what isn't a letter. No letter of any script is left out.
+    """
 
     def __init__(self, texts: dict[str, list[str]], symbols: int):
-        letters = sorted({c for rows in texts.values() for t in rows for c in t.lower() if c.isalpha()})[:250]
-        self.letters = {c: i + 1 for i, c in enumerate(letters)}  # 0: a run of what isn't a letter
-        self.unknown, self.width = len(letters) + 1, len(letters) + 3
         self._table = None
-        self.names, self.moves, self.log_n = [], [], []
-        coded = {name: np.concatenate([self.code(rows)[0], [0]]).astype(int)[:symbols] for name, rows in texts.items()}
+        self.names, self.moves, self.local, self.log_n = [], [], [], []
         for name in sorted(texts):
-            if len(coded[name]) > 1:
+            codes = self._sample(texts[name], symbols)
+            if len(codes) > 1:
+                own = np.unique(codes)
+                local = np.full(256, len(own), np.uint16)  # the bytes of other letters are unknown to the language
+                local[own] = np.arange(len(own))
                 self.names.append(name)
-                self.moves.append(SuffixAutomaton(coded[name].tolist()).moves(self.width))
-                self.log_n.append(np.log2(len(coded[name]) + 1))
+                self.moves.append(SuffixAutomaton(local[codes].tolist()).moves(len(own) + 2))
+                self.local.append(local)
+                self.log_n.append(np.log2(len(codes) + 1))
 
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
-    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts, the texts' ends among them, and which texts have letters."""
+    def _sample(self, texts: list[str], symbols: int) -> np.ndarray:
+        """Codes of the first `symbols` letters and runs of others, and of the end."""
+        raw, _, _ = self._letters(texts)
+        return self._bytes(np.concatenate([raw, [0]]).astype(np.uint32)[:symbols])[0]
+
+    def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts' letters, with 0 for a run of others, the texts' ends among them, and which texts have letters."""
         if self._table is None:
-            self._table = np.full(0x110000, 0, np.uint8)
-            self._table[[c for c in range(0x110000) if chr(c).isalpha()]] = self.unknown
-            self._table[[ord(c) for c in self.letters]] = list(self.letters.values())
+            self._table = np.array([chr(c).isalpha() for c in range(0x110000)])
         low = [t.lower() for t in texts]
         ends = np.cumsum([len(t) for t in low])
-        raw = self._table[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self._table[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[ends] = True
         edge[0] = True
-        keep = raw != 0
-        keep[1:] |= raw[:-1] != 0
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
         keep |= edge[:-1]
         before = np.concatenate([[0], np.cumsum(keep)])
-        letters = np.concatenate([[0], np.cumsum(raw != 0)])[np.concatenate([[0], ends]).astype(np.int64)]
-        return raw[keep], before[ends.astype(np.int64)], np.diff(letters) > 0
+        letters = np.concatenate([[0], np.cumsum(letter)])[np.concatenate([[0], ends]).astype(np.int64)]
+        return np.where(letter, raw, 0)[keep].astype(np.uint32), before[ends.astype(np.int64)], np.diff(letters) > 0
+
+    def _bytes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of code points, and how many of them come before each."""
+        size = 1 + (raw >= 0x80).astype(np.int64) + (raw >= 0x800) + (raw >= 0x10000)
+        return np.frombuffer(raw.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8), np.concatenate([[0], np.cumsum(size)])
+
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts, the texts' ends among them, and which texts have letters."""
+        raw, ends, letters = self._letters(texts)
+        codes, before = self._bytes(raw)
+        return codes, before[ends], letters
 
     def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases by text and language."""
@@ -121,13 +140,13 @@ class Languages:
         order = np.argsort(-size, kind="stable")  # full blocks first: at step k only the first `live` have a symbol left
         start, size, doc = start[order], size[order], doc[order]
         live = np.searchsorted(-size, -np.arange(BLOCK), side="left")
-        lanes = [codes[start[:n] + k].astype(np.int32) for k, n in enumerate(live) if n]
-        for j, table in enumerate(self.moves):
+        lanes = [codes[start[:n] + k] for k, n in enumerate(live) if n]
+        for j, (table, local) in enumerate(zip(self.moves, self.local)):
             at = np.zeros(len(doc), np.int32)
             count = np.ones(len(doc), np.int32)
             for c in lanes:
                 n = len(c)
-                move = table[at[:n] + c]
+                move = table[at[:n] + local[c]]
                 count[:n] += move & 1
                 at[:n] = move >> 1
             out[:, j] = np.bincount(doc, count, len(sizes))

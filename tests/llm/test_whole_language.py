@@ -38,3 +38,17 @@ def test_nothing_to_learn_drops_nothing_with_letters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
     assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.digest(docs).collect()} == {1: (None, 0), 2: ("und", 0), 3: ("und", 0), 4: (None, 0)}
+
+
+def test_languages_beyond_250_letters(spark):
+    """Three languages that share their letters but not words, and one with 300 lower letters."""
+    rng = random.Random(6)
+    letters = [chr(0x5E00 + k) for k in range(600)]
+    docs, vocab = [], {name: ["".join(random.Random(f"{name}{k}").choices(letters, k=3)) for k in range(400)] for name in ("p", "q", "r")}
+    vocab["s"] = ["".join(random.Random(f"s{k}").choices([chr(0x4E00 + j) for j in range(300)], k=6)) for k in range(400)]
+    for k in range(480):
+        name = "pqrs"[k % 4]
+        docs.append((k, name, " ".join(rng.choices(vocab[name], k=60))))
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    out = language_id.digest(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert [right(out, name) for name in "pqrs"] == [1, 1, 1, 1]

@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, native.
 
 Per host, normalised lines are hashed and the documents holding each line are counted with map-side
-combining (each document sends a line once). Lines above the limit are boilerplate; a document left with
-too few of its words once those lines are gone is rejected as depleted.
+combining (each document counts once). Lines above the limit are boilerplate and are removed from the text; a document
+left with too few of its words once those lines are gone is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -59,44 +59,58 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, max_docs: int) -> DataFrame:
-    """(__host, __h) of the lines that more than max_docs documents of a host hold. Each row is a document; a null host is a host."""
+def frequent_lines(docs: DataFrame, id_col: str, host_col: str, text_col: str, max_docs: int) -> DataFrame:
+    """(__host, __h) of the lines that more than max_docs documents of a host hold. A document is an id, however many rows it has; a null host is a host."""
     keys = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.xxhash64(line_key(x))))
     return (
-        docs.select(F.xxhash64(host_col).alias("__host"), F.explode(keys).alias("__h"))
+        docs.where(F.col(id_col).isNotNull())
+        .select(F.xxhash64(host_col).alias("__host"), F.col(id_col).alias("__id"), F.explode(keys).alias("__h"))
+        .where(F.col("__h") != F.xxhash64(F.lit("")))
         .groupBy("__host", "__h")
-        .agg(F.count("*").alias("__docs"))
-        .where((F.col("__docs") > max_docs) & (F.col("__h") != F.xxhash64(F.lit(""))))
+        .agg(F.count_distinct("__id").alias("__docs"))
+        .where(F.col("__docs") > max_docs)
         .select("__host", "__h")
     )
 
 
+def _row_key(id_col: str, host_col: str, text_col: str) -> list[Column]:
+    """What rows share that hold the same document: id, and host and text as 128 bits of hash."""
+    return [F.col(id_col).alias("__id"), F.xxhash64(host_col).alias("__host"), F.xxhash64(text_col).alias("__t"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__u")]
+
+
 def removed_words(docs: DataFrame, id_col: str, host_col: str, text_col: str, max_docs: int) -> DataFrame:
-    """(__id, removed_lines, removed_words) of documents that hold frequent lines."""
-    lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(host_col).alias("__host"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("__line")).select(
-        "__id", "__host", F.xxhash64(line_key(F.col("__line"))).alias("__h"), F.regexp_count("__line", F.lit(WORD)).alias("__n")
+    """(__id, __host, __t, __u, removed_lines, removed_words, __gone: hashes of the removed lines) of documents that hold frequent lines, once for equal rows."""
+    key = ["__id", "__host", "__t", "__u"]
+    lines = docs.where(F.col(id_col).isNotNull()).select(*_row_key(id_col, host_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("__pos", "__line")).select(
+        *key, "__pos", F.xxhash64(line_key(F.col("__line"))).alias("__h"), F.regexp_count("__line", F.lit(WORD)).alias("__n")
     )
-    frequent = frequent_lines(docs, host_col, text_col, max_docs)
-    return lines.where("__n > 0").join(frequent.hint("merge"), ["__host", "__h"]).groupBy("__id").agg(F.count("*").alias("removed_lines"), F.sum("__n").alias("removed_words"))
+    frequent = frequent_lines(docs, id_col, host_col, text_col, max_docs)
+    once = lines.where("__n > 0").join(frequent.hint("merge"), ["__host", "__h"]).groupBy(*key, "__pos").agg(F.min("__n").alias("__n"), F.min("__h").alias("__h"))
+    return once.groupBy(*key).agg(F.count("*").alias("removed_lines"), F.sum("__n").alias("removed_words"), F.collect_set("__h").alias("__gone"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, max_docs: int = 100, max_removed: float = 0.7) -> DataFrame:
-    """One row per row of docs: its columns and text statistics, base_failed, removed_lines, removed_words, depleted, kept.
+    """One row per row of docs: its columns, the text without its frequent lines, statistics of the text as given, base_failed,
+    removed_lines, removed_words, depleted, kept.
 
-    base_failed: n_words < min_words, or more than half of the words repeat in 3-word windows. depleted: lines
-    that more than max_docs documents of the host hold make up more than max_removed of the words. Rows with a null id are judged by their own
-    text only. Rows that share an id share the removed count of that id, divided by their number.
+    base_failed: n_words < min_words, or more than half of the words repeat in 3-word windows. depleted: frequent lines, those
+    that more than max_docs documents of the host hold, make up more than max_removed of the words. Rows with a null id are judged by their own
+    text only, and keep it. Each row that shares an id is judged by its own lines; together they count as one document.
     """
-    stats = base_statistics(docs, text_col).drop(text_col)
-    removed = removed_words(docs, id_col, host_col, text_col, max_docs).withColumnRenamed("__id", "__rid")
-    out = stats.join(removed.hint("merge"), stats[id_col] == F.col("__rid"), "left").drop("__rid")
+    stats = base_statistics(docs, text_col).select("*", *[c.alias(f"__own{k}") for k, c in enumerate(_row_key(id_col, host_col, text_col))])
+    removed = removed_words(docs, id_col, host_col, text_col, max_docs)
+    same = [F.col(f"__own{k}") == F.col(c) for k, c in enumerate(("__id", "__host", "__t", "__u"))]
+    out = stats.join(removed.hint("merge"), same, "left")
+    rest = F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(line_key(x))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        out.withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)))
+        out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
+        .withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)))
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("depleted", F.col("removed_words") > max_removed * F.col("n_words"))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+        .drop("__id", "__host", "__t", "__u", "__gone", *[f"__own{k}" for k in range(4)])
     )
 
 

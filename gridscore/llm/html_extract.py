@@ -18,9 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "math"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "annotation", "annotation-xml"}
+#: A slash at the end of their tag closes them, and without an end tag nothing is skipped. Other raw text runs on to its end tag.
+SLASHED = {"svg", "object"}
+#: What may stand in a head. Any other tag closes it.
+HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "style", "script", "noscript", "template", "noframes"}
 VOID = {"br", "img", "input", "meta", "link", "hr", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
 INLINE = {"a", "b", "i", "u", "s", "em", "strong", "span", "small", "big", "sub", "sup", "code", "kbd", "samp", "var", "mark", "abbr", "cite", "q", "dfn", "del", "ins", "font", "tt", "time", "bdi", "bdo", "label", "img", "wbr", "br", "ruby", "rt", "rp", "data", "strike", "acronym"}
+#: Formulas belong to the text that they stand in; their annotations repeat them.
+INLINE |= {"math", "mi", "mo", "mn", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "merror", "semantics", "annotation", "annotation-xml"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end tag doesn't reach beyond.
 FENCE = {"div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "table", "ul", "ol", "dl", "blockquote", "body", "html", "figure", "details", "fieldset"}
@@ -75,6 +81,8 @@ class Parser:
         def text(s: str):
             nonlocal linked
             if s:
+                if stack and stack[-1][0] == "head" and s.strip():
+                    leave_head()
                 s = entities.unescape(s) if "&" in s else s
                 parts.append(s)
                 if links:
@@ -85,6 +93,13 @@ class Parser:
             links -= sum(t == "a" for t, _ in stack[k:])
             del stack[k:]
 
+        def leave_head():
+            for k, (t, _) in enumerate(stack[:3]):
+                if t == "head":
+                    flush()
+                    pop_to(k)
+                    break
+
         at = 0
         while m := TAG.search(page, at):
             text(page[at : m.start()])
@@ -106,9 +121,13 @@ class Parser:
                     if not block and stack[k][0] not in INLINE:
                         break
                 continue
+            if tag not in HEAD and tag not in RAW:
+                leave_head()
+            if tag in SLASHED and attributes.rstrip().endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else at if tag in SLASHED else len(page)
                 continue
             if tag in VOID or attributes.endswith("/"):
                 continue

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridscore.operators import ingest, scoring
 from gridscore.operators.shred import grid_cells, shred_tables
 from gridscore.plans.derive import PAIRS_SQL, dataset_runs, predictions, responses, samples, table
 from gridscore.sources import files, imports
+from gridscore.sources.shared import new_path as scratch
 from gridscore.sources.schemas import SAMPLE, TOKENS
 from gridscore.streaming.latest import last_snapshot, stream_latest, stream_summaries
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that the session shares with its executors."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="gridscore-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def with_pairs(sql: str) -> str:
     return f"WITH {PAIRS_SQL} {sql}"
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscore.sources.shared import new_path, store
+
 #: The white space of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,24 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="gridscore-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which goes when the driver ends."""
+    return store(df, new_path(df.sparkSession, name))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors, and gives Spark true sizes for what follows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_key(text: Column) -> list[Column]:
+    """128 bits of hash of a text; null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("__t"), F.xxhash64(F.lit(1), t).alias("__u")]
 
 
 def ascii_lower(c: Column) -> Column:

@@ -26,7 +26,7 @@ def test_decoys_with_tied_counts_are_not_exact():
             decoys.extend([w] * int(rng.integers(3)))
         decoys.append("other")
     stream = np.array([windows.vocab.get(w.encode(), -1) for w in decoys], np.int32)
-    got = {int(i) for item, _, _, exact in windows.matches(stream, 10) for i in item[exact]}
+    got = {int(i) for item, _, size, in_place in windows.matches(stream, 10) for i in item[in_place == size]}
     assert got == whole
 
 

@@ -4,7 +4,8 @@ A fingerprint has eight bytes, so two that differ in at most three bits share at
 bytes, and among those at least three in one half of the fingerprint. Postings are therefore keyed by three
 positional bytes of a half (eight keys per distinct fingerprint). In a posting list the positional bytes shared
 by two fingerprints are tallied; pairs with at least five are verified by counting bits. A posting list that is too
-long is keyed anew by two more of the other five bytes, which no pair with five shared bytes can miss.
+long is keyed anew by two more of the other five bytes, which no pair with five shared bytes can miss. (A list of one byte
+would hold a 256th of all fingerprints, so bytes are combined.)
 Long lists are searched from fingerprint to fingerprint for a spanning forest instead of all pairs.
 """
 
@@ -89,8 +90,8 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes linked inside whole posting lists, which are sorted by key."""
+def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints linked inside whole posting lists, which are sorted by key."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     size = np.repeat(sizes, sizes)
@@ -98,24 +99,24 @@ def _links(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> tuple[np.nda
     for d in range(1, min(BULK, int(sizes.max()))):
         i = np.flatnonzero((keys[d:] == keys[:-d]) & (size[d:] <= BULK))
         i = i[linked(fps[i], fps[i + d])]
-        a.append(nodes[i])
-        b.append(nodes[i + d])
+        a.append(fps[i])
+        b.append(fps[i + d])
     for s, n in zip(starts[sizes > BULK].tolist(), sizes[sizes > BULK].tolist()):
         pairs = np.array(forest(fps[s : s + n]), np.int64).reshape(-1, 2) + s
-        a.append(nodes[pairs[:, 0]])
-        b.append(nodes[pairs[:, 1]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
+        a.append(fps[pairs[:, 0]])
+        b.append(fps[pairs[:, 1]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
 def _scan(batches):
-    """mapInArrow over rows (key, fp, node) sorted by key; a list that is cut by a batch waits for the next one."""
+    """mapInArrow over rows (key, fp) sorted by key; a list that is cut by a batch waits for the next one."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 2
 
     def emit(part):
         if len(part[0]):
-            u, v = _links(part[0], part[1].view(np.uint64), part[2])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+            u, v = _links(part[0], part[1].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
@@ -128,20 +129,20 @@ def _scan(batches):
 
 
 def fingerprint_links(nodes: DataFrame, max_list: int = 2048) -> DataFrame:
-    """Links (u, v) between the nodes (node, fp) of distinct fingerprints; connected as the graph of all links is."""
+    """Links (u, v) between distinct fingerprints (fp); connected as the graph of all links is."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = nodes.select("node", "fp", F.posexplode(F.array(*[_key(F.col("fp"), k, at) for k, at in enumerate(TRIPLES)])).alias("number", "key"))
+    posted = nodes.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), k, at) for k, at in enumerate(TRIPLES)])).alias("number", "key"))
     long_lists = posted.groupBy("key").count().where(F.col("count") > max_list).select("key", F.lit(True).alias("long"))
     sized = posted.join(long_lists.hint("merge"), "key", "left")
     finer = F.lit(None).cast("array<bigint>")
     for k in range(len(TRIPLES)):
         finer = F.when(F.col("number") == k, _finer(F.col("fp"), k)).otherwise(finer)
-    keyed = sized.select(F.explode(F.when(F.col("long"), finer).otherwise(F.array("key"))).alias("key"), "fp", "node")
+    keyed = sized.select(F.explode(F.when(F.col("long"), finer).otherwise(F.array("key"))).alias("key"), "fp")
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_scan, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node with a link: the smallest node that can be reached.
+    """(node, component) of every node with a link: the smallest node that can be reached, as a signed number.
 
     Large-star and small-star steps in turn; each step joins links with the minimum of their neighbours, so that no
     neighbourhood is gathered, and its result is stored.
@@ -170,18 +171,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): one row per row of docs; the id column keeps its name.
+    """(id, fp, component): one row per row of docs; the id column keeps its name and may be of any type that can be ordered.
 
     component: the smallest id reachable over links of at most three differing bits, itself included. Null and empty texts have
-    fingerprint 0, which links like any other. Rows with a null id get a fingerprint and a null component and link nothing.
+    fingerprint 0, which links like any other. Rows with a null id get a fingerprint and a null component and link nothing. Rows
+    with equal ids are one document that has several fingerprints only if their texts differ; those don't link by the id.
+    Texts of any length are read whole. An empty table gives an empty table.
     """
-    fps = stored(docs.select(F.col(id_col).cast("long").alias("__id"), fingerprint(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
-    nodes = stored(fps.where("__id IS NOT NULL").groupBy("fp").agg(F.min("__id").alias("node")), "nodes")
-    found = components(fingerprint_links(nodes))
-    classes = nodes.join(found.hint("merge"), "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("component"))
-    joined = fps.join(classes.hint("merge"), fps["fp"] == F.col("__fp"), "left")
+    fps = stored(docs.select(F.col(id_col).alias("__id"), fingerprint(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
+    nodes = stored(fps.where("__id IS NOT NULL").groupBy("fp").agg(F.min("__id").alias("least")), "nodes")
+    found = components(fingerprint_links(nodes.select("fp")))
+    classes = stored(nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "classes")
+    roots = classes.groupBy("root").agg(F.min("least").alias("component"))
+    named = classes.join(roots.hint("merge"), "root").select(F.col("fp").alias("__fp"), "component")
+    joined = fps.join(named.hint("merge"), fps["fp"] == F.col("__fp"), "left")
     return joined.select(F.col("__id").alias(id_col), "fp", F.when(F.col("__id").isNotNull(), F.col("component")).alias("component"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, the fingerprint as 16 hex digits, and component_id; rows as in near_duplicates."""
     return near_duplicates(docs.select("doc_id", "text")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

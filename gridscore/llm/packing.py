@@ -3,14 +3,22 @@
 The global histogram of lengths, which has at most max_len + 1 rows, is counted with map-side combining; dynamic
 programming over it chooses the bucket boundaries with the least padding. Batches under a token budget form inside
 each bucket. A bucket is dealt into shards by a hash, as many as its share of the histogram asks for, so no task
-holds a whole bucket; a shard fills its batches in order and only its last one may be short.
+holds a whole bucket; a shard fills its batches in order and only its last one may be short. Every piece says which
+characters of its document it holds, so a batch can be turned back into text.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridscore.llm.common import stored
 
 #: The length unit of the query: runs of word characters, and single other characters.
 PIECE = r"\w+|[^\w\s]"
@@ -55,15 +63,41 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return sorted(set(out))
 
 
-def split_long(docs: DataFrame, id_col: str, length: Column, max_len: int) -> DataFrame:
-    """(id, piece, n_tokens): a length over max_len is cut into full pieces and a rest, so that nothing is dropped."""
-    sized = docs.select(F.col(id_col), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("__len"))
-    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("__len") / max_len) - 1, F.lit(0)))
-    return sized.select(id_col, "__len", F.explode(pieces).alias("piece")).select(id_col, "piece", F.least(F.lit(max_len), F.col("__len") - F.col("piece") * max_len).cast("long").alias("n_tokens"))
+def _cuts(max_len: int):
+    """Where the pieces of a long text begin, in code points: at 0 and at every max_len-th unit. Null stays null."""
+    unit = re.compile(PIECE, re.ASCII)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def cuts(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            if not t.is_valid:
+                out.append(None)
+                continue
+            units = unit.finditer(t.as_py())
+            starts = [0, *(m.start() for m in islice(units, max_len, None, max_len))]
+            out.append(starts)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return cuts
+
+
+def split_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 4096) -> DataFrame:
+    """(id, piece, start, stop, n_tokens): characters [start, stop) of the text, which hold n_tokens units.
+
+    A text of more than max_len units is cut into pieces of max_len and a rest; what stands between two units belongs to the piece
+    before. The pieces of a text, joined, are the text. Null and empty texts are one piece of no characters.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.select(F.col(id_col), F.char_length(t).cast("long").alias("__chars"), piece_count(F.col(text_col)).alias("__len"), t.alias("__text"))
+    starts = F.coalesce(_cuts(max_len)(F.when(F.col("__len") > max_len, F.col("__text"))), F.array(F.lit(0).cast("long")))
+    rows = sized.select(id_col, "__chars", "__len", starts.alias("__starts")).select(id_col, "__chars", "__len", "__starts", F.posexplode("__starts").alias("piece", "start"))
+    stop = F.coalesce(F.get("__starts", F.col("piece") + 1), F.col("__chars"))
+    return rows.select(id_col, F.col("piece").cast("long").alias("piece"), "start", stop.alias("stop"), F.least(F.lit(max_len), F.col("__len") - F.col("piece") * max_len).cast("long").alias("n_tokens"))
 
 
 def pack(rows: DataFrame, id_col: str = "doc_id", max_len: int = 4096, buckets: int = 16, budget: int = 65536, shard_rows: int = 20_000) -> DataFrame:
-    """rows (id, piece, n_tokens) with bucket_len, batch ("bucket-shard-number") and slot, each row once.
+    """rows (id, piece, n_tokens and any others) with bucket_len, batch ("bucket-shard-number") and slot, each row once.
 
     A batch of bucket b holds up to budget // b rows (at least one), each padded to b. Null or negative lengths count as 0. Equal
     rows go to the same shard and are placed next to each other. Empty tables give empty tables.
@@ -89,12 +123,20 @@ def pack(rows: DataFrame, id_col: str = "doc_id", max_len: int = 4096, buckets:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 4096, **options) -> DataFrame:
-    """Every document by its number of pieces of text; the lengths are stored, so that texts are read once."""
-    from gridscore.llm.common import stored
+    """(id, piece, start, stop, n_tokens, bucket_len, batch, slot) of every document's pieces; the pieces are stored, so that texts are read once.
+
+    Other columns of docs take no part. Texts of any length are packed whole.
+    """
+    return pack(stored(split_long(docs, id_col, text_col, max_len), "pieces"), id_col, max_len, **options)
+
 
-    rows = stored(split_long(docs, id_col, piece_count(F.col(text_col)), max_len), "lengths")
-    return pack(rows, id_col, max_len, **options)
+def piece_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """packed with `piece_text`, the characters of each piece. Ids must be unique in docs."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    part = F.substring(F.col("__text"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    return packed.join(texts.hint("merge"), packed[id_col].eqNullSafe(F.col("__id")), "left").withColumn("piece_text", part).drop("__id", "__text")
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents in their batches; rows as in pack_documents."""
     return pack_documents(docs.select("doc_id", "text"))

@@ -107,6 +107,15 @@ def test_op10_brute(spark):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in out} == {(k, f"{v:016x}", want[k]) for k, v in fps.items()}
 
 
+def test_op10_text_ids(spark):
+    from gridscore.llm.simhash import near_duplicates
+
+    texts = {"b": "one two three four", "a": "one two three four", "c": "other words than these", "d": "", "e": None}
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in [*texts.items(), (None, "x")]], "name string, text string, fp int, component int, root int")
+    out = {r.name: (r.fp, r.component) for r in near_duplicates(df, "name").collect()}
+    assert {k: c for k, (_, c) in out.items()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", None: None} and out["a"][0] == out["b"][0]
+
+
 @pytest.mark.parametrize("max_list", [2, 5, 2048])
 def test_links_of_long_lists(spark, max_list):
     import random
@@ -119,10 +128,10 @@ def test_links_of_long_lists(spark, max_list):
     fps = {v: k for k, v in fps.items()}
     fps = {k: v for v, k in fps.items()}
     sign = lambda v: v - (1 << 64) if v >> 63 else v
-    nodes = spark.createDataFrame([(k, sign(v)) for k, v in fps.items()], "node long, fp long")
+    nodes = spark.createDataFrame([(sign(v),) for v in fps.values()], "fp long")
     got = {r.node: r.component for r in S.components(S.fingerprint_links(nodes, max_list)).collect()}
-    want = classes(fps)
-    assert {k: got.get(k, k) for k in fps} == want
+    same = lambda c: sorted(sorted(k for k in c if c[k] == x) for x in set(c.values()))
+    assert same({k: got.get(sign(v), sign(v)) for k, v in fps.items()}) == same(classes(fps))
 
 
 def test_op8_packing(spark):
@@ -153,3 +162,57 @@ def test_op8_packing(spark):
         got = optimal_boundaries(h, k)
         assert len(got) <= k and got[-1] == top and cost(h, got) == best
     assert optimal_boundaries({}, 3) == []
+
+
+def test_op8_plain_packer(spark):
+    """The query's batches from plain Python: pieces by a scan for units, boundaries by trying all, batches in order of id and piece."""
+    import re
+    from collections import Counter
+
+    texts = documents(spark, MID)
+    unit = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]")
+    pieces = {}
+    for k, t in texts.items():
+        at = [m.start() for m in unit.finditer(t or "")]
+        starts = [0, *at[4096::4096]]
+        for i, (a, z) in enumerate(zip(starts, [*starts[1:], len(t or "")])):
+            pieces[k, i] = (a, z, min(4096, len(at) - i * 4096))
+    out = rows(spark, "op8_packing", MID)
+    assert {(r.doc_id, r.piece): (r.start, r.stop, r.n_tokens) for r in out} == pieces and len(out) == len(pieces)
+    for k, t in texts.items():
+        own = sorted(a for (d, _), a in pieces.items() if d == k) if len(t or "") > 20_000 else [(0, len(t or ""), 0)]
+        assert "".join((t or "")[a:z] for a, z, _ in own) == (t or "")
+    # least padding with 16 bounds, by the plain recurrence over distinct lengths
+    tally = sorted(Counter(n for _, _, n in pieces.values()).items())
+    ahead = [0]
+    for _, n in tally:
+        ahead.append(ahead[-1] + n)
+    weight = [0]
+    for length, n in tally:
+        weight.append(weight[-1] + length * n)
+    cost = lambda i, j: (ahead[j] - ahead[i]) * tally[j - 1][0] - (weight[j] - weight[i])
+    row = [0] + [float("inf")] * len(tally)
+    for _ in range(16):
+        row = [0] + [min(row[i] + cost(i, j) for i in range(j)) for j in range(1, len(tally) + 1)]
+    assert sum(r.bucket_len - r.n_tokens for r in out) == row[-1]
+    bounds = sorted({r.bucket_len for r in out})
+    assert all(r.bucket_len == min(b for b in bounds if b >= r.n_tokens) for r in out)
+    shards = defaultdict(list)
+    for r in out:
+        shards[r.batch.rsplit("-", 1)[0]].append(r)
+    for own in shards.values():
+        own.sort(key=lambda r: (r.doc_id, r.piece))
+        room = max(1, 65536 // max(1, own[0].bucket_len))
+        assert [(int(r.batch.rsplit("-", 1)[1]), r.slot) for r in own] == [divmod(i, room) for i in range(len(own))]
+
+
+def test_op8_pieces_are_the_text(spark):
+    from gridscore.llm.packing import pack_documents, piece_texts
+
+    texts = {1: "a b  c, d \u00e9\U0001f600 e\n", 2: None, 3: "", 4: "  \t ", 5: "x" * 50, 6: "w " * 40 + " . "}
+    df = spark.createDataFrame([(k, t, 1, "z", 0) for k, t in texts.items()], "doc_id long, text string, start int, batch string, piece int")
+    for max_len in (1, 3, 64):
+        got = defaultdict(list)
+        for r in piece_texts(df, pack_documents(df, max_len=max_len)).collect():
+            got[r.doc_id].append((r.piece, r.piece_text))
+        assert {k: "".join(t for _, t in sorted(v)) for k, v in got.items()} == {k: t or "" for k, t in texts.items()}

@@ -38,25 +38,25 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(None)).otherwise(tri)
 
 
-def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); null text counts as empty."""
+def base_statistics(docs: DataFrame, text_col: str = "text", out: str = "statistics") -> DataFrame:
+    """docs with a struct `out`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); null text counts as empty."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__w", words_of(t)).withColumn("__tri", repeated_words(F.col("__w")))
-    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__tri")) < F.size("__tri"), F.array_sort(F.transform("__tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    rows = docs.withColumn("__w", words_of(t)).withColumn("__tri", repeated_words(F.col("__w")))
+    rows = rows.withColumn("__sorted", F.when(F.size(F.array_distinct("__tri")) < F.size("__tri"), F.array_sort(F.transform("__tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s = F.col("__sorted")
     same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
-    out = out.withColumn("__at", F.array_sort(F.transform(F.filter(s, lambda x, j: same(j, j - 1) | same(j, j + 1)), lambda x: x["i"])))
+    rows = rows.withColumn("__at", F.array_sort(F.transform(F.filter(s, lambda x, j: same(j, j - 1) | same(j, j + 1)), lambda x: x["i"])))
     swept = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     text_lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(WS)) != "")
-    return (
-        out.withColumn("__ls", text_lines)
-        .withColumn("n_words", F.size("__w").cast("long"))
-        .withColumn("word_chars", F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)))
-        .withColumn("n_symbols", (F.char_length(t) - _without(t, SYMBOLS)).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__ls") - F.size(F.array_distinct("__ls"))).cast("long"))
-        .withColumn("n_repeat_words", F.coalesce(swept, F.lit(0)).cast("long"))
-        .drop("__w", "__tri", "__sorted", "__at", "__ls")
+    rows = rows.withColumn("__ls", text_lines)
+    found = F.struct(
+        F.size("__w").cast("long").alias("n_words"),
+        F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+        (F.char_length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("__ls") - F.size(F.array_distinct("__ls"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(swept, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    return rows.withColumn(out, found).drop("__w", "__tri", "__sorted", "__at", "__ls")
 
 
 def frequent_lines(docs: DataFrame, id_col: str, host_col: str, text_col: str, max_docs: int) -> DataFrame:
@@ -89,33 +89,38 @@ def removed_words(docs: DataFrame, id_col: str, host_col: str, text_col: str, ma
     return once.groupBy(*key).agg(F.count("*").alias("removed_lines"), F.sum("__n").alias("removed_words"), F.collect_set("__h").alias("__gone"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, max_docs: int = 100, max_removed: float = 0.7) -> DataFrame:
-    """One row per row of docs: its columns, the text without its frequent lines, statistics of the text as given, base_failed,
-    removed_lines, removed_words, depleted, kept.
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, max_docs: int = 100, max_removed: float = 0.7, out: str = "rules") -> DataFrame:
+    """docs with a struct `out`: the text without its frequent lines, statistics of the text as given, base_failed, removed_lines,
+    removed_words, depleted, kept. Every row and column of docs stays; a column that is named as `out` is replaced, names that begin with two
+    underscores are the operator's own.
 
     base_failed: n_words < min_words, or more than half of the words repeat in 3-word windows. depleted: frequent lines, those
     that more than max_docs documents of the host hold, make up more than max_removed of the words. Rows with a null id are judged by their own
     text only, and keep it. Each row that shares an id is judged by its own lines; together they count as one document.
+    Null texts are empty and stay null. Texts of any length are read whole. An empty table gives an empty table.
     """
-    stats = base_statistics(docs, text_col).select("*", *[c.alias(f"__own{k}") for k, c in enumerate(_row_key(id_col, host_col, text_col))])
+    stats = base_statistics(docs.drop(out), text_col, "__s").select("*", *[c.alias(f"__own{k}") for k, c in enumerate(_row_key(id_col, host_col, text_col))])
     removed = removed_words(docs, id_col, host_col, text_col, max_docs)
     same = [F.col(f"__own{k}") == F.col(c) for k, c in enumerate(("__id", "__host", "__t", "__u"))]
-    out = stats.join(removed.hint("merge"), same, "left")
+    rows = stats.join(removed.withColumnsRenamed({"removed_lines": "__lines", "removed_words": "__words"}).hint("merge"), same, "left")
     rest = F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(line_key(x))))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
-        .withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)))
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-        .withColumn("base_failed", failed)
-        .withColumn("depleted", F.col("removed_words") > max_removed * F.col("n_words"))
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("__id", "__host", "__t", "__u", "__gone", *[f"__own{k}" for k in range(4)])
+    failed = (F.col("__s.n_words") < min_words) | (100 * F.col("__s.n_repeat_words") > 50 * F.col("__s.n_words"))
+    depleted = F.coalesce("__words", F.lit(0)) > max_removed * F.col("__s.n_words")
+    found = F.struct(
+        F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")).alias("text"),
+        "__s.*",
+        failed.alias("base_failed"),
+        F.coalesce("__lines", F.lit(0)).alias("removed_lines"),
+        F.coalesce("__words", F.lit(0)).alias("removed_words"),
+        depleted.alias("depleted"),
+        (~failed & ~depleted).alias("kept"),
     )
+    return rows.withColumn(out, found).drop("__id", "__host", "__t", "__u", "__gone", "__s", "__lines", "__words", *[f"__own{k}" for k in range(4)])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return apply_rules(docs.select("doc_id", "source", "text")).select(
+    """doc_id, the statistics, the verdicts and what was removed; rows as in apply_rules."""
+    return apply_rules(docs.select("doc_id", "source", "text")).select("doc_id", "rules.*").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "removed_words"
     )
 

@@ -11,7 +11,7 @@ def test_frequent_lines_are_removed_and_rows_repeated(spark):
     twice = (50, "h", "\n".join([menu] * 4) + "\n" + "\n".join(body(50).split("\n")[:6]), "x")  # 24 of 66 words
     rows += [many] * 8 + [twice] * 2 + [(50, "h", "another text of fifty", "x"), (None, "h", menu, "x"), (7, "other", menu, "x"), (8, None, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, more string")
-    out = quality_rules.apply_rules(df, min_words=1, max_docs=4).collect()
+    out = quality_rules.apply_rules(df, min_words=1, max_docs=4).select("doc_id", "rules.*").collect()
     assert len(out) == len(rows)
     assert {r.doc_id: r.text for r in out if r.doc_id is not None and r.doc_id < 6} == {k: f"{body(k)}\n" for k in range(6)}
     assert all((r.text, r.removed_lines, r.depleted) == (many[2], 0, False) for r in out if r.doc_id == 100)

@@ -141,22 +141,28 @@ class RuleEnsemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **options) -> RuleEnsemble:
-    """From labelled rows that aren't held out: at most max_rows, in hash order, whose ids are broadcast and whose statistics come to the driver.
+    """From labelled rows that aren't held out: at most max_rows ids, in hash order, which are broadcast, and at most max_rows
+    rows of statistics, which come to the driver.
 
-    Null ids and labels are left out. With fewer than 20 rows or one class, the score is the share of label 1 (0.5 for no rows).
+    Null ids and labels are left out. Repeated labels of an id count once, and differing ones once each; repeated documents count once each, up to
+    the limit. With fewer than 20 rows or one class, the score is the share of label 1 (0.5 for no rows).
     """
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    picked = picked.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"), F.xxhash64(F.col(id_col).cast("string")).alias("__h")).orderBy("__h", "__id", "__y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__h", "__y", statistics(F.col("__text").cast("binary")).alias("s")).select("__h", "__y", "s.*").toPandas()
-    rows = rows.sort_values(["__h", "__y", *STATISTICS], kind="stable")
+    picked = picked.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"), F.xxhash64(F.col(id_col).cast("string")).alias("__h")).distinct().orderBy("__h", "__id", "__y").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    rows = rows.select("__h", "__y", statistics(F.col("__text").cast("binary")).alias("s")).select("__h", "__y", "s.*").orderBy("__h", "__y", *STATISTICS).limit(max_rows).toPandas()
     return RuleEnsemble(rows[list(STATISTICS)].to_numpy(np.float64), rows["__y"].to_numpy(np.float64), **options)
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with `out`, from 0 to 1; null and empty texts have the statistics of an empty text. Every row and column stays."""
-    return docs.withColumn("__stats", statistics(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn(out, model.column(F.col("__stats"))).drop("__stats")
+    """docs with `out`, from 0 to 1; null and empty texts have the statistics of an empty text. Every row and column stays, but for one that is named as `out`.
+
+    Texts of any length are read whole; equal texts get equal scores; an empty table gives an empty table.
+    """
+    return docs.drop(out).withColumn("__stats", statistics(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn(out, model.column(F.col("__stats"))).drop("__stats")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted (score of 0.7 or more), a row per row of docs; rows as in score."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

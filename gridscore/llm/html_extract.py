@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "annotation", "annotation-xml"}
+#: What is not text of a page: code, styles, inert markup, other documents, drawings, form fields, and repeated formulas.
+RAW = {"script", "style", "template", "iframe", "svg", "textarea", "select", "annotation", "annotation-xml"}
 #: A slash at the end of their tag closes them, and without an end tag nothing is skipped. Other raw text runs on to its end tag.
-SLASHED = {"svg", "object"}
+SLASHED = {"svg"}
 #: What may stand in a head. Any other tag closes it.
 HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "style", "script", "noscript", "template", "noframes"}
 VOID = {"br", "img", "input", "meta", "link", "hr", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
@@ -365,10 +366,15 @@ def fit(pages: list[tuple[str, list[int]]] | None = None) -> Field:
 
 
 def extract_text(pages: DataFrame, field: Field, html_col: str = "html", out: str = "text") -> DataFrame:
-    """pages with `out`: the main blocks in page order, joined by an empty line; null or empty html, or none found: empty."""
-    return pages.withColumn(out, extractor(pages.sparkSession, field)(F.col(html_col)))
+    """pages with `out`: the main blocks in page order, joined by an empty line; null or empty html, or none found: empty.
+
+    Every row and column stays, but for one that is named as `out`. Pages of any length are read whole; equal pages get equal texts; an
+    empty table gives an empty table.
+    """
+    return pages.drop(out).withColumn(out, extractor(pages.sparkSession, field)(F.col(html_col)))
 
 
 def digest(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars, a row per row of pages; rows as in extract_text."""
     found = extract_text(pages.select("page_id", "url", "html"), fit())
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -58,12 +58,15 @@ class SuffixAutomaton:
     def moves(self, width: int) -> np.ndarray:
         """State times symbol: twice the next row's offset, plus 1 where a phrase ends and the next begins with the symbol.
 
-        The last symbol of the width is padding, which returns to the start and ends nothing; the one before is unknown to all.
+        One more state stands behind a symbol that occurs nowhere, which is a phrase of its own. The last symbol of the width is
+        padding, which returns to the start and ends nothing; the one before is unknown to all.
         """
-        first = np.zeros(width, np.int64)
+        nowhere = len(self.next)
+        first = np.full(width, nowhere * width * 2, np.int64)
         for c, q in self.next[0].items():
             first[c] = q * width * 2
-        out = np.tile((first + 1).astype(np.int32), (len(self.next), 1))
+        out = np.tile((first + 1).astype(np.int32), (nowhere + 1, 1))
+        out[0] = first  # a block's first symbol begins its first phrase
         for s, row in enumerate(self.next):
             for c, q in row.items():
                 out[s, c] = q * width * 2
@@ -227,10 +230,15 @@ def predictor(session, languages: Languages, at_once: int = 3_000_000):
 
 
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with a struct `out` (lang, score from 0 to 1, bits by language); every row and column stays."""
-    return docs.withColumn(out, predictor(docs.sparkSession, languages)(F.col(text_col)))
+    """docs with a struct `out` (lang, score from 0 to 1, bits by language); every row and column stays, but for one that is named as `out`.
+
+    Null texts and texts without letters are `und`; texts of any length are read whole; ties go to the first name; equal texts
+    get equal answers; an empty table gives an empty table.
+    """
+    return docs.drop(out).withColumn(out, predictor(docs.sparkSession, languages)(F.col(text_col)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score, a row per row of docs; rows as in identify."""
     found = identify(docs.select("doc_id", "text"), fit(docs), out="p")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

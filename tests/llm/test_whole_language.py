@@ -52,3 +52,25 @@ def test_languages_beyond_250_letters(spark):
     df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
     out = language_id.digest(df).join(df.select("doc_id", "lang"), "doc_id").collect()
     assert [right(out, name) for name in "pqrs"] == [1, 1, 1, 1]
+
+
+def test_phrases_are_longest_matches():
+    """Against plain parsing: the longest match in the learned text, or one unknown symbol; a phrase ends at a block's end."""
+    rng = random.Random(9)
+    own = {"p": [" ".join(rng.choices(["ab", "abc", "bca", "\u00e9a", "cab"], k=60))], "q": [" ".join(rng.choices(["xa", "xyb", "\u4e2d", "yx"], k=40))]}
+    learned = language_id.Languages(own, 200)
+    sample = [learned._sample(own[name], 200).tobytes() for name in learned.names]
+    texts = ["", "a", "zzz", "ab zz abc", "\u4e2d\u4e2d \u4e2e"] + [" ".join(rng.choices(["ab", "bc", "z", "x", "\u00e9", "\u4e2d", "abcab", "12"], k=n)) for n in (5, 40, 90, 300, 1000)]
+    codes, ends, _ = learned.code(texts)
+    got = learned.phrases(codes, ends)
+    start = 0
+    for k, end in enumerate(ends.tolist()):
+        for j, body in enumerate(sample):
+            n = 0
+            for at in range(start, end, language_id.BLOCK):
+                block = codes[at : min(end, at + language_id.BLOCK)].tobytes()
+                while block:
+                    size = max((m for m in range(1, len(block) + 1) if block[:m] in body), default=1)
+                    block, n = block[size:], n + 1
+            assert got[k, j] == n, (texts[k], learned.names[j])
+        start = end

@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256), one row per row of docs; the id column keeps its name.
 
     Null texts are empty. Rows with equal ids and equal texts are copies of each other, like any two rows: each row is a text of its own,
-    numbered within its id and text. Texts shorter than `length` lose nothing. An empty table gives an empty table.
+    numbered within its id and text. Texts shorter than `length` lose nothing; texts of any length are read whole. Other columns of docs take no part. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     if rows.groupBy("__id").count().where("count > 1").isEmpty():
@@ -336,4 +336,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row per row of docs; rows as in remove_repeats."""
     return remove_repeats(docs.select("doc_id", "text"), with_text=False).drop("kept")

@@ -63,3 +63,29 @@ def test_near_matches_brute(spark):
         got = find_matches(df.repartition(parts), benchmark, block_chars=500 if parts == 3 else 20_000_000).select("doc_id", "matches.n_near", "matches.n_words").collect()
         assert {r.doc_id: r.n_near for r in got} == want
         assert {r.doc_id: r.n_words for r in got} == {k: len(d) for k, d in enumerate(docs)}
+
+
+def test_what_matches_return(spark):
+    """Runs of exact windows and proximity matches, item by item, in words of the document."""
+    item = " ".join(f"w{k}" for k in range(20))
+    broken = item.replace("w5 ", "x5 ")
+    benchmark = spark.createDataFrame([("a", item), ("a", item), ("b", "short One"), (None, item), ("c", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x y {item} z {item}"), (2, broken), (3, "a short, ONE."), (4, None), (None, item), (5, "nothing here")], "doc_id long, text string")
+    out = {r.doc_id: r.matches for r in find_matches(docs, benchmark).collect()}
+    assert len(out) == 6
+    assert [tuple(s) for s in out[1].spans] == [(2, 22), (23, 43)] and out[1]["items"] == ["a"] and out[1].n_near == sum(1 for x in out[1].near)
+    assert [tuple(s) for s in out[2].spans] == [(6, 19 + 1)] and {(x.item, x.start, x.stop, x.in_place) for x in out[2].near} >= {("a", k, k + 13, 12) for k in range(6)}
+    assert out[3]["items"] == ["b"] and [tuple(s) for s in out[3].spans] == [(1, 3)]
+    assert out[4].n_words == 0 and out[4].spans == [] and out[5].n_near == 0 and out[None]["items"] == ["a"]
+
+
+def test_index_holds_every_word(spark):
+    from gridscore.llm.decontaminate import BEGINS, build_index
+
+    docs = spark.createDataFrame([(k, f"the {k} cat The dog {'long ' * k}") for k in range(30)], "doc_id long, text string").repartition(3)
+    index = build_index(docs, shard_bytes=100)
+    rows = index.postings.collect()
+    assert len({r.shard for r in rows}) > 3
+    assert sum(len(r.places) for r in rows if r.term == "the") == 60 and sum(len(r.places) for r in rows if r.term == "long") == sum(range(30))
+    assert sum(len(r.places) for r in rows if r.term != BEGINS) == sum(r.n_words for r in index.documents.collect())
+    assert sorted(r.id for r in index.documents.collect()) == list(range(30))

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def _indexer(id_type: pa.DataType, shard_bytes: int):
     def run(batches):
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            sizes = np.array([len(t or b"") for t in batch.column(3).to_pylist()], np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:]), shard_bytes, side="right")))
@@ -81,7 +82,7 @@ def _indexer(id_type: pa.DataType, shard_bytes: int):
     return run
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4_000_000) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 2_000_000) -> Index:
     """The stored index of all words of all texts. A shard holds documents of up to shard_bytes in sum; a longer text has one of its own.
 
     Null texts have no words. Rows with equal or null ids are documents of their own. An empty table gives an empty index.
@@ -113,7 +114,7 @@ class Windows:
             self.items.append(name)
         self.groups = [(np.array([k for k, _ in rows], np.int32), np.array([ids for _, ids in rows], np.int32)) for _, rows in sorted(by_length.items())]
 
-    def matches(self, stream: np.ndarray, near_terms: int, at_once: int = 1 << 21):
+    def matches(self, stream: np.ndarray, near_terms: int, at_once: int = 1 << 18):
         """Yields (item, start, length, terms in place) arrays, each window and place once. stream: the term's number at each place, -1 for others.
 
         A place with enough terms has one of the window's `missing_most + 1` rarest in place, so these give the candidates; each

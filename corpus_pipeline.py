@@ -22,7 +22,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in the last one only; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.array_join("__kept", "\n"))
+    out = line_dedup.dedup_lines(docs, out="__dedup").withColumn("text", F.array_join("__dedup.kept", "\n"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,11 +1,12 @@
 """Line deduplication over a corpus, native.
 
-Line hashes are range-partitioned on (hash, document) and sorted within a partition by document and
-position, so a line that a third of all documents hold is dealt over neighbouring partitions. A stream
-over each partition marks the first occurrence in each document; one summary row per line and partition
-is merged into the line's document count and last document. Lines of enough documents are joined back
-(a plain sort-merge join, which adaptive execution splits where a key is hot), and what comes out is one
-compressed bitmap of dropped lines per document. Texts take no part in any of this.
+Texts are split once: hashes of lines are written as skinny rows (hash, document, position) and read from there. They are
+range-partitioned on (hash, document) and sorted within a partition by document and position, so a line that a third of
+all documents hold is dealt over neighbouring partitions. A stream over each partition marks the first occurrence in
+each document; one summary row per line and partition is merged into the line's document count and last document.
+Lines of enough documents meet the rows again: those with more than a thousandth of all rows, of which there are fewer
+than a thousand, by a broadcast, the others by a sort-merge join. What comes out is one compressed bitmap of kept lines for each document
+that loses any. Texts take no part in any of this.
 """
 
 from __future__ import annotations
@@ -13,21 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscore.llm.common import line_key
+from gridscore.llm.common import line_key, stored
 
 #: Lines of one bitmap: what bitmap_construct_agg holds.
 BITMAP_LINES = 32768
+#: A line with more than this share of all rows is joined by a broadcast; 1 / HEAVY such lines are possible.
+HEAVY = 0.001
+HEX, INVERTED = "0123456789ABCDEF", "FEDCBA9876543210"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(__id, __drop): a map from bucket of 32,768 lines to a hex bitmap, without its zeros at the end, of the lines to drop.
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """(__id, __keep): a map from bucket of 32,768 lines to a hex bitmap of the lines to keep. Ones at its end are left out, and so is a bucket of ones.
 
     A key (see line_key) of at least min_chars code points in at least min_docs documents loses its lines in
-    all documents but the largest id. Documents that drop nothing have no row. Rows with the same id are one
+    all documents but the largest id. Documents that lose nothing have no row. Rows with the same id are one
     document; rows whose id is null neither count nor lose lines. An empty table gives an empty table.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -37,54 +41,62 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("__key", line_key(F.col("__line")))
         .where(F.char_length("__key") >= min_chars)
         .select("__id", "__pos", F.xxhash64("__key").alias("__h"), F.hash("__key").alias("__h2"))
-        .repartitionByRange(n, "__h", "__h2", "__id")
     )
+    lines = stored(lines, "lines")
     in_doc = Window.partitionBy("__h", "__h2", "__id").orderBy("__pos")
     frequent = (
-        lines.withColumn("__nth", F.row_number().over(in_doc))
-        .where("__nth = 1")
+        lines.repartitionByRange(n, "__h", "__h2", "__id")
+        .withColumn("__nth", F.row_number().over(in_doc))
         .groupBy("__h", "__h2")
-        .agg(F.count("*").alias("__docs"), F.max("__id").alias("__last"))
+        .agg(F.count_if(F.col("__nth") == 1).alias("__docs"), F.max("__id").alias("__last"), F.count("*").alias("__rows"))
         .where(F.col("__docs") >= min_docs)
-        .select("__h", "__h2", "__last")
+        .select("__h", "__h2", "__last", "__rows")
     )
-    dropped = lines.join(frequent.hint("merge"), ["__h", "__h2"]).where("__id < __last")
+    frequent = stored(frequent, "frequent")
+    heavy = F.col("__rows") > HEAVY * lines.count()
+    few = frequent.where(heavy).select("__h", "__h2", F.col("__last").alias("__heavy"))
+    met = lines.join(F.broadcast(few), ["__h", "__h2"], "left")
+    rest = met.where("__heavy IS NULL").drop("__heavy").join(frequent.where(~heavy).select("__h", "__h2", "__last").hint("merge"), ["__h", "__h2"])
+    dropped = met.where("__id < __heavy").select("__id", "__pos").union(rest.where("__id < __last").select("__id", "__pos"))
+    bits = F.translate(F.hex("__bits"), HEX, INVERTED)
     return (
         dropped.select("__id", (F.col("__pos") + 1).cast("long").alias("__n"))
         .groupBy("__id", F.bitmap_bucket_number("__n").alias("__bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__n")).alias("__bits"))
         .groupBy("__id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("__bucket", F.rtrim(F.hex("__bits"), F.lit("0")).alias("b")))).alias("__drop"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("__bucket", F.rtrim(bits, F.lit("F")).alias("b")))).alias("__keep"))
     )
 
 
-def is_dropped(drop: Column, line: Column) -> Column:
-    """Whether bit `line` (from 0) is set; absent buckets and cut zeros are unset."""
-    byte = F.substring(F.coalesce(F.element_at(drop, (F.floor(line / BITMAP_LINES) + 1).cast("long")), F.lit("")), ((F.floor(line / 8) % (BITMAP_LINES // 8)) * 2 + 1).cast("int"), F.lit(2))
-    value = F.conv(F.rpad(byte, 2, "0"), 16, 10).cast("int")
-    return (F.call_function("getbit", F.coalesce(value, F.lit(0)), (line % 8).cast("int"))) == 1
+def is_kept(keep: Column, line: Column) -> Column:
+    """Whether bit `line` (from 0) is set; absent buckets and bits beyond a bitmap's end are."""
+    byte = F.substring(F.coalesce(F.element_at(keep, (F.floor(line / BITMAP_LINES) + 1).cast("long")), F.lit("")), ((F.floor(line / 8) % (BITMAP_LINES // 8)) * 2 + 1).cast("int"), F.lit(2))
+    value = F.conv(F.rpad(byte, 2, "F"), 16, 10).cast("int")
+    return (F.call_function("getbit", value, (line % 8).cast("int"))) == 1
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with __lines (all lines) and __kept (those that stay); every row and every column of docs stays.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, out: str = "lines") -> DataFrame:
+    """docs with a struct `out`: n_lines (of the text) and kept (an array of those that stay). Every row and column of docs
+    stays; a column that is named as `out` is replaced, names that begin with two underscores are the operator's own.
 
-    Null or empty text: one empty line, which stays.
+    Null or empty text: one empty line, which stays. Lines and texts may be of any length; a document holds its lines in one row.
     """
-    maps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    joined = docs.join(maps.withColumnRenamed("__id", "__did").hint("merge"), docs[id_col] == F.col("__did"), "left").drop("__did")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
+    rows = docs.drop(out)
+    joined = rows.join(maps.withColumnRenamed("__id", "__did").hint("merge"), rows[id_col] == F.col("__did"), "left").drop("__did")
     split = joined.withColumn("__lines", lines_of(F.col(text_col)))
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda _, i: ~is_dropped(F.col("__drop"), i)))
-    return split.withColumn("__kept", kept).drop("__drop")
+    kept = F.when(F.col("__keep").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda _, i: is_kept(F.col("__keep"), i)))
+    return split.withColumn(out, F.struct(F.size("__lines").cast("long").alias("n_lines"), kept.alias("kept"))).drop("__lines", "__keep")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the hex digest of what stays."""
+    """doc_id, n_lines, n_dropped and the hex digest of what stays; rows as in dedup_lines."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select(
         "doc_id",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("__kept", "\n").cast("binary"), 256).alias("kept_sha256"),
+        "lines.n_lines",
+        (F.col("lines.n_lines") - F.size("lines.kept")).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("lines.kept", "\n").cast("binary"), 256).alias("kept_sha256"),
     )
 
 

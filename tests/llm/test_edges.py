@@ -56,10 +56,25 @@ def test_documents(spark, docs):
 
 
 def test_every_column_stays(spark, docs):
+    """Operators on tables whose own columns are named as theirs: all stay, with their values."""
     benchmark = spark.createDataFrame([(1, "one two")], "item_id long, text string")
-    assert decontaminate.find_matches(docs, benchmark, out="found").columns == [*docs.columns, "found"]
-    assert language_id.identify(docs, language_id.fit(docs), out="found").columns == [*docs.columns, "found"]
-    assert set(docs.columns) <= set(line_dedup.dedup_lines(docs).columns)
+    model = quality_classifier.fit(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    n = docs.count()
+    own = [c for c in docs.columns if c not in ("score", "rules")]
+    for out, name in (
+        (decontaminate.find_matches(docs, benchmark, out="found"), "found"),
+        (language_id.identify(docs, language_id.fit(docs), out="found"), "found"),
+        (line_dedup.dedup_lines(docs, out="found"), "found"),
+        (quality_rules.apply_rules(docs), "rules"),
+        (quality_classifier.score(docs, model), "score"),
+    ):
+        assert sorted(out.columns) == sorted({*docs.columns, name})
+        assert out.select(*[F.sum(F.hash(c).cast("long")).alias(c) for c in own]).first() == docs.select(*[F.sum(F.hash(c).cast("long")).alias(c) for c in own]).first()
+        assert out.count() == n
+    assert decontaminate.drop_contaminated(docs, benchmark).columns == docs.columns
+    assert len(decontaminate.drop_contaminated(docs, benchmark, broadcast_rows=0).collect()) == len(decontaminate.drop_contaminated(docs, benchmark).collect()) == n - 2
+    assert simhash.near_duplicates(docs).columns == ["doc_id", "fp", "component"] and suffix_dedup.remove_repeats(docs).columns[:2] == ["doc_id", "n_bytes"]
+    assert packing.pack_documents(docs).columns == ["doc_id", "piece", "start", "stop", "n_tokens", "bucket_len", "batch", "slot"]
 
 
 def test_empty_tables(spark, docs):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.sources.shared import new_path, store
+from gridscore.sources.shared import new_path, remove, store
 
 #: The white space of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return store(df, new_path(df.sparkSession, name))
 
 
+def replaced(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]:
+    """df as a table and its path; the table at the old path, which df may read, goes."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    out = store(df, path)
+    if old is not None:
+        remove(spark, old)
+    return out, path
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits of hash of a text; null is empty."""
     t = F.coalesce(text, F.lit(""))

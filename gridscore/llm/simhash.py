@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridscore.llm.common import stored
+from gridscore.llm.common import replaced, stored
 
 MAX_BITS, LEAST_BYTES = 3, 5
 #: Lists up to this size are compared by offset in bulk; longer ones are searched.
@@ -145,7 +145,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: the smallest node that can be reached, as a signed number.
 
     Large-star and small-star steps in turn; each step joins links with the minimum of their neighbours, so that no
-    neighbourhood is gathered, and its result is stored.
+    neighbourhood is gathered, and its result is stored in place of the last one.
     """
     def tidy(df):
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -154,7 +154,7 @@ def components(links: DataFrame) -> DataFrame:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return (r[0], r[1])
 
-    edges = stored(tidy(links), "links")
+    edges, at = replaced(tidy(links), "links", None)
     seen = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -162,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
         large = tidy(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        edges = stored(tidy(small), "links")
+        edges, at = replaced(tidy(small), "links", at)
         now = mark(edges)
         if now == seen:
             break

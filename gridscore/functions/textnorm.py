@@ -28,6 +28,10 @@ NOTE_ROW = (
     r"(?:[a-z]|\*)\s+(?:derived|from|p\s*[<≤=])|derived\s+from|NA,\s+|N\.?A\.?,\s+|(?:mating|matting|fertility|gestation|birth)\s+index\s*=|one\s+female\s+|excludes\s+)"
 )
 NUMBER = r"^([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))(?:%|[A-Za-z/%°μ]+)?$"
+#: What dangles at the end of a cell, and the wrappings that are taken off formulas.
+DANGLING = (r"</\s*$", r"<\s*$", r"</\s*[A-Za-z][^>]*$")
+PLUS_MINUS = r"\(\pm\)"
+LATEX = (r"\\\((.*?)\\\)", r"_\{([^{}]+)\}", r"\^\{([^{}]+)\}")
 #: Significant digits of a number; more are rounded, half to even.
 PRECISION = 28
 
@@ -57,7 +61,7 @@ def normalize_text(c: Column) -> Column:
 def clean_cell_text(c: Column) -> Column:
     """normalize_text without a dangling tag at the end."""
     def cut(t):
-        for rule in (r"</\s*$", r"<\s*$", r"</\s*[A-Za-z][^>]*$"):
+        for rule in DANGLING:
             t = F.regexp_replace(t, rule, "")
         return F.trim(F.regexp_replace(t, WS, " "))
 
@@ -79,10 +83,9 @@ def normalize_cell_text(c: Column) -> Column:
 
 def clean_latex_text(c: Column) -> Column:
     def unwrapped(t):
-        t = F.replace(t, F.lit(r"\(\pm\)"), F.lit("±"))
-        t = F.regexp_replace(t, r"\\\((.*?)\\\)", "$1")
-        t = F.regexp_replace(t, r"_\{([^{}]+)\}", "$1")
-        t = F.regexp_replace(t, r"\^\{([^{}]+)\}", "$1")
+        t = F.replace(t, F.lit(PLUS_MINUS), F.lit("±"))
+        for rule in LATEX:
+            t = F.regexp_replace(t, rule, "$1")
         return F.replace(t, F.lit("\\"), F.lit(""))
 
     return clean_cell_text(let(c, lambda t: F.when(t.rlike(r"[\\{]"), unwrapped(t)).otherwise(t)))
@@ -92,8 +95,18 @@ def ascii_digits(c: Column) -> Column:
     return let(c, lambda t: F.when(is_ascii(t), t).otherwise(F.translate(t, DIGITS, ASCII_DIGITS)))
 
 
+def decimal_text(sign: Column, digits: Column, exponent: Column) -> Column:
+    """The shortest text of sign, digits (no zeros at either end) and exponent: plain from 10^-6 on where no zeros follow the digits, else scientific."""
+    n = F.length(digits)
+    point = n + exponent
+    plain = F.when(exponent == 0, digits).when(point > 0, F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, n))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+    power = F.concat(F.when(point > 0, "+").otherwise(""), (point - 1).cast("string"))
+    scientific = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("E"), power)
+    return F.concat(sign, F.when(digits == "", "0").when((exponent <= 0) & (point > -6), plain).otherwise(scientific))
+
+
 def normalize_number(c: Column) -> Column:
-    """A key that equal numbers share: sign, digits, E and exponent; null without a digit; other texts with digits stay as they are."""
+    """The decimal text that equal numbers share; null without a digit; other texts with digits stay, without commas and white space."""
     def rounded(digits):
         """(digits without zeros at the end, places cut at the end)."""
         rest = F.substring(digits, F.lit(PRECISION + 1), F.greatest(F.length(digits), F.lit(1)))
@@ -107,7 +120,7 @@ def normalize_number(c: Column) -> Column:
         whole, part = F.regexp_extract(number, r"^[+-]?([0-9]*)", 1), F.regexp_extract(number, r"\.([0-9]*)$", 1)
         sign = F.when(number.startswith("-"), "-").otherwise("")
         digits = let(F.ltrim(F.concat(whole, part), F.lit("0")), rounded)
-        return let(digits, lambda d: F.when(d["d"] == "", F.concat(sign, F.lit("0"))).otherwise(F.concat(sign, d["d"], F.lit("E"), (d["e"] - F.length(part)).cast("string"))))
+        return let(digits, lambda d: decimal_text(sign, d["d"], d["e"] - F.length(part)))
 
     def of(t):
         t = F.replace(t, F.lit(","), F.lit(""))

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.functions.textnorm import NOTE_ROW, clean_cell_text, clean_latex_text, escape_html, let, lines, strip
+from gridscore.operators.notes import without_notes
 from gridscore.operators.shred import with_first_table
 
 GRID = "array<array<string>>"
+# The formats' own marks.
+FENCE = r"(?is)```(?:html)?\s*(.*?)```"
 _SEPARATOR = r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"
 _TOKEN = "<(fcel|ecel|lcel|ucel)>"
 _PLACED = r"(?U)^(.*?)\s*\[\[\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*\]\]\s*$"
@@ -19,8 +22,7 @@ _PLACED = r"(?U)^(.*?)\s*\[\[\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+)\s*,\s*(-?\d+
 
 def strip_fence(text: Column) -> Column:
     """The body of the first code fence, else the text, without white space at the ends."""
-    rule = r"(?is)```(?:html)?\s*(.*?)```"
-    return let(strip(text), lambda t: F.when(t.rlike(rule), strip(F.regexp_extract(t, rule, 1))).otherwise(t))
+    return let(strip(text), lambda t: F.when(t.rlike(FENCE), strip(F.regexp_extract(t, FENCE, 1))).otherwise(t))
 
 
 def _pipe_cells(line: Column) -> Column:
@@ -68,32 +70,38 @@ def coordinate_grid(text: Column) -> Column:
         return F.when(line.rlike(_PLACED), F.struct(((n(3) + n(5)) / 2).alias("y"), ((n(2) + n(4)) / 2).alias("x"), i.alias("i"), F.greatest(F.lit(1.0), n(5) - n(3)).alias("h"), clean_cell_text(F.regexp_extract(line, _PLACED, 1)).alias("t")))
 
     def into_rows(items):
-        """Arrays of (x, order, text), a row each."""
+        """Arrays of (x, order, text), a row each: one fold over the sorted labels finds where rows start, and rows are slices."""
         tol = F.greatest(F.lit(8.0), 0.75 * F.get(F.array_sort(F.transform(items, lambda s: s["h"])), F.floor(F.size(items) / 2).cast("int")))
 
-        def place(tol):
+        def starts(tol):
             def step(a, s):
-                new = (a["r"] < 0) | (F.abs(a["y"] - s["y"]) > tol)
-                r = F.when(new, a["r"] + 1).otherwise(a["r"])
-                return F.struct(F.when(new, s["y"]).otherwise(a["y"]).alias("y"), r.alias("r"), F.concat(a["o"], F.array(F.struct(r.alias("r"), s["x"].alias("x"), F.size(a["o"]).alias("i"), s["t"].alias("t")))).alias("o"))
+                new = (a["k"] == 0) | (F.abs(a["y"] - s["y"]) > tol)
+                return F.struct(F.when(new, s["y"]).otherwise(a["y"]).alias("y"), (a["k"] + 1).alias("k"), F.when(new, F.concat(a["at"], F.array(a["k"]))).otherwise(a["at"]).alias("at"))
 
-            start = F.struct(F.lit(0.0).alias("y"), F.lit(-1).alias("r"), F.array().cast("array<struct<r:int,x:double,i:int,t:string>>").alias("o"))
-            return F.aggregate(items, start, step, lambda a: a["o"])
+            start = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("at"))
+            return F.aggregate(items, start, step, lambda a: F.concat(a["at"], F.array(a["k"])))
 
-        def by_row(placed):
-            numbers = F.sequence(F.lit(0), F.array_max(F.transform(placed, lambda s: s["r"])))
-            return F.transform(numbers, lambda r: F.array_sort(F.transform(F.filter(placed, lambda s: s["r"] == r), lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), s["t"].alias("t")))))
+        def cut(at):
+            def row(i):
+                first = F.get(at, i)
+                own = F.slice(items, first + 1, F.get(at, i + 1) - first)
+                return F.array_sort(F.transform(own, lambda s, j: F.struct(s["x"].alias("x"), j.alias("i"), s["t"].alias("t"))))
 
-        return let(let(tol, place), by_row)
+            return F.transform(F.sequence(F.lit(0), F.size(at) - 2), row)
+
+        return let(let(tol, starts), cut)
 
     def centres(xs):
-        """Sorted x folded into column centres."""
+        """Sorted x folded into column centres; only the last centre moves."""
         def fold(tol):
             def step(a, x):
-                far = lambda last: F.when(F.abs(last - x) > tol, F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array((last + x) / 2)))
-                return F.when(F.size(a) == 0, F.array(x)).otherwise(let(F.get(a, F.size(a) - 1), far))
+                far = F.abs(a["last"] - x) > tol
+                return F.when(a["last"].isNull(), F.struct(a["done"].alias("done"), x.alias("last"))).otherwise(
+                    F.struct(F.when(far, F.concat(a["done"], F.array(a["last"]))).otherwise(a["done"]).alias("done"), F.when(far, x).otherwise((a["last"] + x) / 2).alias("last"))
+                )
 
-            return F.aggregate(xs, F.array().cast("array<double>"), step)
+            start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(None).cast("double").alias("last"))
+            return F.aggregate(xs, start, step, lambda a: F.concat(a["done"], F.filter(F.array(a["last"]), lambda x: x.isNotNull())))
 
         return let(F.greatest(F.lit(24.0), (F.array_max(xs) - F.array_min(xs)) / 24), fold)
 
@@ -137,7 +145,7 @@ def convert_responses(df: DataFrame, text_col: str, strip_notes: bool = True) ->
     for name, make in (("coordinate_ocr_no_merge", coordinate_grid), ("paddle_token_table_no_merge", token_grid), ("loose_markdown_table_no_merge", loose_markdown_grid), ("markdown_table_no_merge", markdown_grid)):
         # from the last choice to the first: a grid, else what comes after
         made = let(make(F.col("__body")), _or_else(name, made))
-    cut = strip_grid_notes if strip_notes else (lambda g: g)
+    cut = without_notes if strip_notes else (lambda g: g)
     native = let(made, lambda m: F.when(m.isNotNull(), let(cut(m["grid"]), lambda g: F.struct(m["tag"].alias("tag"), cells_to_html(g).alias("html"), (F.size(m["grid"]) - F.size(g)).alias("removed")))))
     df = df.withColumn("__made", F.when(F.col("__table.html").isNull() & (F.col("__body") != ""), native))
     ok = F.col("__table.html").isNotNull() | F.col("__made").isNotNull()
@@ -148,13 +156,3 @@ def convert_responses(df: DataFrame, text_col: str, strip_notes: bool = True) ->
         .withColumn("removed_rows", F.coalesce("__table.removed", "__made.removed", F.lit(0)))
         .drop("__body", "__html", "__table", "__made")
     )
-
-
-def strip_grid_notes(grid: Column) -> Column:
-    """Rows before the first and after the last that isn't a note: one non-empty cell in a row at least as wide as the table less one, matching the note pattern."""
-    def note(r, width):
-        filled = F.filter(r, lambda c: c != "")
-        return (F.size(r) >= F.greatest(F.lit(1), width - 1)) & let(filled, lambda f: (F.size(f) == 1) & F.array_join(f, " ").rlike(NOTE_ROW))
-
-    plain = let(F.array_max(F.transform(grid, F.size)), lambda w: F.filter(F.transform(grid, lambda r, i: F.when(~note(r, w), i)), lambda i: i.isNotNull()))
-    return let(plain, lambda p: F.when(F.size(p) == 0, F.array().cast(GRID)).otherwise(F.slice(grid, F.array_min(p) + 1, F.array_max(p) - F.array_min(p) + 1)))

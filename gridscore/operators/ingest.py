@@ -24,7 +24,7 @@ def ingest_responses(responses: DataFrame) -> DataFrame:
 def reconvert(predictions: DataFrame, raw_texts: DataFrame) -> DataFrame:
     """predictions with html, conversion_ok and error as the current rules make them from raw_texts (raw_path, value); rows without a raw text stay."""
     raw = convert_responses(raw_texts.select("raw_path", "value"), "value").select("raw_path", F.col("html").alias("__html"), F.col("conversion_ok").alias("__ok"), F.col("conversion_tag").alias("__tag"))
-    rows = predictions.join(raw, "raw_path", "left")
+    rows = predictions.join(raw.hint("merge"), "raw_path", "left")
     found = F.col("__ok").isNotNull()
     new = {"html": "__html", "conversion_ok": "__ok", "error": "__tag"}
     return rows.withColumns({c: F.when(found, F.col(n)).otherwise(F.col(c)) for c, n in new.items()}).select(*predictions.columns)

@@ -14,22 +14,30 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), r"\[!", "[^"), F.lit("$"))
 
 
-def match_models(models: DataFrame, targets: DataFrame) -> DataFrame:
+def match_models(models: DataFrame, targets: DataFrame, block: int = 10_000) -> DataFrame:
     """models: (tag); targets: (id, model_tag, model_patterns). Per target: its installed tags, sorted, and a status.
 
-    An exact tag matches itself; else each pattern is matched without case. The targets are the small side: a configuration.
+    An exact tag matches itself, by a hash join; else each pattern is matched without case. Distinct patterns are the query set: they are
+    counted and taken in blocks of up to about `block`, each broadcast.
     """
-    pats = targets.select("id", F.explode(F.when(F.col("model_tag").isNotNull(), F.array("model_tag")).otherwise(F.col("model_patterns"))).alias("pattern"), F.col("model_tag").isNotNull().alias("exact"))
-    pats = pats.withColumn("rule", F.when(~F.col("exact"), glob_regex(F.lower("pattern"))))
-    hit = F.when(F.col("exact"), F.col("tag") == F.col("pattern")).otherwise(F.rlike(F.lower("tag"), F.col("rule")))
-    found = models.join(F.broadcast(pats), hit).groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("installed"))
-    out = targets.select("id").join(found, "id", "left")
+    tags = models.select("tag").distinct()
+    exact = targets.where(F.col("model_tag").isNotNull()).select("id", F.col("model_tag").alias("tag")).join(tags.hint("merge"), "tag").select("id", "tag")
+    wanted = targets.where(F.col("model_tag").isNull()).select("id", F.explode("model_patterns").alias("pattern")).distinct()
+    rules = wanted.select("pattern").distinct().withColumn("rule", glob_regex(F.lower("pattern")))
+    blocks = max(1, -(-rules.count() // block))
+    met = None
+    for k in range(blocks):
+        part = rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        hit = tags.join(F.broadcast(part), F.rlike(F.lower("tag"), F.col("rule"))).select("pattern", "tag")
+        met = hit if met is None else met.union(hit)
+    found = wanted.join(met.hint("merge"), "pattern").select("id", "tag").union(exact).groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("installed"))
+    out = targets.select("id").join(found.hint("merge"), "id", "left")
     return out.select("id", F.coalesce("installed", F.array().cast("array<string>")).alias("installed"), F.when(F.col("installed").isNotNull(), "available").otherwise("not_installed").alias("status"))
 
 
 def build_requests(pending: DataFrame, samples: DataFrame, targets: DataFrame, prompts: DataFrame) -> DataFrame:
     """A request row for each pending sample. targets: (run_id, model, kind, prompt_id, min_image_side, long_image_side, num_ctx, num_predict, max_tokens, top_k)."""
     t = targets.withColumn("s", with_model_defaults(*[F.col(c) for c in ("model", "prompt_id", "min_image_side", "long_image_side", "num_ctx")])).drop("prompt_id", "min_image_side", "long_image_side", "num_ctx").select("*", "s.*").drop("s")
-    rows = pending.join(samples.select("dataset", "sample_id", "image"), ["dataset", "sample_id"]).join(t, "run_id").join(prompts, "prompt_id")
+    rows = pending.join(samples.select("dataset", "sample_id", "image").hint("merge"), ["dataset", "sample_id"]).join(t.hint("merge"), "run_id").join(prompts.hint("merge"), "prompt_id")
     body = F.when(F.col("kind") == "chat", chat_request(*[F.col(c) for c in ("model", "text", "image", "max_tokens", "top_k")])).otherwise(generate_request(*[F.col(c) for c in ("model", "text", "image", "num_predict", "num_ctx")]))
     return rows.select("dataset", "run_id", "sample_id", "model", "prompt_id", "min_image_side", "long_image_side", body.alias("body"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gridscore.functions.runs import short_run_label
 from gridscore.functions.textnorm import parse_flag
 from gridscore.operators.metrics import cell_f1, numeric_accuracy
+from gridscore.operators.ordinal import amount_before
 from gridscore.operators.shred import shred_tables
-from gridscore.operators.treedist import tree_similarity
+from gridscore.operators.treedist import tree_scores
 from gridscore.operators.upsert import latest
 
 #: Lists of runs up to this length are broadcast; longer ones are joined by a shuffle.
@@ -20,47 +21,81 @@ SCORE_COLUMNS = (
 )
 
 
-def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, order_col: str = "seq") -> DataFrame:
+def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, order_col: str = "seq", mode: str = "chars") -> DataFrame:
     """One score row for each sample of a dataset and run of it; a missing prediction is a failed run.
 
     samples: dataset, sample_id, image, gt_html. predictions: dataset, run_id, sample_id, order_col, html, run_ok, conversion_ok, seconds,
     error; the last by order_col counts. runs: dataset, run_id; those of the predictions unless given. Tables
-    are parsed once on each side, before they meet. Tree and cell scores need a run and a conversion that
-    succeeded; the number score needs the conversion only. Predictions without a sample are ignored.
+    are shredded once on each side and shuffled once, by sample; runs meet samples as ids only, to find what is missing. Tree and cell
+    scores need a run and a conversion that succeeded; the number score needs the conversion only. Predictions without a sample are ignored.
     """
-    runs = (predictions if runs is None else runs).select("dataset", "run_id").distinct()
-    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs.hint("merge")
-    truth = shred_tables(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
-    last = latest(predictions.select("dataset", "run_id", "sample_id", order_col, "html", "run_ok", "conversion_ok", "seconds", "error"), ["dataset", "run_id", "sample_id"], order_col)
-    last = last.withColumn("html", F.when(F.coalesce("conversion_ok", F.lit(False)), F.col("html")))
-    last = shred_tables(last, "html", "p").drop("html", order_col)
-    keys = ["dataset", "run_id", "sample_id"]
+    by, keys = ["dataset", "sample_id"], ["dataset", "run_id", "sample_id"]
     # a pair is few bytes and much work, so the number of partitions is set and not left to coalescing by size
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = truth.join(runs, "dataset").repartition(n, *keys).join(last.hint("merge"), keys, "left")
-    return score_pairs(pairs)
+    last = latest(predictions.select(*keys, order_col, "html", "run_ok", "conversion_ok", "seconds", "error"), keys, order_col).drop(order_col)
+    last = last.withColumn("html", F.when(F.coalesce("conversion_ok", F.lit(False)), F.col("html")))
+    told = shred_tables(last.repartition(n, *by), "html", "p").drop("html")
+    truth = shred_tables(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
+    if runs is not None:
+        told = told.join(_few(runs.select("dataset", "run_id").distinct()), ["dataset", "run_id"], "left_semi")
+    scored = score_pairs(told.join(truth.repartition(n, *by).hint("merge"), by), mode)
+    return scored.unionByName(_missing(samples, predictions, runs))
+
+
+def _few(runs: DataFrame) -> DataFrame:
+    return F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs.hint("merge")
+
+
+def _missing(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Score rows of samples that a run has no prediction for."""
+    keys = ["dataset", "run_id", "sample_id"]
+    wanted = samples.select("dataset", "sample_id", "image").join(_few((predictions if runs is None else runs).select("dataset", "run_id").distinct()), "dataset")
+    rows = wanted.join(predictions.select(*keys).distinct().hint("merge"), keys, "left_anti")
+    no, zero, none = F.lit(False), F.lit(0.0), F.lit(0)
+    values = {c: zero for c in ("teds", "teds_s", "numeric_cell_accuracy", "cell_precision", "cell_recall", "cell_f1")}
+    values |= {c: none for c in ("numeric_cells_correct", "numeric_cells_total", "cell_text_correct", "pred_cells_total", "gt_cells_total")}
+    values |= {"run_ok": no, "conversion_ok": no, "run_failure": F.lit(True), "conversion_failure": no, "seconds": F.lit(None).cast("double"), "error": F.lit(None).cast("string")}
+    return rows.withColumns(values).select(*SCORE_COLUMNS)
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
+def score_pairs(pairs: DataFrame, mode: str = "chars") -> DataFrame:
     """Score rows of pairs: ids, image, g and p (shredded tables), run_ok, conversion_ok, seconds, error."""
     pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("run_ok", "conversion_ok")})
     both = F.col("run_ok") & F.col("conversion_ok")
     empty = F.array().cast("array<array<string>>")
     p, g = F.coalesce("p.grid", empty), F.col("g.grid")
-    pairs = pairs.withColumn("__f", F.when(both, cell_f1(p, g))).withColumn("__n", F.when(F.col("conversion_ok"), numeric_accuracy(p, g)))
-    scorable = lambda c: F.struct(F.when(both, c["nodes"]).alias("nodes"), c["shape"].alias("shape"), c["n_elements"].alias("n_elements"))
-    pairs = pairs.withColumn("teds", F.when(both, tree_similarity(scorable(F.col("p")), F.col("g"))).otherwise(0.0))
-    pairs = pairs.withColumn("teds_s", F.when(both, tree_similarity(scorable(F.col("p")), F.col("g"), structure_only=True)).otherwise(0.0))
+    pairs = pairs.withColumn("__cells", F.when(both, cell_f1(p, g))).withColumn("__numbers", F.when(F.col("conversion_ok"), numeric_accuracy(p, g)))
+    pairs = tree_scores(pairs, "p", "g", both, mode)
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     return pairs.withColumns({
-        "numeric_cell_accuracy": F.when(F.col("conversion_ok"), F.col("__n.accuracy")).otherwise(0.0),
-        "numeric_cells_correct": zero("__n.correct", 0), "numeric_cells_total": zero("__n.total", 0),
-        "cell_precision": zero("__f.precision", 0.0), "cell_recall": zero("__f.recall", 0.0), "cell_f1": zero("__f.f1", 0.0),
-        "cell_text_correct": zero("__f.correct", 0), "pred_cells_total": zero("__f.pred_total", 0), "gt_cells_total": zero("__f.gt_total", 0),
+        "numeric_cell_accuracy": F.when(F.col("conversion_ok"), F.col("__numbers.accuracy")).otherwise(0.0),
+        "numeric_cells_correct": zero("__numbers.correct", 0), "numeric_cells_total": zero("__numbers.total", 0),
+        "cell_precision": zero("__cells.precision", 0.0), "cell_recall": zero("__cells.recall", 0.0), "cell_f1": zero("__cells.f1", 0.0),
+        "cell_text_correct": zero("__cells.correct", 0), "pred_cells_total": zero("__cells.pred_total", 0), "gt_cells_total": zero("__cells.gt_total", 0),
         "run_failure": ~F.col("run_ok"), "conversion_failure": F.col("run_ok") & ~F.col("conversion_ok"),
     }).select(*SCORE_COLUMNS)
 
 
+def partial_sums(scores: DataFrame, *by: str) -> DataFrame:
+    """What a summary is made of, by groups that may be finer than a run: counts and sums that can be added up."""
+    total = lambda c, kind="double": F.sum(F.col(c).cast(kind)).alias(c)
+    return scores.groupBy(*by).agg(
+        F.count("*").alias("tables"), *[x for c in ("teds", "teds_s", "cell_f1", "seconds") for x in (total(c), F.count(c).alias(f"{c}_n"))],
+        *[total(c, "long") for c in ("numeric_cells_correct", "numeric_cells_total")], *[F.sum(F.col(c).cast("long")).alias(c) for c in ("run_failure", "conversion_failure")],
+    )
+
+
+def summed(sums: DataFrame) -> DataFrame:
+    """Per dataset and run: means (0 without values), pooled number score (null without numbers), failure rates, mean seconds (null without any)."""
+    mean = lambda c: F.sum(c) / F.nullif(F.sum(f"{c}_n"), F.lit(0))
+    rate = lambda c: F.sum(c) / F.sum("tables")
+    return sums.groupBy("dataset", "run_id").agg(
+        F.sum("tables").alias("tables"), *[F.coalesce(mean(c), F.lit(0.0)).alias(c) for c in ("teds", "teds_s", "cell_f1")],
+        (F.sum("numeric_cells_correct") / F.nullif(F.sum("numeric_cells_total"), F.lit(0))).alias("numeric_cell_accuracy"),
+        rate("run_failure").alias("run_failure_rate"), rate("conversion_failure").alias("conversion_failure_rate"), mean("seconds").alias("seconds_per_table"),
+    )
+
+
 def run_summary(scores: DataFrame) -> DataFrame:
     """Per dataset and run: means (0 without values), pooled number score (null without numbers), failure rates, mean seconds (null without any)."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
@@ -137,9 +172,10 @@ def self_check(samples: DataFrame, run_id: str = "gt_self") -> DataFrame:
 
 
 def corrupt(samples: DataFrame, run_id: str = "eval_sanity_corrupt") -> DataFrame:
-    """Predictions with, by turns in sample order within a dataset, a wrong cell, a lost span, and no output."""
-    nth = F.row_number().over(Window.partitionBy("dataset").orderBy("sample_id")) - 1
-    rows = samples.withColumn("__i", nth % 3)
+    """Predictions with, by turns in sample order within a dataset, a wrong cell, a lost span, and no output. (dataset, sample_id) is unique."""
+    placed = amount_before(samples.select("dataset", "sample_id"), ["sample_id"], F.lit(1), "__i", within=["dataset"])
+    placed = placed.select(F.col("dataset").alias("__d"), F.col("sample_id").alias("__s"), (F.col("__i") % 3).alias("__i"))
+    rows = samples.join(placed.hint("merge"), samples["dataset"].eqNullSafe(F.col("__d")) & (samples["sample_id"] == F.col("__s")))
     html = F.col("gt_html")
     wrong = F.regexp_replace(html, r"(?s)^(.*?)<td([^>]*)>.*?</td>", "$1<td$2>XXX</td>")
     unspanned = F.regexp_replace(html, r'(?s)^(.*?)\s(?:rowspan|colspan)="[^"]+"', "$1")

@@ -1,26 +1,33 @@
-"""HTML tables to rows: each distinct table is parsed once, in mapInArrow, and leaves as arrays.
+"""HTML tables to rows and trees.
 
-The parser is lenient: cells, rows and row groups close by implication, comments are dropped, references are decoded.
-What it returns per table: the grid after span expansion, and the tree in post-order for tree distance.
+Plain tables, rows of cells without attributes or inner tags, are cut by patterns inside the JVM: grid, tree and note rows are column
+expressions over them. Only the others go through an Arrow function, with a lenient parser: cells, rows and row groups
+close by implication, comments are dropped, references are decoded, spans are expanded.
+A shredded table is the grid after span expansion and the tree in post-order for tree distance.
 """
 
 from __future__ import annotations
 
 import re
-from hashlib import md5
 from html import escape, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridscore.functions.textnorm import NOTE_ROW
+from gridscore.functions.textnorm import NOTE_ROW, let, normalize_text
+from gridscore.operators.notes import body_range
 
 FIRST_TABLE = T.StructType([T.StructField("html", T.StringType()), T.StructField("removed", T.IntegerType())])
 NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType()), T.StructField("leftmost", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("size", T.IntegerType())])
-SHREDDED = T.StructType([T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("shape", T.StringType()), T.StructField("n_elements", T.IntegerType()), T.StructField("bad_spans", T.IntegerType())])
+SHREDDED = T.StructType([T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("n_elements", T.IntegerType()), T.StructField("bad_spans", T.IntegerType())])
+
+#: A table that patterns can cut: no attributes, no tags inside cells, only the five references that escaping makes.
+PLAIN_TABLE = r"^<table>(?:<tr>(?:<(td|th)>[^<>&]*+(?:&(?:amp|lt|gt|quot|#x27);[^<>&]*+)*+</\1>)*+</tr>)*+</table>$"
+#: Tags that may stand in front of it.
+BEFORE_TABLE = r"(?i)</?(?:html|body|div|p|br)>"
 
 VOID = {"br", "img", "hr", "input", "wbr", "col", "meta", "link"}
 #: A start tag ends these open elements, up to the nearest table.
@@ -209,6 +216,18 @@ def grid_of(table: Node) -> tuple[list[list[str]], int]:
     return out, bad
 
 
+def unwrap(table: Node, tags: tuple[str, ...]) -> None:
+    """Takes elements of these tags out from under a table; their content stays where they were."""
+    parts = []
+    for p in table.parts:
+        if isinstance(p, Node):
+            unwrap(p, tags)
+            parts.extend(p.parts if p.tag in tags else [p])
+        else:
+            parts.append(p)
+    table.parts = parts
+
+
 def _tokens(node: Node, out: list[str]) -> None:
     """Characters, and a token for each inline tag; what follows an inner cell in its parent is no token."""
     after_cell = False
@@ -242,21 +261,67 @@ def nodes_of(table: Node) -> list[dict]:
     return out
 
 
-def shape_of(nodes: list[dict]) -> str:
-    """Equal for trees that differ in cell contents only."""
-    return md5(repr([(n["tag"], n["colspan"], n["rowspan"], n["leftmost"]) for n in nodes]).encode()).hexdigest()
+def plain_table(text: Column) -> Column:
+    """The first table of a text, where it is plain; else null."""
+    def of(t):
+        at = F.locate("<table>", t)
+        table = F.concat(F.substring_index(F.substring(t, at, F.length(t)), "</table>", 1), F.lit("</table>"))
+        front = F.regexp_replace(F.left(t, at - 1), BEFORE_TABLE, "")
+        return F.when((at > 0) & ~F.contains(front, F.lit("<")), let(table, lambda x: F.when(x.rlike(PLAIN_TABLE), x)))
+
+    return let(text, of)
+
+
+def plain_cells(table: Column) -> Column:
+    """The cells' texts of a plain table, row by row, references decoded."""
+    def text(c):
+        for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+            c = F.replace(c, F.lit(mark), F.lit(char))
+        return c
+
+    cells = lambda row: F.regexp_extract_all(row, F.lit("<t[dh]>([^<]*)</t[dh]>"), 1)
+    decoded = lambda row: F.transform(cells(row), lambda c: F.when(F.contains(c, F.lit("&")), text(c)).otherwise(c))
+    return F.transform(F.regexp_extract_all(table, F.lit("(?s)<tr>(.*?)</tr>"), 1), decoded)
 
 
-def _with(df: DataFrame, column: str, out: str, kind: T.StructType, arrow: pa.DataType, of) -> DataFrame:
-    """df with `out`: of(value) of a column. A plan node of its own, so that filters above neither repeat nor inline it."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+def _plain_shredded(texts: Column) -> Column:
+    """SHREDDED of a plain table's cells. `back` is how many nodes stand under a node, before it in post-order."""
+    null = F.lit(None)
+    node = lambda tag, span, content, back: F.struct(F.lit(tag).alias("tag"), span.cast("int").alias("span"), content.cast("string").alias("content"), back.alias("back"))
+    row = lambda r: F.concat(F.transform(r, lambda c: node("td", F.lit(1), c, F.lit(0))), F.array(node("tr", null, null, F.size(r))))
+    under = F.flatten(F.transform(texts, row))
+    nodes = let(under, lambda u: F.concat(u, F.array(node("table", null, null, F.size(u)))))
+    placed = F.transform(
+        nodes,
+        lambda x, i: F.struct(x["tag"].alias("tag"), x["span"].alias("colspan"), x["span"].alias("rowspan"), (i - x["back"]).alias("leftmost"), x["content"].alias("content"), F.coalesce(F.char_length(x["content"]), F.lit(0)).alias("size")),
+    )
+    grid = F.transform(texts, lambda r: F.transform(r, normalize_text))
+    return let(placed, lambda p: F.struct(grid.alias("grid"), p.alias("nodes"), (F.size(p) - 1).alias("n_elements"), F.lit(0).alias("bad_spans")))
 
-    def run(batches):
-        for b in batches:
-            made = pa.array([of(x) for x in b.column(b.schema.get_field_index(column)).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+def _hash128(*columns: Column) -> Column:
+    """32 hex digits of columns."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (0, 1)])
+
+
+def _plain_first(table: Column, texts: Column, strip_notes: bool) -> Column:
+    """FIRST_TABLE of a plain table: as the parser writes it, where quotes in texts are not escaped."""
+    rows = F.regexp_extract_all(table, F.lit("(?s)<tr>.*?</tr>"), 0)
+    cut = lambda b: F.when(b["n"] == F.size(texts), F.struct(table.alias("t"), F.lit(0).alias("r"))).otherwise(F.struct(F.concat(F.lit("<table>"), F.array_join(F.slice(rows, b["lo"] + 1, b["n"]), ""), F.lit("</table>")).alias("t"), (F.size(texts) - b["n"]).alias("r")))
+    grid = F.transform(texts, lambda r: F.transform(r, normalize_text))
+    left = let(body_range(grid), cut) if strip_notes else F.struct(table.alias("t"), F.lit(0).alias("r"))
+    text = lambda t: F.replace(F.replace(t, F.lit("&quot;"), F.lit('"')), F.lit("&#x27;"), F.lit("'"))
+    return let(left, lambda x: F.struct(F.concat(F.lit("<html><body>"), text(x["t"]), F.lit("</body></html>")).alias("html"), x["r"].cast("int").alias("removed")))
+
+
+def _arrow(kind: T.StructType, arrow: pa.DataType, of):
+    """An Arrow function of one text column; nulls pass. Marked as not deterministic, so that filters above neither repeat nor inline it."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else of(x) for x in texts.to_pylist()], arrow)
+
+    return run.asNondeterministic()
 
 
 def with_first_table(df: DataFrame, column: str, out: str, strip_notes: bool = True) -> DataFrame:
@@ -269,22 +334,40 @@ def with_first_table(df: DataFrame, column: str, out: str, strip_notes: bool = T
         removed = without_notes(table) if strip_notes else 0
         return {"html": f"<html><body>{table.html()}</body></html>", "removed": removed}
 
-    return _with(df, column, out, FIRST_TABLE, pa.struct([("html", pa.string()), ("removed", pa.int32())]), of)
+    parsed = _arrow(FIRST_TABLE, pa.struct([("html", pa.string()), ("removed", pa.int32())]), of)
+    rows = df.withColumn("__plain", plain_table(F.col(column)))
+    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), lambda texts: _plain_first(F.col("__plain"), texts, strip_notes)))
+    rows = rows.withColumn("__native", native).withColumn("__parsed", parsed(F.when(F.col("__plain").isNull(), F.col(column))))
+    return rows.withColumn(out, F.coalesce("__native", "__parsed")).drop("__plain", "__native", "__parsed")
 
 
-def shred_tables(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with struct<grid, nodes, shape, n_elements, bad_spans> of the first table; without one: empty arrays, null nodes and shape."""
+def shred_tables(df: DataFrame, column: str, out: str, ignore_nodes: tuple[str, ...] = ()) -> DataFrame:
+    """df with struct<grid, nodes, n_elements, bad_spans, shape, digest> of the first table; without one: empty grid, null nodes.
+
+    Equal shapes are trees that differ in cell contents only; equal digests are equal trees. Both are 128-bit hashes.
+    ignore_nodes: tags that are taken out of the tree, their content staying in place.
+    """
     node = pa.struct([("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("leftmost", pa.int32()), ("content", pa.string()), ("size", pa.int32())])
-    arrow = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("nodes", pa.list_(node)), ("shape", pa.string()), ("n_elements", pa.int32()), ("bad_spans", pa.int32())])
+    arrow = pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("nodes", pa.list_(node)), ("n_elements", pa.int32()), ("bad_spans", pa.int32())])
 
     def of(text):
         table = parse(text)
         if table is None:
-            return {"grid": [], "nodes": None, "shape": None, "n_elements": 0, "bad_spans": 0}
-        (grid, bad), nodes = grid_of(table), nodes_of(table)
-        return {"grid": grid, "nodes": nodes, "shape": shape_of(nodes), "n_elements": sum(1 for _ in table.all()), "bad_spans": bad}
-
-    return _with(df, column, out, SHREDDED, arrow, of)
+            return {"grid": [], "nodes": None, "n_elements": 0, "bad_spans": 0}
+        grid, bad = grid_of(table)
+        if ignore_nodes:
+            unwrap(table, ignore_nodes)
+        return {"grid": grid, "nodes": nodes_of(table), "n_elements": sum(1 for _ in table.all()), "bad_spans": bad}
+
+    parsed = _arrow(SHREDDED, arrow, of)
+    plain = F.lit(None).cast("string") if ignore_nodes else plain_table(F.col(column))
+    rows = df.withColumn("__plain", plain)
+    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), _plain_shredded))
+    rows = rows.withColumn("__native", native.cast(SHREDDED)).withColumn("__parsed", parsed(F.when(F.col("__plain").isNull(), F.coalesce(F.col(column), F.lit("")))))
+    rows = rows.withColumn("__table", F.coalesce("__native", "__parsed"))
+    nodes = F.col("__table.nodes")
+    shape = F.when(nodes.isNotNull(), _hash128(F.transform(nodes, lambda n: F.struct(n["tag"], n["colspan"], n["rowspan"], n["leftmost"]))))
+    return rows.withColumn(out, F.struct("__table.*", shape.alias("shape"), F.when(nodes.isNotNull(), _hash128(nodes)).alias("digest"))).drop("__plain", "__native", "__parsed", "__table")
 
 
 def grid_cells(df: DataFrame, grid_col: str, *keys: str) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Tree similarity of table pairs: an ordered tree edit distance in an Arrow function, for the pairs that need one.
+"""Tree similarity of table pairs: an ordered tree edit distance, as a distributed job over the pairs that need one.
 
-Pairs of one shape whose contents differ by at most two renames in sum are scored in the JVM. The distance is the dynamic program over pairs of keyroots; insertions
-and deletions cost 1, a rename costs 1 if tag or spans differ and the share of edited content elsewhere.
+1. Pairs of one shape whose contents differ by at most two renames in sum are scored in the JVM.
+2. The rest is made distinct by the digests of its trees. Each distinct pair has a size, the product of its trees' nodes; pairs are
+   put into buckets by size, and each bucket is dealt into as many slots as its share of all work asks for, so big tables spread.
+3. An Arrow function solves a slot's pairs, with and without text at once, and results are joined back by digests.
+
+The distance is the dynamic program over pairs of keyroots; insertions and deletions cost 1, a rename costs 1 if tag or spans
+differ and the share of edited content elsewhere. A pair is solved in one piece, whatever its size: none is left out.
 """
 
 from __future__ import annotations
@@ -10,12 +15,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridscore.functions.textnorm import let
 from gridscore.operators.shred import TAG_CLOSE, TAG_OPEN
+from gridscore.sources.shared import new_path, store
 
 _PLAIN = {ord(TAG_OPEN): "<", ord(TAG_CLOSE): ">"}
 _TOKEN = re.compile(f"{TAG_OPEN}[^{TAG_CLOSE}]*{TAG_CLOSE}|.", re.S)
@@ -137,31 +142,74 @@ def tree_distance(a: list[dict], b: list[dict], structure_only: bool = False, mo
     return tree[-1][-1]
 
 
-def tree_similarity(pred: Column, truth: Column, structure_only: bool = False, mode: str = "chars") -> Column:
-    """max(0, 1 - distance / elements under the larger table) of two shredded tables; 0 if either has none.
+def _in_place(pred: Column, truth: Column, mode: str) -> Column:
+    """The distance of two trees of one shape, node by node, where no other mapping can be better; else null."""
+    a, b = pred["nodes"], truth["nodes"]
+    text = lambda n: F.translate(n["content"], TAG_OPEN + TAG_CLOSE, "<>")
+    cost = lambda x, y: F.when(x["content"] != y["content"], F.levenshtein(text(x), text(y)) / F.greatest(x["size"], y["size"], F.lit(1))).otherwise(0.0)
+    total = F.when(pred["digest"] == truth["digest"], 0.0)
+    if mode == "chars":
+        total = total.otherwise(F.aggregate(F.zip_with(a, b, cost), F.lit(0.0), lambda t, x: t + x))
+    # any mapping but node to node needs a deletion and an insertion, which cost 2
+    return F.when(pred["shape"] == truth["shape"], let(total, lambda c: F.when(c <= 2.0, c)))
 
-    Trees without cell content are compared in structure-only mode.
-    """
 
-    @F.arrow_udf(T.DoubleType())
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else tree_distance(x, y, structure_only, mode) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+def _solver(mode: str):
+    """mapInArrow over (pd, gd, a, b, same) sorted by digests: each distinct pair's distances; where shapes are the same, none without text is needed."""
+    schema = pa.schema([("pd", pa.string()), ("gd", pa.string()), ("d_text", pa.float64()), ("d_bare", pa.float64())])
 
-    a, b = pred["nodes"], truth["nodes"]
-    same_shape = pred["shape"] == truth["shape"]
-    if structure_only:
-        bare = lambda nodes: F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n["colspan"].alias("colspan"), n["rowspan"].alias("rowspan"), n["leftmost"].alias("leftmost"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("size")))
-        sent, in_place = bare, F.lit(0.0)
-    else:
-        text = lambda n: F.translate(n["content"], TAG_OPEN + TAG_CLOSE, "<>")
-        cost = lambda x, y: F.when(x["content"] != y["content"], F.levenshtein(text(x), text(y)) / F.greatest(x["size"], y["size"], F.lit(1))).otherwise(0.0)
-        sent, costs = (lambda nodes: nodes), F.zip_with(a, b, cost)
-        in_place = F.when(a == b, 0.0)
-        if mode == "chars":
-            in_place = in_place.otherwise(F.aggregate(costs, F.lit(0.0), lambda t, x: t + x))
-    # any mapping but node to node needs a deletion and an insertion, which cost 2
-    known = F.when(same_shape, let(in_place, lambda c: F.when(c <= 2.0, c)))
-    unknown = known.isNull() & a.isNotNull() & b.isNotNull()
-    d = F.coalesce(known, distance(F.when(unknown, sent(a)), F.when(unknown, sent(b))))
-    n = F.greatest(pred["n_elements"], truth["n_elements"], F.lit(1))
-    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - d / n))
+    def bare(nodes):
+        return [{**n, "content": None, "size": 0} for n in nodes]
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            out = []
+            for pd, gd, a, b, same in zip(*[c.to_pylist() for c in batch.columns]):
+                if (pd, gd) != last:
+                    last = (pd, gd)
+                    out.append((pd, gd, tree_distance(a, b, False, mode), 0.0 if same else tree_distance(bare(a), bare(b), True, mode)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], [], []), schema.types)], schema=schema)
+
+    return run
+
+
+def _slots(hard: DataFrame) -> DataFrame:
+    """hard with `slot`, from its size bucket and its digests, and the number of slots in the column's alias."""
+    n = int(hard.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = hard.withColumn("__work", F.size("a").cast("double") * F.size("b")).withColumn("__bucket", F.floor(F.log2("__work")).cast("int"))
+    rows = sized.groupBy("__bucket").agg(F.sum("__work").alias("w"), F.count("*").alias("n")).collect()  # at most 62 rows
+    whole = sum(r.w for r in rows) or 1.0
+    slot, first = F.lit(0), 0
+    for r in sorted(rows, key=lambda r: r["__bucket"]):
+        k = max(1, min(r.n, round(n * r.w / whole)))
+        slot = F.when(F.col("__bucket") == r["__bucket"], F.lit(first) + F.pmod(F.xxhash64("pd", "gd"), F.lit(k)).cast("int")).otherwise(slot)
+        first += k
+    return sized.withColumn("slot", slot).drop("__work", "__bucket").repartitionById(max(1, first), "slot")
+
+
+def tree_scores(pairs: DataFrame, pred: str = "p", truth: str = "g", where: Column | None = None, mode: str = "chars") -> DataFrame:
+    """pairs without its shredded tables, with teds and teds_s: max(0, 1 - distance / elements under the larger table), with and without text.
+
+    Where either has no table, or the condition doesn't hold, both are 0. pairs are stored once, without trees that are scored already.
+    """
+    p, g = F.col(pred), F.col(truth)
+    there = p["nodes"].isNotNull() & g["nodes"].isNotNull()
+    if where is not None:
+        there = there & F.coalesce(where, F.lit(False))
+    same = p["shape"] == g["shape"]
+    rest = [c for c in pairs.columns if c not in (pred, truth)]
+    rows = pairs.withColumn("__there", there).withColumn("__text", F.when(F.col("__there"), _in_place(p, g, mode)))
+    hard = F.col("__there") & F.col("__text").isNull()
+    rows = rows.select(
+        *rest, "__there", "__text", same.alias("__same"), F.greatest(p["n_elements"], g["n_elements"], F.lit(1)).alias("__n"),
+        F.when(hard, p["digest"]).alias("pd"), F.when(hard, g["digest"]).alias("gd"), F.when(hard, p["nodes"]).alias("a"), F.when(hard, g["nodes"]).alias("b"),
+    )
+    rows = store(rows, new_path(pairs.sparkSession, "pairs"))
+    left = rows.where("pd IS NOT NULL").select("pd", "gd", "a", "b", F.col("__same").alias("same"))
+    solved = _slots(left).drop("slot").sortWithinPartitions("pd", "gd").mapInArrow(_solver(mode), "pd string, gd string, d_text double, d_bare double")
+    solved = solved.select(F.col("pd").alias("__p"), F.col("gd").alias("__g"), "d_text", "d_bare")
+    met = rows.drop("a", "b").join(solved.hint("merge"), (F.col("pd") == F.col("__p")) & (F.col("gd") == F.col("__g")), "left")
+    share = lambda d: F.when(F.col("__there"), F.greatest(F.lit(0.0), 1 - d / F.col("__n"))).otherwise(0.0)
+    text, bare = F.coalesce("__text", "d_text"), F.when(F.col("__same"), 0.0).otherwise(F.col("d_bare"))
+    return met.select(*rest, share(text).alias("teds"), share(bare).alias("teds_s"))

@@ -64,6 +64,13 @@ def _render(mode: Column, grid: Column, html: Column) -> Column:
     )
 
 
+def rendered(truth: DataFrame, mode: int) -> DataFrame:
+    """truth with `text`: each table rendered in one mode."""
+    n = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = truth.repartition(n, "sample_id")
+    return rows.withColumn("text", _render(F.lit(mode), F.col("grid"), F.col("gt_html")))
+
+
 def responses(spark: SparkSession, sf_dir: str, truth: DataFrame | None = None) -> DataFrame:
     """Every run's answer to every sample, rendered in one of twelve modes; null is a failed call."""
     r = runs(spark, sf_dir)
@@ -108,3 +115,7 @@ score AS (SELECT *, CASE WHEN mode < 2 THEN 0.0 ELSE CAST(num_correct AS DOUBLE)
   CASE WHEN gt_total > 0 THEN CAST(correct AS DOUBLE) / gt_total ELSE 0.0 END AS cell_r FROM pair),
 scored AS (SELECT *, CASE WHEN cell_p + cell_r > 0 THEN 2 * cell_p * cell_r / (cell_p + cell_r) ELSE 0.0 END AS f1 FROM score)
 """
+
+#: Summaries of the scored pairs.
+SUMMARY_SQL = """SELECT dataset, run_id, count(*) AS tables, round(avg(teds), 9) AS teds, round(avg(teds_s), 9) AS teds_s, round(avg(f1), 9) AS cell_f1, round(CAST(sum(num_correct) AS DOUBLE) / sum(num_total), 9) AS numeric_cell_accuracy,
+ round(avg(CAST(NOT ran AS INTEGER)), 9) AS run_failure_rate, round(avg(CAST(ran AND NOT conv AS INTEGER)), 9) AS conversion_failure_rate, round(avg(seconds), 9) AS seconds_per_table FROM scored GROUP BY dataset, run_id"""

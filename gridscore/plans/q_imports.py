@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridscore.operators import ingest, scoring
+from gridscore.operators import ingest, scoring, upsert
 from gridscore.operators.shred import grid_cells, shred_tables
-from gridscore.plans.derive import PAIRS_SQL, dataset_runs, predictions, responses, samples, table
+from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, predictions, responses, samples, table
 from gridscore.sources import files, imports
 from gridscore.sources.shared import new_path as scratch
 from gridscore.sources.schemas import SAMPLE, TOKENS
-from gridscore.streaming.latest import last_snapshot, stream_latest, stream_summaries
+from gridscore.streaming.latest import board, latest_rows, stream_latest, stream_summaries
 
 
 def with_pairs(sql: str) -> str:
@@ -78,13 +78,12 @@ def q_tokens(spark, d):
 
 
 def q_reconcile(spark, d):
-    out = imports.reconcile_inventory(_annotations(spark, d).select(F.col("filename").alias("name")), _image_names(spark, d))
-    return out.select("gt_count", "image_count", F.size("missing_images").alias("missing"), F.size("extra_images").alias("extra"), F.col("missing_images")[0].alias("first_missing"), F.element_at("extra_images", -1).alias("last_extra"))
+    return imports.reconcile_inventory(_annotations(spark, d).select(F.col("filename").alias("name")), _image_names(spark, d))
 
 
 _RECONCILE_SQL = """WITH a AS (SELECT DISTINCT l_orderkey || '.png' AS name FROM lineitem), o AS (SELECT o_orderkey || '.png' AS name FROM orders WHERE o_orderkey % 5 <> 0), i AS (SELECT name FROM o UNION SELECT 'x' || name FROM o),
 m AS (SELECT name FROM a EXCEPT SELECT name FROM i), x AS (SELECT name FROM i EXCEPT SELECT name FROM a)
-SELECT (SELECT count(*) FROM a) AS gt_count, (SELECT count(*) FROM i) AS image_count, (SELECT CAST(count(*) AS INTEGER) FROM m) AS missing, (SELECT CAST(count(*) AS INTEGER) FROM x) AS extra, (SELECT min(name) FROM m) AS first_missing, (SELECT max(name) FROM x) AS last_extra"""
+SELECT 'gt_count' AS kind, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM a UNION ALL SELECT 'image_count', NULL, count(*) FROM i UNION ALL SELECT 'missing_image', name, NULL FROM m UNION ALL SELECT 'extra_image', name, NULL FROM x"""
 
 
 def q_manifest(spark, d):
@@ -100,19 +99,43 @@ def q_manifest(spark, d):
 _MANIFEST_SQL = "SELECT 'p' || page_id AS sample_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN '<table><tr><td>p' || page_id || '</td></tr></table>' END AS gt_html, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'usable' ELSE 'missing' END AS state FROM pages"
 
 
+def q_manifest_files(spark, d):
+    """The same from files: a manifest, a listing of images and texts of truths, all written and read by Spark; every fourth page of them has a file."""
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    key = F.col("k").cast("string")
+    m = p.select("k", F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("i"), key).alias("image"), F.concat(F.lit("g"), key).alias("gt"), F.lit("crawl").alias("source"))
+    at = scratch(spark, "manifest")
+    m.drop("k").write.json(f"{at}/manifest")
+    files.write_texts(m.where("k % 3 <> 0").select(F.col("image").alias("name"), F.lit("x").alias("value")), f"{at}/images")
+    files.write_texts(m.where("k % 5 <> 0").select(F.col("gt").alias("name"), F.concat(F.lit("<table><tr><td>"), "id", F.lit("</td></tr></table>")).alias("value")), f"{at}/truths")
+    manifest = files.read_manifest(spark, f"{at}/manifest", lines=True)
+    images = files.list_files(spark, f"{at}/images").select(F.col("path").alias("image"))
+    truths = files.read_texts(spark, f"{at}/truths").select(F.col("path").alias("gt"), F.trim(F.replace("value", F.lit("\n"), F.lit(""))).alias("value"))
+    good = imports.manifest_samples(manifest, images, truths, "bench", "r1").select("sample_id", "image", "gt_html", F.col("meta")["dataset_revision"].alias("revision"), F.lit("usable").alias("state"))
+    null = F.lit(None).cast("string")
+    return good.union(imports.manifest_missing(manifest, images, truths).select("missing", null, null, null, F.lit("missing")))
+
+
+_MANIFEST_FILES_SQL = """WITH m AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AS ok FROM supplier)
+SELECT 'p' || k AS sample_id, CASE WHEN ok THEN 'i' || k END AS image, CASE WHEN ok THEN '<table><tr><td>p' || k || '</td></tr></table>' END AS gt_html, CASE WHEN ok THEN 'r1' END AS revision, CASE WHEN ok THEN 'usable' ELSE 'missing' END AS state FROM m"""
+
+
 def q_page_pairs(spark, d):
-    """Pages made of the crawled ones: an image for each list item, a table for each paragraph."""
+    """Pages made of the crawled ones: an image for each list item; a table for each paragraph, on every third page with a table inside."""
     p = table(spark, d, "pages")
-    html = F.regexp_replace(F.regexp_replace("html", "(?s)<li>.*?</li>", '<img src="i.png">'), "(?s)<p>(.*?)</p>", "<table><tr><td>x</td></tr></table>")
+    plain, nested = "<table><tr><td>x</td></tr></table>", '<table class="o"><tr><td>a<TABLE><tr><td>y</td></tr></TABLE>b</td></tr></table>'
+    made = F.when(F.col("page_id") % 3 == 1, nested).otherwise(plain)
+    html = F.regexp_replace(F.regexp_replace("html", "(?s)<li>.*?</li>", '<img src="i.png">'), F.lit("(?s)<p>(.*?)</p>"), made)
     suffix = F.element_at(F.array(F.lit(".html"), F.lit(".htm"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int"))
     out = imports.page_pairs(p.select(F.concat(F.lit("d/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), suffix).alias("path"), html.alias("value")), "web")
-    return out.select("sample_id", "image", "gt_html", F.col("meta")["source_file"].alias("source_file"), F.col("meta")["source_index"].alias("source_index"))
+    return out.select("sample_id", "image", "gt_html", F.col("meta")["source_file"].alias("source_file"), F.col("meta")["source_index"].alias("source_index"), F.col("meta")["source_table_count"].alias("tables"))
 
 
-_PAGES_SQL = """WITH p AS (SELECT page_id, len(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS li, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>')) AS pa FROM pages), n AS (SELECT page_id, page_id % 3 AS rank, least(li, pa) AS n FROM p),
-x AS (SELECT page_id, rank, unnest(range(n)) AS i FROM n), y AS (SELECT *, row_number() OVER (ORDER BY rank, page_id, i) - 1 AS num FROM x)
-SELECT 'web_' || CASE WHEN num < 10000 THEN lpad(CAST(num AS VARCHAR), 4, '0') ELSE CAST(num AS VARCHAR) END AS sample_id, 'i.png' AS image, '<html><body><table><tr><td>x</td></tr></table></body></html>' AS gt_html,
- 'd/' || lpad(CAST(page_id AS VARCHAR), 9, '0') || ['.html', '.htm', '.txt'][CAST(rank + 1 AS INTEGER)] AS source_file, CAST(i AS VARCHAR) AS source_index FROM y"""
+_PAGES_SQL = """WITH p AS (SELECT page_id, page_id % 3 AS rank, len(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS li, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>')) * CASE WHEN page_id % 3 = 1 THEN 2 ELSE 1 END AS pa FROM pages),
+x AS (SELECT page_id, rank, pa, unnest(range(least(li, pa))) AS i FROM p), y AS (SELECT *, row_number() OVER (ORDER BY rank, page_id, i) - 1 AS num FROM x)
+SELECT 'web_' || CASE WHEN num < 10000 THEN lpad(CAST(num AS VARCHAR), 4, '0') ELSE CAST(num AS VARCHAR) END AS sample_id, 'i.png' AS image, '<html><body>' ||
+ CASE WHEN rank <> 1 THEN '<table><tr><td>x</td></tr></table>' WHEN i % 2 = 0 THEN '<table class="o"><tr><td>a<TABLE><tr><td>y</td></tr></TABLE>b</td></tr></table>' ELSE '<TABLE><tr><td>y</td></tr></TABLE>' END || '</body></html>' AS gt_html,
+ 'd/' || lpad(CAST(page_id AS VARCHAR), 9, '0') || ['.html', '.htm', '.txt'][CAST(rank + 1 AS INTEGER)] AS source_file, CAST(i AS VARCHAR) AS source_index, CAST(pa AS VARCHAR) AS tables FROM y"""
 
 
 def q_paired(spark, d):
@@ -130,18 +153,36 @@ _PAIRED_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 'im/' || p_part
  FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 3 <> 2"""
 
 
+def q_paired_files(spark, d):
+    """Paired folders as files: images listed, truths read as whole texts, some with bytes that are no text."""
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("s"))
+    suffix = F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".gif")), (F.col("k") % 3 + 1).cast("int"))
+    bad = F.when(F.col("k") % 2 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    at = scratch(spark, "paired")
+    files.write_texts(p.select(F.concat("s", suffix).alias("name"), F.lit("x").alias("value")), f"{at}/images")
+    files.write_texts(p.where("k % 7 <> 0").select(F.concat("s", F.lit(".html")).alias("name"), F.concat(F.lit("<table><tr><td>"), "s", bad, F.lit("</td></tr></table>")).alias("value")), f"{at}/truths")
+    return imports.paired_samples(files.list_files(spark, f"{at}/images").select("path"), files.read_texts(spark, f"{at}/truths"), "pairs").select("sample_id", "image", "gt_html")
+
+
+_PAIRED_FILES_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS sample_id, s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.png' ELSE '.JPG' END AS image,
+ '<html><body><table><tr><td>' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN chr(65533) ELSE '' END || '</td></tr></table></body></html>' AS gt_html FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 2"""
+
+
 def q_items(spark, d):
-    """A payload for each supplier, an object or a bare list; blank fields fall through."""
+    """A payload for each supplier, an object of two items or a bare list of one; blank fields fall through; items without an id are numbered over all payloads."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name"))
     html = F.concat(F.lit("<table><tr><td>"), "s_name", F.lit("</td></tr></table>"))
     null = F.lit(None).cast("string")
     item = F.struct(F.when(F.col("k") % 3 != 0, F.concat(F.lit("s"), F.col("k").cast("string"))).alias("id"), F.when(F.col("k") % 2 == 0, "").alias("gt_html"), html.alias("table_html"), F.when(F.col("k") % 5 == 0, null).otherwise("a.png").alias("src"))
-    body = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.array(item).alias("items")))).otherwise(F.to_json(F.array(item)))
-    out = imports.item_samples(imports.exploded_items(s.select(body.alias("body"))), "items")
-    return out.select("sample_id", "image", "gt_html")
+    more = F.struct(null.alias("id"), F.lit("<table><tr><td>more</td></tr></table>").alias("gt_html"), null.alias("table_html"), F.lit("b.png").alias("src"))
+    body = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.array(item, more).alias("items")))).otherwise(F.to_json(F.array(item)))
+    path = F.concat(F.lit("d/"), F.lpad(F.col("k").cast("string"), 9, "0"))
+    return imports.item_samples(imports.exploded_items(s.select(path.alias("path"), body.alias("body"))), "items").select("sample_id", "image", "gt_html")
 
 
-_ITEMS_SQL = "SELECT CASE WHEN s_suppkey % 3 <> 0 THEN 's' || s_suppkey ELSE 'items_0000' END AS sample_id, 'a.png' AS image, '<html><body><table><tr><td>' || s_name || '</td></tr></table></body></html>' AS gt_html FROM supplier WHERE s_suppkey % 5 <> 0"
+_ITEMS_SQL = """WITH s AS (SELECT s_suppkey AS k, s_name, sum(CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END) OVER (ORDER BY s_suppkey) - CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM supplier),
+i AS (SELECT CASE WHEN k % 3 <> 0 THEN 's' || k END AS id, n, 'a.png' AS image, s_name AS cell FROM s WHERE k % 5 <> 0 UNION ALL SELECT NULL, n + 1, 'b.png', 'more' FROM s WHERE k % 2 = 0)
+SELECT coalesce(id, 'items_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END) AS sample_id, image, '<html><body><table><tr><td>' || cell || '</td></tr></table></body></html>' AS gt_html FROM i"""
 
 
 def q_manifest_report(spark, d):
@@ -149,14 +190,51 @@ def q_manifest_report(spark, d):
 
 
 def q_data_report(spark, d):
-    r = imports.data_report(_samples(spark, d))
-    return r.select("dataset", "sample_count", F.md5(F.array_join("sample_ids", ",")).alias("ids"))
+    return imports.data_report(_samples(spark, d))
+
+
+def _scores(spark, d):
+    truth = samples(spark, d)
+    return scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d))
+
+
+def q_predictions_file(spark, d):
+    """Predictions as JSON lines, each run's odd samples appended once more with a later order; the last counts."""
+    p = predictions(spark, d).select("dataset", "run_id", "sample_id", "seq", "run_ok", "conversion_ok", "html", "seconds", "error")
+    at = scratch(spark, "predictions")
+    files.write_jsonl(p, at)
+    files.write_jsonl(p.where("seq % 20 >= 10").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("error", F.lit("again")), at, append=True)
+    last = upsert.latest(files.read_predictions(spark, at), ["dataset", "run_id", "sample_id"], "seq")
+    return last.groupBy("dataset", "run_id").agg(F.count("*").alias("rows"), F.count_if("run_ok").alias("run_ok"), F.count_if(F.col("error") == "again").alias("again"), F.count_if(F.col("html").startswith("<html>")).alias("tables"))
+
+
+_PREDICTIONS_SQL = "SELECT dataset, run_id, count(*) AS rows, count(*) FILTER (WHERE ran) AS run_ok, count(*) FILTER (WHERE (o_orderkey * 10 + rk) % 20 >= 10) AS again, count(*) FILTER (WHERE conv) AS tables FROM pair GROUP BY dataset, run_id"
+
+
+def q_score_files(spark, d):
+    """Scores by dataset and run; one run is scored and written again without its failed calls and replaces itself only."""
+    s = _scores(spark, d).select("dataset", "run_id", "sample_id", "teds", "run_ok")
+    at = scratch(spark, "scored")
+    files.write_scores(s, at)
+    files.write_scores(files.read_scores(spark, at, s.schema).where("run_id = 'europe' AND run_ok").withColumn("teds", F.lit(0.5)), at)
+    return files.read_scores(spark, at, s.schema).select("dataset", "run_id", "sample_id", F.round("teds", 9).alias("teds"), "run_ok")
+
+
+_SCORE_FILES_SQL = "SELECT dataset, run_id, sample_id, CASE WHEN run_id = 'europe' THEN 0.5 ELSE round(teds, 9) END AS teds, ran AS run_ok FROM scored WHERE run_id <> 'europe' OR ran"
+
+
+def q_summary_file(spark, d):
+    """A run summary under the names of summary files, as CSV and back."""
+    at = scratch(spark, "summary")
+    files.write_csv(files.summary_as_file(scoring.run_summary(_scores(spark, d))), at)
+    back = scoring.normalize_summary(files.read_csv(spark, at))
+    number = lambda c: F.round(F.col(c).cast("double"), 9).alias(c)
+    return back.select("dataset", "run_id", F.col("tables").cast("long").alias("tables"), *[number(c) for c in ("teds", "teds_s", "cell_f1", "numeric_cell_accuracy", "run_failure_rate", "conversion_failure_rate", "seconds_per_table")])
 
 
 def q_csv(spark, d):
     """Scores through a CSV file with a byte order mark and back."""
-    truth = samples(spark, d)
-    s = scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d)).select("dataset", "run_id", "sample_id", "teds", "numeric_cells_total", "seconds", "run_ok")
+    s = _scores(spark, d).select("dataset", "run_id", "sample_id", "teds", "numeric_cells_total", "seconds", "run_ok")
     at = scratch(spark, "scores")
     files.write_csv(s, at)
     back = files.read_csv(spark, at, "dataset string, run_id string, sample_id string, teds double, numeric_cells_total int, seconds double, run_ok boolean")
@@ -171,11 +249,17 @@ def q_normalize_summary(spark, d):
 
 
 def q_union_rows(spark, d):
-    """Rows of three tables under the union of their columns."""
-    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    """Rows of three tables under the union of their columns, through a CSV file."""
+    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
     s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     n = table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    return files.union_rows(c, s, n)
+    at = scratch(spark, "rows")
+    files.write_csv(files.union_rows(c, s, n), at)
+    return files.read_csv(spark, at)
+
+
+_UNION_SQL = """SELECT c_name AS name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS balance, CAST(NULL AS VARCHAR) AS nation FROM customer
+ UNION ALL SELECT s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier UNION ALL SELECT n_name, NULL, NULL FROM nation"""
 
 
 def q_ingest(spark, d):
@@ -197,28 +281,43 @@ def q_reconvert(spark, d):
     return out.groupBy("run_id", "mode").agg(F.count("*").alias("rows"), F.count_if("conversion_ok").alias("converted"), F.count_if(F.col("error") == "old").alias("kept"))
 
 
+def q_reconvert_files(spark, d):
+    """Stored predictions with raw texts in files, some with bytes that are no text; a raw text that is gone leaves its row as it was."""
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("raw_path"))
+    bad = F.unhex(F.lit("C3")).cast("string")
+    text = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<table><tr><td>a"), bad, F.lit("</td></tr></table>"))).otherwise("|a|b|\n|---|---|\n|1|2|")
+    at = scratch(spark, "raw")
+    files.write_texts(p.where("k % 5 <> 0").select(F.col("raw_path").alias("name"), text.alias("value")), at)
+    stored = p.select("k", "raw_path", F.lit("old").alias("html"), F.lit(False).alias("conversion_ok"), F.lit("old").alias("error"))
+    raw = files.read_texts(spark, at).select(F.col("path").alias("raw_path"), "value")
+    return ingest.reconvert(stored, raw).select("k", "html", "conversion_ok", "error")
+
+
+_RECONVERT_FILES_SQL = """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN '<html><body><table><tr><td>a' || chr(65533) || '</td></tr></table></body></html>'
+ ELSE '<html><body><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>' END AS html, s_suppkey % 5 <> 0 AS conversion_ok,
+ CASE WHEN s_suppkey % 5 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'markdown_table_no_merge' END AS error FROM supplier"""
+
+
 def _arrivals(spark, d):
     """Events as prediction rows that arrive in three files, out of order."""
     e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("run_id"), F.lit("s").alias("sample_id"), F.col("event_id").alias("seq"), "value")
     at = scratch(spark, "arrivals")
     for k in (2, 0, 1):
-        e.where(F.col("seq") % 3 == k).write.mode("append").parquet(at)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(at)
+        e.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 def q_stream_latest(spark, d):
-    path = scratch(spark, "latest")
-    query = stream_latest(_arrivals(spark, d), path, scratch(spark, "progress"))
-    query.awaitTermination()
-    return last_snapshot(spark, path, query).select("dataset", "run_id", "seq", "value")
+    path, stream = scratch(spark, "latest"), _arrivals(spark, d)
+    stream_latest(stream, path, scratch(spark, "progress"), buckets=8).awaitTermination()
+    return latest_rows(spark, path, stream.schema).select("dataset", "run_id", "seq", "value")
 
 
 def q_stream_leaderboard(spark, d):
     s = _arrivals(spark, d).select("dataset", "run_id", F.col("run_id").alias("sample_id"), "seq", *[F.col("value").alias(c) for c in ("teds", "teds_s", "cell_f1", "seconds")], F.lit(1).alias("numeric_cells_correct"), F.lit(2).alias("numeric_cells_total"), F.lit(False).alias("run_failure"), F.lit(False).alias("conversion_failure"))
     path = scratch(spark, "board")
-    query = stream_summaries(s, path, scratch(spark, "progress"))
-    query.awaitTermination()
-    return last_snapshot(spark, f"{path}/summaries", query).select("dataset", "run_id", "tables", F.round("teds", 9).alias("teds"), "numeric_cell_accuracy")
+    stream_summaries(s, path, scratch(spark, "progress"), buckets=8).awaitTermination()
+    return board(spark, path).select("dataset", "run_id", "tables", F.round("teds", 9).alias("teds"), "numeric_cell_accuracy")
 
 
 _LAST = "SELECT event_type AS dataset, CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1"
@@ -226,12 +325,7 @@ _LAST = "SELECT event_type AS dataset, CAST(user_id AS VARCHAR) AS run_id, event
 
 def q_prepare(spark, d):
     """Samples of each dataset: a fixed draw of twenty, and the report on them."""
-    from gridscore.operators.upsert import fixed_sample
-
-    s = _samples(spark, d)
-    out = fixed_sample(s.where("dataset = 'orders_1'"), 20, 20260917).unionByName(fixed_sample(s.where("dataset = 'orders_2'"), 20, 20260917))
-    r = imports.data_report(out)
-    return r.select("dataset", "sample_count", F.array_join("sample_ids", ",").alias("ids"))
+    return imports.report_rows(upsert.fixed_samples(_samples(spark, d), 20, 20260917))
 
 
 ENTRIES = {
@@ -241,17 +335,23 @@ ENTRIES = {
     "tokens_to_html": (q_tokens, _TOKEN_SQL.format(cols=f"k AS imgid, {_TOKEN_HTML} AS html", where="")),
     "reconcile_inventory": (q_reconcile, _RECONCILE_SQL),
     "src_manifest": (q_manifest, _MANIFEST_SQL),
+    "src_manifest_files": (q_manifest_files, _MANIFEST_FILES_SQL),
     "import_page_pairs": (q_page_pairs, _PAGES_SQL),
     "import_paired": (q_paired, _PAIRED_SQL),
+    "import_paired_files": (q_paired_files, _PAIRED_FILES_SQL),
     "import_items": (q_items, _ITEMS_SQL),
     "import_manifest_report": (q_manifest_report, with_pairs("SELECT dataset, count(DISTINCT sample_id) AS sample_count, 'html:orders' AS source FROM mode GROUP BY dataset")),
-    "prepare_datasets": (q_prepare, with_pairs(", o AS (SELECT DISTINCT dataset, sample_id FROM mode WHERE dataset IN ('orders_1', 'orders_2')), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('20260917:' || sample_id), sample_id) AS n FROM o) SELECT dataset, count(*) AS sample_count, string_agg(sample_id, ',' ORDER BY sample_id) AS ids FROM r WHERE n <= 20 GROUP BY dataset")),
-    "data_report": (q_data_report, with_pairs(", o AS (SELECT DISTINCT dataset, sample_id FROM mode) SELECT dataset, count(*) AS sample_count, md5(string_agg(sample_id, ',' ORDER BY sample_id)) AS ids FROM o GROUP BY dataset")),
+    "prepare_datasets": (q_prepare, with_pairs(", o AS (SELECT DISTINCT dataset, sample_id FROM mode), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('20260917:' || sample_id), sample_id) AS n FROM o) SELECT dataset, count(*) OVER (PARTITION BY dataset) AS sample_count, sample_id FROM r WHERE n <= 20")),
+    "data_report": (q_data_report, with_pairs("SELECT dataset, count(DISTINCT sample_id) AS sample_count FROM mode GROUP BY dataset")),
+    "predictions_file": (q_predictions_file, with_pairs(_PREDICTIONS_SQL)),
+    "score_files": (q_score_files, with_pairs(_SCORE_FILES_SQL)),
+    "summary_file": (q_summary_file, with_pairs(SUMMARY_SQL)),
     "src_csv_scores": (q_csv, with_pairs("SELECT dataset, run_id, sample_id, round(teds, 9) AS teds, CAST(num_total AS INTEGER) AS numeric_cells_total, seconds, ran AS run_ok FROM scored")),
     "normalize_summary": (q_normalize_summary, "SELECT 'orders' AS dataset, o_orderstatus AS run_id, CAST(count(*) AS VARCHAR) AS tables, CAST(NULL AS VARCHAR) AS teds, 'x' AS note FROM orders GROUP BY o_orderstatus"),
-    "sink_csv_scores": (q_union_rows, "SELECT c_name AS name, c_acctbal AS balance, CAST(NULL AS INTEGER) AS nation FROM customer UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier UNION ALL SELECT n_name, NULL, NULL FROM nation"),
+    "sink_csv_scores": (q_union_rows, _UNION_SQL),
     "ingest_responses": (q_ingest, with_pairs("SELECT dataset, run_id, count(*) FILTER (WHERE ran) AS run_ok, count(*) FILTER (WHERE conv) AS conversion_ok, count(*) FILTER (WHERE NOT ran) AS timeouts, CAST(sum(CASE WHEN mode = 7 THEN 3 WHEN ran THEN 0 END) AS BIGINT) AS removed FROM pair GROUP BY dataset, run_id")),
     "reconvert_run": (q_reconvert, with_pairs("SELECT run_id, mode, count(*) AS rows, count(*) FILTER (WHERE conv AND mode <> 4) AS converted, count(*) FILTER (WHERE mode IN (0, 4)) AS kept FROM pair GROUP BY run_id, mode")),
+    "reconvert_files": (q_reconvert_files, _RECONVERT_FILES_SQL),
     "stream_latest": (q_stream_latest, _LAST),
     "stream_leaderboard": (q_stream_leaderboard, f"WITH l AS ({_LAST}) SELECT dataset, run_id, count(*) AS tables, round(avg(value), 9) AS teds, 0.5::DOUBLE AS numeric_cell_accuracy FROM l GROUP BY dataset, run_id"),
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridscore.operators import scoring, shred, upsert
-from gridscore.operators.convert import cells_to_html
+from gridscore.operators.convert import cells_to_html, convert_responses
 from gridscore.operators.metrics import cell_f1, numeric_accuracy
-from gridscore.operators.treedist import tree_similarity
-from gridscore.plans.derive import PAIRS_SQL, dataset_runs, predictions, responses, runs, samples, table
+from gridscore.operators.treedist import tree_scores
+from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, predictions, rendered, runs, samples, table
+from gridscore.sources import files
+from gridscore.sources.shared import new_path
 
 KEYS = ["dataset", "run_id", "sample_id"]
 
@@ -22,7 +24,7 @@ def _pairs(spark, d):
     """Converted predictions beside their truth, both shredded."""
     truth = samples(spark, d)
     p = shred.shred_tables(predictions(spark, d, truth).where("conversion_ok").select(*KEYS, "html"), "html", "p")
-    return p.join(shred.shred_tables(truth.select("dataset", "sample_id", "gt_html"), "gt_html", "g"), ["dataset", "sample_id"])
+    return p.join(shred.shred_tables(truth.select("dataset", "sample_id", "gt_html"), "gt_html", "g").hint("merge"), ["dataset", "sample_id"])
 
 
 def with_pairs(sql: str) -> str:
@@ -37,9 +39,9 @@ def q_numeric(spark, d):
     return _pairs(spark, d).select(*KEYS, numeric_accuracy(F.col("p.grid"), F.col("g.grid")).alias("s")).select(*KEYS, F.round("s.accuracy", 9).alias("accuracy"), "s.correct", "s.total")
 
 
-def q_teds(structure_only):
+def q_teds(name):
     def run(spark, d):
-        return _pairs(spark, d).select(*KEYS, F.round(tree_similarity(F.col("p"), F.col("g"), structure_only), 9).alias("teds_s" if structure_only else "teds"))
+        return tree_scores(_pairs(spark, d).select(*KEYS, "p", "g")).select(*KEYS, F.round(name, 9).alias(name))
 
     return run
 
@@ -58,10 +60,6 @@ def q_score_run(spark, d):
     return rounded(_scores(spark, d))
 
 
-_SUMMARY_SQL = """SELECT dataset, run_id, count(*) AS tables, round(avg(teds), 9) AS teds, round(avg(teds_s), 9) AS teds_s, round(avg(f1), 9) AS cell_f1, round(CAST(sum(num_correct) AS DOUBLE) / sum(num_total), 9) AS numeric_cell_accuracy,
- round(avg(CAST(NOT ran AS INTEGER)), 9) AS run_failure_rate, round(avg(CAST(ran AND NOT conv AS INTEGER)), 9) AS conversion_failure_rate, round(avg(seconds), 9) AS seconds_per_table FROM scored GROUP BY dataset, run_id"""
-
-
 def q_run_summary(spark, d):
     return rounded(scoring.run_summary(_scores(spark, d)))
 
@@ -163,19 +161,13 @@ _CONVERT_SQL = """SELECT run_id, mode, count(*) AS responses, count(*) FILTER (W
 
 
 def q_cells_by_mode(mode):
-    """The long cells that a converter makes of one mode's responses."""
+    """The long cells that a converter makes of every order's table, rendered in its format."""
 
     def run(spark, d):
-        from gridscore.operators.convert import convert_responses
+        r = convert_responses(rendered(samples(spark, d), mode).select("sample_id", "text"), "text")
+        return shred.grid_cells(shred.shred_tables(r.select("sample_id", "html"), "html", "g"), "g.grid", "sample_id")
 
-        r = convert_responses(responses(spark, d).where(F.col("mode") == mode).select("run_id", "sample_id", "text"), "text")
-        return shred.grid_cells(shred.shred_tables(r.select("run_id", "sample_id", "html"), "html", "g"), "g.grid", "run_id", "sample_id")
-
-    sql = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS r FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-g AS (SELECT l_orderkey AS k, r, [CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR), l_returnflag, strftime(l_shipdate, '%Y-%m-%d')] AS cs FROM l
- UNION ALL SELECT DISTINCT l_orderkey, 0, ['Line', 'Qty', 'Price', 'Flag', 'Ship'] FROM l)
-SELECT lower(regexp_replace(r_name, '[^A-Za-z]+', '_', 'g')) AS run_id, CAST(k AS VARCHAR) AS sample_id, CAST(r AS INTEGER) AS r, CAST(unnest(range(5)) AS INTEGER) AS c, unnest(cs) AS text FROM g CROSS JOIN region WHERE (k * 31 + r_regionkey * 7) % 12 = {mode}"""
-    return run, sql
+    return run, _CELLS_SQL
 
 
 def q_upsert_predictions(spark, d):
@@ -227,15 +219,19 @@ _SAMPLE_SQL = "SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus FR
 
 
 def q_payload(spark, d):
-    from gridscore.sources.files import viewer_payload
-
+    """The payload written as JSON lines by dataset and run, and read again."""
     truth = samples(spark, d)
     p = predictions(spark, d, truth)
-    out = viewer_payload(truth, scoring.score_runs(truth, p, dataset_runs(spark, d)), p)
-    return out.select("dataset", "run_id", F.size("samples").alias("n"), F.col("samples")[0]["sample_id"].alias("first_id"), F.round(F.col("samples")[0]["teds"], 9).alias("first_teds"), F.element_at("samples", -1)["sample_id"].alias("last_id"))
+    payload = files.viewer_payload(truth, scoring.score_runs(truth, p, dataset_runs(spark, d)), p)
+    at = new_path(spark, "viewer")
+    files.write_viewer(payload, at)
+    back = spark.read.schema(payload.schema).json(at)
+    return rounded(back.select(*KEYS, "image", "teds", "teds_s", "cell_f1", "numeric", "run_ok", "conversion_ok", "seconds", "preprocess_profile", "prompt_id", "long_image_side", "error"))
 
 
-_PAYLOAD_SQL = "SELECT dataset, run_id, CAST(count(*) AS INTEGER) AS n, min(sample_id) AS first_id, round(arg_min(teds, sample_id), 9) AS first_teds, max(sample_id) AS last_id FROM scored GROUP BY dataset, run_id"
+_PAYLOAD_SQL = """SELECT dataset, s.run_id, sample_id, 'tables/' || sample_id || '.png' AS image, round(teds, 9) AS teds, round(teds_s, 9) AS teds_s, round(f1, 9) AS cell_f1, round(numeric_acc, 9) AS numeric, ran AS run_ok, conv AS conversion_ok, seconds,
+ preprocess_profile, 'html_table_v1' AS prompt_id, CASE WHEN s.rk = 1 THEN CAST(1536 AS INTEGER) END AS long_image_side,
+ CASE mode WHEN 0 THEN 'call failed' WHEN 1 THEN 'no_table_html' WHEN 3 THEN 'markdown_table_no_merge' WHEN 4 THEN 'loose_markdown_table_no_merge' WHEN 5 THEN 'paddle_token_table_no_merge' WHEN 6 THEN 'coordinate_ocr_no_merge' END AS error FROM scored s JOIN run USING (run_id)"""
 
 
 def q_cells_to_html(spark, d):
@@ -259,12 +255,12 @@ ENTRIES = {
     "leaderboard": (q_leaderboard, with_pairs(_BOARD_SQL + " SELECT run_id, tables, round(teds, 9) AS teds, round(teds_s, 9) AS teds_s, round(cell_f1, 9) AS cell_f1, round(numeric, 9) AS numeric, round(run_fail, 9) AS run_fail, round(conv_fail, 9) AS conv_fail, round(seconds, 9) AS seconds, display_name, profile, rank FROM ranked")),
     "cell_f1": (q_cell_f1, with_pairs("SELECT dataset, run_id, sample_id, round(cell_p, 9) AS cell_precision, round(cell_r, 9) AS cell_recall, round(f1, 9) AS cell_f1, CAST(correct AS INTEGER) AS correct, CAST(pred_total AS INTEGER) AS pred_total, CAST(gt_total AS INTEGER) AS gt_total FROM scored WHERE conv")),
     "numeric_accuracy": (q_numeric, with_pairs("SELECT dataset, run_id, sample_id, round(numeric_acc, 9) AS accuracy, CAST(num_correct AS INTEGER) AS correct, CAST(num_total AS INTEGER) AS total FROM scored WHERE conv")),
-    "teds": (q_teds(False), with_pairs("SELECT dataset, run_id, sample_id, round(teds, 9) AS teds FROM scored WHERE conv")),
-    "teds_s": (q_teds(True), with_pairs("SELECT dataset, run_id, sample_id, round(teds_s, 9) AS teds_s FROM scored WHERE conv")),
+    "teds": (q_teds("teds"), with_pairs("SELECT dataset, run_id, sample_id, round(teds, 9) AS teds FROM scored WHERE conv")),
+    "teds_s": (q_teds("teds_s"), with_pairs("SELECT dataset, run_id, sample_id, round(teds_s, 9) AS teds_s FROM scored WHERE conv")),
     "score_run": (q_score_run, with_pairs(_SCORE_SQL)),
     "score_all_runs": (lambda spark, d: q_score_run(spark, d).groupBy("run_id").agg(F.count("*").alias("tables"), F.sum("cell_text_correct").alias("correct")), with_pairs("SELECT run_id, count(*) AS tables, CAST(sum(correct) AS BIGINT) AS correct FROM scored GROUP BY run_id")),
-    "run_summary": (q_run_summary, with_pairs(_SUMMARY_SQL)),
-    "compare_runs": (q_compare, with_pairs(_SUMMARY_SQL)),
+    "run_summary": (q_run_summary, with_pairs(SUMMARY_SQL)),
+    "compare_runs": (q_compare, with_pairs(SUMMARY_SQL)),
     "leaderboard_text": (q_leaderboard_text, with_pairs(_BOARD_SQL + " SELECT run_id, rank, " + ", ".join(f"printf('%.4f', round({c}, 9)) AS {c}" for c in ("teds", "teds_s", "cell_f1", "numeric", "run_fail", "conv_fail", "seconds")) + " FROM ranked")),
     "conclusions": (q_conclusions, with_pairs(_BOARD_SQL + " " + _CONCLUSIONS_SQL)),
     "run_attributes": (q_attributes, with_pairs(_ATTR_SQL)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridscore.functions import runs as R
+from gridscore.functions import sql
 from gridscore.functions import textnorm as X
 from gridscore.operators import requests
 from gridscore.plans.derive import table
@@ -25,10 +26,12 @@ def q_normalize_text(spark, d):
 
 
 def q_clean_cell(spark, d):
-    return _docs(spark, d, cell=X.clean_cell_text(F.concat(F.left("text", F.lit(40)), F.element_at(F.array(F.lit("</"), F.lit("<"), F.lit("</td"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")))))
+    """Whole texts with each kind of dangling tag, and with none."""
+    tail = F.element_at(F.array(F.lit("</"), F.lit(" <"), F.lit("</td"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(spark, d, cell=X.clean_cell_text(F.concat("text", tail)))
 
 
-_CLEAN_SQL = f"""WITH t AS (SELECT doc_id, {_norm("text[1:40] || ['</', '<', '</td', ''][CAST(doc_id % 4 + 1 AS INTEGER)]")} AS s FROM documents)
+_CLEAN_SQL = f"""WITH t AS (SELECT doc_id, {_norm("text || ['</', ' <', '</td', ''][CAST(doc_id % 4 + 1 AS INTEGER)]")} AS s FROM documents)
 SELECT doc_id, {_norm(r"regexp_replace(regexp_replace(regexp_replace(s, '</\s*$', ''), '<\s*$', ''), '</\s*[A-Za-z][^>]*$', '')")} AS cell FROM t"""
 
 
@@ -45,16 +48,20 @@ _LATEX_SQL = f"SELECT p_partkey, {_norm('p_name')} || ' x' || p_size || '2 ± 3%
 
 
 def q_normalize_number(spark, d):
-    form = F.when(F.col("l_linenumber") % 4 == 0, F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("−"), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(" %")))
-    form = form.when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit("+"), F.col("l_quantity").cast("int").cast("string"), F.lit(". mg"))).otherwise(F.col("l_returnflag"))
+    """Prices, negative shares, signed whole numbers with a unit, flags without a digit, and texts that only look like powers."""
+    kind = F.col("l_linenumber") % 5
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    form = F.when(kind == 0, F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)).when(kind == 1, F.concat(F.lit("−"), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(" %")))
+    form = form.when(kind == 2, F.concat(F.lit("+"), quantity, F.lit(". mg"))).when(kind == 3, F.concat(quantity, F.lit(" E2"))).otherwise(F.col("l_returnflag"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", form.alias("text"), X.normalize_number(form).alias("number"))
 
 
-_NUMBER_SQL = r"""WITH t AS (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN format('{:,.2f}', CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE)) WHEN 1 THEN '−' || CAST(l_quantity AS DECIMAL(12,2)) || ' %' WHEN 2 THEN '+' || CAST(l_quantity AS INTEGER) || '. mg' ELSE l_returnflag END AS text,
- CAST(round(CASE WHEN l_linenumber % 4 = 0 THEN l_extendedprice ELSE l_quantity END * 100) AS BIGINT) AS cents FROM lineitem),
-z AS (SELECT *, rtrim(CAST(cents AS VARCHAR), '0') AS digits FROM t)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, text, CASE WHEN l_linenumber % 4 = 3 THEN NULL WHEN cents = 0 THEN CASE WHEN l_linenumber % 4 = 1 THEN '-0' ELSE '0' END
- ELSE CASE WHEN l_linenumber % 4 = 1 THEN '-' ELSE '' END || digits || 'E' || (length(CAST(cents AS VARCHAR)) - length(digits) - 2) END AS number FROM z"""
+_NUMBER_SQL = r"""WITH t AS (SELECT *, l_linenumber % 5 AS kind, CASE l_linenumber % 5 WHEN 0 THEN format('{:,.2f}', CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE)) WHEN 1 THEN '−' || CAST(l_quantity AS DECIMAL(12,2)) || ' %' WHEN 2 THEN '+' || CAST(l_quantity AS INTEGER) || '. mg'
+ WHEN 3 THEN CAST(l_quantity AS INTEGER) || ' E2' ELSE l_returnflag END AS text, CAST(round(CASE WHEN l_linenumber % 5 = 0 THEN l_extendedprice ELSE l_quantity END * 100) AS BIGINT) AS cents FROM lineitem),
+z AS (SELECT *, rtrim(CAST(cents AS VARCHAR), '0') AS d, length(CAST(cents AS VARCHAR)) - length(rtrim(CAST(cents AS VARCHAR), '0')) - 2 AS e FROM t),
+n AS (SELECT *, CASE WHEN kind = 1 THEN '-' ELSE '' END || CASE WHEN cents = 0 THEN '0' WHEN e = 0 THEN d WHEN e < 0 AND length(d) + e > 0 THEN d[:length(d) + e] || '.' || d[length(d) + e + 1:]
+ WHEN e < 0 THEN '0.' || repeat('0', -(length(d) + e)) || d ELSE d[1] || CASE WHEN length(d) > 1 THEN '.' || d[2:] ELSE '' END || 'E+' || (length(d) + e - 1) END AS decimal FROM z)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, text, CASE kind WHEN 3 THEN CAST(l_quantity AS INTEGER) || 'E2' WHEN 4 THEN NULL ELSE decimal END AS number FROM n"""
 
 
 def q_default_run_id(spark, d):
@@ -118,7 +125,8 @@ def q_build_requests(spark, d):
     o = table(spark, d, "orders").select(F.lit("orders").alias("dataset"), F.col("o_orderkey").cast("string").alias("sample_id"), F.concat(F.lit("tables/"), F.col("o_orderkey").cast("string")).alias("image"), (F.col("o_custkey") % 25).alias("k"))
     targets = table(spark, d, "nation").select(F.concat(F.lit("run"), F.col("n_nationkey").cast("string")).alias("run_id"), F.when(F.col("n_nationkey") % 3 == 0, "deepseek-ocr:3b").when(F.col("n_nationkey") % 3 == 1, "qwen3-vl:8b").otherwise("other").alias("model"), F.when(F.col("n_nationkey") % 2 == 0, "chat").otherwise("generate").alias("kind"),
         F.lit("html_table_v1").alias("prompt_id"), *[F.lit(None).cast("int").alias(c) for c in ("min_image_side", "long_image_side", "num_ctx", "num_predict")], F.lit(8192).alias("max_tokens"), F.lit(None).cast("int").alias("top_k"))
-    prompts = spark.range(2).select(F.when(F.col("id") == 0, "html_table_v1").otherwise("deepseek_ocr_prompt_v1").alias("prompt_id"), F.concat(F.lit("Prompt "), F.col("id").cast("string")).alias("text"))
+    names = F.array(F.lit("html_table_v1"), F.lit("deepseek_ocr_prompt_v1"))
+    prompts = table(spark, d, "region").where("r_regionkey < 2").select(F.get(names, F.col("r_regionkey").cast("int")).alias("prompt_id"), F.concat(F.lit("Prompt "), F.col("r_regionkey").cast("string")).alias("text"))
     pending = o.select("dataset", F.concat(F.lit("run"), F.col("k").cast("string")).alias("run_id"), "sample_id")
     return requests.build_requests(pending, o, targets, prompts)
 
@@ -128,7 +136,38 @@ SELECT 'orders' AS dataset, 'run' || k AS run_id, s AS sample_id, model, CASE WH
  CASE WHEN k % 2 = 0 THEN '{"model":"' || model || '","messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"tables/' || s || '"}},{"type":"text","text":"Prompt ' || CASE WHEN own THEN 1 ELSE 0 END || '"}]}],"temperature":0.0,"max_tokens":8192}'
  ELSE '{"model":"' || model || '","prompt":"Prompt ' || CASE WHEN own THEN 1 ELSE 0 END || '","images":["tables/' || s || '"],"stream":false,"options":{"temperature":0' || CASE WHEN own THEN ',"num_ctx":8192' ELSE '' END || '}' || CASE WHEN k % 3 = 1 THEN ',"think":false' ELSE '' END || '}' END AS body FROM t"""
 
+def q_sql_functions(spark, d):
+    """The text functions from SQL, over parts and line items."""
+    sql.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("sql_part")
+    table(spark, d, "lineitem").createOrReplaceTempView("sql_lines")
+    return spark.sql("""SELECT p_partkey, normalize_text(concat('  ', p_name, char(9), ' ', p_type, ' ')) AS text, clean_cell_text(concat(p_name, ' </td')) AS cell, round(cell_edit_distance(p_name, p_type), 9) AS share,
+        normalize_number(concat(CAST(CAST(least_price AS DECIMAL(12,2)) AS STRING), ' kg')) AS number FROM sql_part JOIN (SELECT l_partkey, min(l_extendedprice) AS least_price FROM sql_lines GROUP BY l_partkey) ON l_partkey = p_partkey""")
+
+
+_SQL_FUNCTIONS = """WITH l AS (SELECT l_partkey, CAST(round(min(l_extendedprice) * 100) AS BIGINT) AS cents FROM lineitem GROUP BY l_partkey),
+z AS (SELECT *, rtrim(CAST(cents AS VARCHAR), '0') AS d, length(CAST(cents AS VARCHAR)) - length(rtrim(CAST(cents AS VARCHAR), '0')) - 2 AS e FROM l)
+SELECT p_partkey, p_name || ' ' || p_type AS text, p_name AS cell, round(CAST(levenshtein(p_name, p_type) AS DOUBLE) / greatest(length(p_name), length(p_type), 1), 9) AS share,
+ CASE WHEN cents = 0 THEN '0' WHEN e = 0 THEN d WHEN e < 0 AND length(d) + e > 0 THEN d[:length(d) + e] || '.' || d[length(d) + e + 1:]
+ WHEN e < 0 THEN '0.' || repeat('0', -(length(d) + e)) || d ELSE d[1] || CASE WHEN length(d) > 1 THEN '.' || d[2:] ELSE '' END || 'E+' || (length(d) + e - 1) END AS number FROM part JOIN z ON l_partkey = p_partkey"""
+
+
+def q_sql_table_cells(spark, d):
+    """Cells of a table with a span for each order, from SQL."""
+    sql.register(spark)
+    o = table(spark, d, "orders")
+    html = F.concat(F.lit("<p>x</p><table><tr><td rowspan=2>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), "o_orderstatus", F.lit("</td></tr><tr><td>"), "o_orderpriority", F.lit("</td></tr></table>"))
+    o.select("o_orderkey", html.alias("html")).createOrReplaceTempView("sql_tables")
+    return spark.sql("SELECT o_orderkey, c.r, c.c, c.text FROM sql_tables, LATERAL table_cells(html) AS c")
+
+
+_TABLE_CELLS = """SELECT o_orderkey, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CASE WHEN c = 0 THEN CAST(o_orderkey AS VARCHAR) WHEN r = 0 THEN o_orderstatus ELSE o_orderpriority END AS text
+FROM orders, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, c)"""
+
+
 ENTRIES = {
+    "sql_functions": (q_sql_functions, _SQL_FUNCTIONS),
+    "sql_table_cells": (q_sql_table_cells, _TABLE_CELLS),
     "normalize_text": (q_normalize_text, f"SELECT doc_id, {_norm('text')} AS text FROM documents"),
     "clean_cell_text": (q_clean_cell, _CLEAN_SQL),
     "normalize_cell_text": (q_normalize_cell, f"SELECT doc_id, replace(lower({_norm('text')}), 'ß', 'ss') AS text FROM documents"),

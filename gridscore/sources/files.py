@@ -1,4 +1,4 @@
-"""Files in and out: JSON lines, CSV with a byte order mark, manifests, datasets."""
+"""Files in and out: JSON lines, CSV with a byte order mark, manifests, whole texts, datasets, scores."""
 
 from __future__ import annotations
 
@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 
 from gridscore.operators.scoring import SUMMARY_NAMES
 from gridscore.sources.schemas import MANIFEST, PREDICTION, SAMPLE
+from gridscore.sources.shared import new_path, store
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; blank lines are skipped; a path that isn't there is an empty table."""
+def or_empty(read, spark: SparkSession, schema) -> DataFrame:
+    """What read() gives; a path that isn't there is an empty table."""
     try:
-        return spark.read.schema(schema).json(path)
+        return read()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One object a line; blank lines are skipped; a path that isn't there is an empty table."""
+    return or_empty(lambda: spark.read.schema(schema).json(path), spark, schema)
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("append" if append else "overwrite").partitionBy(*partition_by).json(path)
 
@@ -64,23 +70,42 @@ def summary_as_file(summary: DataFrame) -> DataFrame:
     return s.select(*[F.col(c).alias(SUMMARY_NAMES.get(c, c)) for c in order])
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Manifest entries from a JSON array, or from an object a line."""
+    return spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """texts (name, value): each in a folder of its name, as Spark lays out partitions."""
+    texts.select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of whole files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, value) of whole files, invalid bytes replaced; path is the name where texts were written by name."""
+    df = spark.read.text(path, wholetext=True)
+    at = F.col("name").cast("string") if "name" in df.columns else F.col("_metadata.file_path")
+    return df.select(at.alias("path"), F.make_valid_utf8("value").alias("value"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime); contents aren't read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    """(path, length, modificationTime); contents aren't read. path is the name where files were written by name."""
+    df = spark.read.format("binaryFile").load(path)
+    at = F.col("name").cast("string") if "name" in df.columns else F.col("path")
+    return df.select(at.alias("path"), "length", "modificationTime")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scores (or summaries) by dataset and run; only the runs at hand are replaced."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_id").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, schema) -> DataFrame:
+    return or_empty(lambda: spark.read.schema(schema).parquet(path), spark, schema)
 
 
 def write_dataset(rows: DataFrame, path: str, source: str) -> DataFrame:
     """rows (dataset, sample_id, image, gt_html, meta) as manifest and samples, by dataset; returns the import report."""
-    rows = rows.cache()
+    rows = store(rows, new_path(rows.sparkSession, "import"))
     rows.select("dataset", "sample_id", "image", "gt_html", F.map_concat("meta", F.create_map(F.lit("source"), F.lit(source))).alias("meta")).write.mode("overwrite").partitionBy("dataset").json(f"{path}/samples")
     name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
     rows.select("dataset", F.col("sample_id").alias("id"), F.concat(F.lit("tables/"), name("image")).alias("image"), F.concat(F.lit("gt/"), "sample_id", F.lit(".html")).alias("gt"), F.lit(source).alias("source")).write.mode("overwrite").partitionBy("dataset").json(f"{path}/manifest")
@@ -88,12 +113,20 @@ def write_dataset(rows: DataFrame, path: str, source: str) -> DataFrame:
 
 
 def viewer_payload(samples: DataFrame, scores: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per run: its samples in id order with score and prediction fields (null where there is none), as an array of structs."""
+    """(dataset, run_id, sample_id, image and score and prediction fields, null where there is none): every sample of every run, a row each.
+
+    A run's list is its rows in id order; no row or task holds a run.
+    """
     runs = predictions.select("dataset", "run_id").distinct()
     keys = ["dataset", "run_id", "sample_id"]
-    wanted = samples.select("dataset", "sample_id", "image").join(runs, "dataset")
+    wanted = samples.select("dataset", "sample_id", "image").join(runs.hint("merge"), "dataset")
     s = scores.select(*keys, "teds", "teds_s", "cell_f1", F.col("numeric_cell_accuracy").alias("numeric"))
     p = predictions.select(*keys, "run_ok", "conversion_ok", "seconds", "preprocess_profile", "backend_tag", "prompt_id", "long_image_side", "error")
-    rows = wanted.join(p, keys, "left").join(s, keys, "left")
-    fields = ["sample_id", *[c for c in rows.columns if c not in keys]]
-    return rows.groupBy("dataset", "run_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("samples"))
+    return wanted.join(p.hint("merge"), keys, "left").join(s.hint("merge"), keys, "left")
+
+
+def write_viewer(payload: DataFrame, path: str) -> None:
+    """The payload as JSON lines, a folder for each dataset and run, ids in order within each file."""
+    n = int(payload.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = payload.repartitionByRange(n, "dataset", "run_id", "sample_id").sortWithinPartitions("dataset", "run_id", "sample_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_id").json(path)

@@ -1,55 +1,73 @@
 """Predictions that keep arriving: the latest of each key, and a leaderboard that follows.
 
-State is a table of snapshots, one for each batch id, so that a batch that is run again writes what it wrote before.
+State is a table in buckets by key. A batch reads and rewrites the buckets that it touches, by dynamic partition overwrite, and no
+others; nothing of older batches is kept. Merging is by greatest order, so a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
-from gridscore.operators.scoring import run_summary
-from gridscore.operators.upsert import latest, upsert
+from gridscore.operators.scoring import partial_sums, summed
+from gridscore.operators.upsert import latest
+from gridscore.sources.files import or_empty
 
 KEYS = ["dataset", "run_id", "sample_id"]
+BUCKET = "bucket"
 
 
-def _snapshot(spark, path: str, batch: int, schema) -> DataFrame:
-    """What the batches before left; a first batch finds an empty table."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{batch - 1}")
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    schema = StructType([*schema.fields]).add(BUCKET, IntegerType())
+    return or_empty(lambda: spark.read.schema(schema).parquet(path), spark, schema)
 
 
-def stream_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, order_col: str = "seq", then: Callable[[DataFrame, DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Keep the row of greatest order_col for each key, whatever order rows arrive in. `then` gets the snapshot, the batch's keys and its number."""
+def _replace(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def stream_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, order_col: str = "seq", buckets: int = 64, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Keep the row of greatest order_col for each key, whatever order rows arrive in, in a table at path (see latest_rows).
+
+    `then` gets the rows of the buckets that a batch has touched, with their bucket. The number of buckets is that of the table for good.
+    """
     keys = keys or KEYS
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = _snapshot(spark, path, number, batch.schema)
-        touched = batch.select(*keys).distinct()
-        mine = old.join(touched, keys, "left_semi").unionByName(batch)
-        upsert(old, latest(mine, keys, order_col), keys).write.mode("overwrite").parquet(f"{path}/{number}")
+        fresh = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[BUCKET] for r in fresh.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        old = _read(batch.sparkSession, path, batch.schema).where(F.col(BUCKET).isin(touched))
+        merged = latest(old.unionByName(fresh), [*keys, BUCKET], order_col)
+        _replace(merged, path)
         if then is not None:
-            then(spark.read.parquet(f"{path}/{number}"), touched, number)
+            then(_read(batch.sparkSession, path, batch.schema).where(F.col(BUCKET).isin(touched)))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_summaries(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Summaries of the latest scores; only the runs that a batch touches are summed anew."""
-    def refresh(snapshot: DataFrame, touched: DataFrame, number: int) -> None:
-        runs = touched.select("dataset", "run_id").distinct()
-        fresh = run_summary(snapshot.join(runs, ["dataset", "run_id"], "left_semi"))
-        old = _snapshot(snapshot.sparkSession, f"{path}/summaries", number, fresh.schema)
-        upsert(old, fresh, ["dataset", "run_id"]).write.mode("overwrite").parquet(f"{path}/summaries/{number}")
+def latest_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return _read(spark, path, schema).drop(BUCKET)
+
+
+def stream_summaries(scores: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Summaries of the latest scores (see board). Sums by run and bucket are kept; a batch sums the buckets anew that it touches, so a run of any size is spread."""
+
+    def refresh(rows: DataFrame) -> None:
+        _replace(partial_sums(rows, "dataset", "run_id", BUCKET), f"{path}/sums")
+
+    return stream_latest(scores, f"{path}/scores", checkpoint, buckets=buckets, then=refresh)
+
 
-    return stream_latest(scores, f"{path}/scores", checkpoint, then=refresh)
+def board(spark: SparkSession, path: str) -> DataFrame:
+    """The summaries as of the last batch; empty before the first."""
+    none = partial_sums(spark.createDataFrame([], SCORES), "dataset", "run_id")
+    return summed(_read(spark, f"{path}/sums", none.schema))
 
 
-def last_snapshot(spark, path: str, query: StreamingQuery) -> DataFrame:
-    """The table after the last batch of a finished query."""
-    return spark.read.parquet(f"{path}/{query.lastProgress['batchId']}")
+SCORES = "dataset string, run_id string, teds double, teds_s double, cell_f1 double, numeric_cells_correct int, numeric_cells_total int, run_failure boolean, conversion_failure boolean, seconds double"

@@ -73,7 +73,7 @@ def test_spans(spark):
     assert out[7].bad_spans == 1
 
 
-NUMBERS = {"1,234.50": "12345E-1", "100": "1E2", "100.0": "1E2", "-0": "-0", "0": "0", "+5": "5E0", ".5": "5E-1", "1.": "1E0", "−3": "-3E0", "–3": "-3E0", "12%": "12E0", "5 mg": "5E0", "5 μm": "5E0", "5 µm": "5µm", "12 (3)": "12(3)", "$4": "$4", "٣": "3E0", "abc": None, "12345678901234567890123456789012": "1234567890123456789012345679E4"}
+NUMBERS = {"1,234.50": "1234.5", "100": "1E+2", "100.0": "1E+2", "-0": "-0", "0": "0", "+5": "5", ".5": "0.5", "1.": "1", "−3": "-3", "–3": "-3", "12%": "12", "5 mg": "5", "5 μm": "5", "5 µm": "5µm", "12 (3)": "12(3)", "$4": "$4", "٣": "3", "abc": None, "5E2": "5E2", "12345678901234567890123456789012": "1.234567890123456789012345679E+31", "0.0000012": "0.0000012", "0.00000012": "1.2E-7", "1230": "1.23E+3"}
 
 
 def test_numbers(spark):
@@ -81,6 +81,18 @@ def test_numbers(spark):
     assert {r.t: r.n for r in df.select("t", X.normalize_number(F.col("t")).alias("n")).collect()} == NUMBERS
 
 
+def test_decimal_texts(spark):
+    """As the decimal library writes normalised numbers."""
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    texts = {rng.choice(["", "-", "+"]) + "".join(rng.choices("0123456789", [5, *[1] * 9], k=rng.randint(1, 34))) + rng.choice(["", "."]) for _ in range(300)}
+    texts |= {t.rstrip(".") + "." + "".join(rng.choices("0123456789", [6, *[1] * 9], k=rng.randint(1, 30))) for t in list(texts)[:200]}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", X.normalize_number(F.col("t")).alias("n")).collect()} == {t: str(Decimal(t).normalize()) for t in texts}
+
+
 @pytest.mark.parametrize("text, want", [("a\t\xa0b  c\x1c\n", "a b c"), (None, ""), ("  ", "")])
 def test_normalize_text(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(X.normalize_text(F.col("t")).alias("n")).first().n == want

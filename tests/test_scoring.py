@@ -110,7 +110,6 @@ def test_tree_distance(options):
 
 
 def test_shared_ends_and_shapes():
-    from gridscore.operators.shred import shape_of
     from gridscore.operators.treedist import without_shared_ends
 
     row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
@@ -121,7 +120,73 @@ def test_shared_ends_and_shapes():
     # equal rows on both sides of a change count once
     assert tree_distance(page(row("x"), row("x"), row("x")), page(row("x"), row("x"))) == 2
     assert tree_distance(long, long) == 0 and tree_distance(page(), page()) == 0
-    assert shape_of(page(row("a"))) == shape_of(page(row("b"))) != shape_of(page(row("a", "b")))
+
+
+def test_plain_tables_are_cut_as_parsed(spark):
+    """The JVM's path and the parser's give the same tables, grids, trees and note rows."""
+    from gridscore.operators import shred
+
+    rng = random.Random(12)
+    texts = ["", " ", "a", "x  y", "&amp;", "&lt;b&gt;", "&quot;q&#x27;", "é\u00a0z ", "Source: x", "Note: y", "&amp;lt;", '"raw"', "\ue001", "1\n2", "Table 1. t"]
+    cell = lambda: (lambda t: f"<{t}>{rng.choice(texts)}</{t}>")(rng.choice(["td", "td", "th"]))
+    page = lambda: rng.choice(["", "<html><body>", "Here: <p>", "<div>x</div><br>"]) + "<table>" + "".join("<tr>" + "".join(cell() for _ in range(rng.randint(0, 4))) + "</tr>" for _ in range(rng.randint(0, 5))) + "</table>" + rng.choice(["", "</body></html>", " and <b>more"])
+    df = spark.createDataFrame([(k, page()) for k in range(400)], "k int, html string")
+    odd = ["<!-- <table></table> --><table><tr><td>x</td></tr></table>", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a<td>b</tr></table>", "<table><tr><td>&copy;</td></tr></table>", "<table><tr><td><b>x</b></td></tr></table>", "<table><tr><td>open", "", "no table", "<script><table></script><table><tr><td>y</td></tr></table>"]
+    df = df.union(spark.createDataFrame([(1000 + k, h) for k, h in enumerate(odd)], df.schema))
+    rows = df.withColumn("plain", shred.plain_table(F.col("html")).isNotNull())
+    rows = shred.with_first_table(shred.with_first_table(shred.shred_tables(rows, "html", "g"), "html", "f"), "html", "w", strip_notes=False)
+    n = 0
+    for r in rows.collect():
+        table = shred.parse(r.html)
+        n += r.plain
+        assert r.plain == (r.k < 1000), r.html
+        if table is None:
+            assert r.g.nodes is None and r.g.grid == [] and r.f is None and r.g.shape is None
+            continue
+        assert r.w.html == f"<html><body>{table.html()}</body></html>" and r.w.removed == 0
+        assert (r.g.grid, r.g.bad_spans) == shred.grid_of(table) and r.g.n_elements == sum(1 for _ in table.all())
+        assert [x.asDict() for x in r.g.nodes] == shred.nodes_of(table), r.html
+        removed = shred.without_notes(table)
+        assert (r.f.html, r.f.removed) == (f"<html><body>{table.html()}</body></html>", removed), r.html
+    assert n == 400
+
+
+def test_large_plain_table(spark):
+    from gridscore.operators import shred
+
+    html = "<table>" + "<tr>" + "<td>abc &amp; d</td>" * 20 + "</tr>" + ("<tr>" + "<td>12.5</td>" * 20 + "</tr>") * 3000 + "</table>"
+    df = spark.createDataFrame([(html,)], "html string")
+    r = shred.shred_tables(df.where(shred.plain_table(F.col("html")).isNotNull()), "html", "g").select(F.size("g.grid").alias("rows"), "g.n_elements").first()
+    assert (r["rows"], r.n_elements) == (3001, 3001 * 21)
+
+
+def test_ignored_tags(spark):
+    from gridscore.operators import shred
+
+    df = spark.createDataFrame([("<table><thead><tr><td>a <b>b</b><i>c</i></td></tr></thead></table>",)], "html string")
+    r = shred.shred_tables(df, "html", "g", ignore_nodes=("b", "thead")).first().g
+    assert [n.tag for n in r.nodes] == ["td", "tr", "table"] and r.nodes[0].content == f"a b{shred.TAG_OPEN}i{shred.TAG_CLOSE}c{shred.TAG_OPEN}/i{shred.TAG_CLOSE}" and r.n_elements == 3
+
+
+@pytest.mark.parametrize("mode", ["chars", "tokens"])
+def test_tree_scores_of_all_kinds_of_pairs(spark, mode):
+    """The job's scores are those of the plain distance, for pairs that repeat, differ in shape, or have no table."""
+    from gridscore.operators import shred, treedist
+
+    rng = random.Random(21)
+    row = lambda: "<tr>" + "".join(f"<td{rng.choice(['', '', ' colspan=2'])}>{rng.choice(['', 'a', 'ab', 'abc', '<b>x</b>'])}</td>" for _ in range(rng.randint(1, 3))) + "</tr>"
+    tables = ["<table>" + "".join(row() for _ in range(rng.randint(1, 4))) + "</table>" for _ in range(12)] + ["", "none", "<table></table>"]
+    pairs = [(k, rng.choice(tables), rng.choice(tables), rng.random() < 0.9) for k in range(150)]
+    df = shred.shred_tables(shred.shred_tables(spark.createDataFrame(pairs, "k int, x string, y string, ok boolean"), "x", "p"), "y", "g")
+    got = {r.k: r for r in treedist.tree_scores(df.select("k", "ok", "p", "g"), where=F.col("ok"), mode=mode).collect()}
+    for k, x, y, ok in pairs:
+        a, b = shred.parse(x), shred.parse(y)
+        want = [0.0, 0.0]
+        if ok and a is not None and b is not None:
+            n = max(sum(1 for _ in a.all()), sum(1 for _ in b.all()), 1)
+            na, nb = nodes_of(a), nodes_of(b)
+            want = [max(0.0, 1 - tree_distance(na, nb, False, mode) / n), max(0.0, 1 - tree_distance(na, nb, True, mode) / n)]
+        assert abs(got[k].teds - want[0]) < 1e-9 and abs(got[k].teds_s - want[1]) < 1e-9, (x, y)
 
 
 def test_plain_markup_is_read_as_any_other():

@@ -58,13 +58,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = lines.join(F.broadcast(few), ["__h", "__h2"], "left")
     rest = met.where("__heavy IS NULL").drop("__heavy").join(frequent.where(~heavy).select("__h", "__h2", "__last").hint("merge"), ["__h", "__h2"])
     dropped = met.where("__id < __heavy").select("__id", "__pos").union(rest.where("__id < __last").select("__id", "__pos"))
-    bits = F.translate(F.hex("__bits"), HEX, INVERTED)
+    bits = F.translate(F.rtrim(F.hex("__bits"), F.lit("0")), HEX, INVERTED)  # zeros at the end would be ones that are left out
     return (
         dropped.select("__id", (F.col("__pos") + 1).cast("long").alias("__n"))
         .groupBy("__id", F.bitmap_bucket_number("__n").alias("__bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__n")).alias("__bits"))
         .groupBy("__id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("__bucket", F.rtrim(bits, F.lit("F")).alias("b")))).alias("__keep"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("__bucket", bits.alias("b")))).alias("__keep"))
     )
 
 

@@ -59,7 +59,7 @@ def token_grid(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("<fcel>")) & F.contains(text, F.lit("<nl>")), let(rows, lambda r: F.when(F.size(r) >= 2, _padded(r))))
 
 
-def coordinate_grid(text: Column) -> Column:
+def coordinate_grid(text: Column, notes: str = NOTE_ROW) -> Column:
     """A grid from lines `label [[x1,y1,x2,y2]]`, else null.
 
     Labels are folded into rows against each row's first item, column centres are folded over sorted x, and each label
@@ -119,7 +119,7 @@ def coordinate_grid(text: Column) -> Column:
         enough = F.size(F.filter(rows, lambda r: F.size(r) >= 2)) >= 2
         return F.when(enough, let(let(F.array_sort(xs), centres), fill))
 
-    found = F.filter(F.transform(F.transform(lines(text), strip), item), lambda s: s.isNotNull() & (s["t"] != "") & ~s["t"].rlike(NOTE_ROW))
+    found = F.filter(F.transform(F.transform(lines(text), strip), item), lambda s: s.isNotNull() & (s["t"] != "") & ~s["t"].rlike(notes))
     return F.when(F.contains(text, F.lit("[[")), let(F.array_sort(found), lambda items: F.when(F.size(items) >= 4, let(into_rows(items), grid))))
 
 
@@ -133,19 +133,19 @@ def _or_else(name: str, rest: Column):
     return lambda g: F.when(g.isNotNull(), F.struct(F.lit(name).alias("tag"), g.alias("grid"))).otherwise(rest)
 
 
-def convert_responses(df: DataFrame, text_col: str, strip_notes: bool = True) -> DataFrame:
-    """df with html, conversion_ok, conversion_tag and removed_rows (captions and note rows, where strip_notes).
+def convert_responses(df: DataFrame, text_col: str, strip_notes: bool = True, notes: str = NOTE_ROW) -> DataFrame:
+    """df with html, conversion_ok, conversion_tag and removed_rows (captions and rows that match `notes`, where strip_notes).
 
     Tags: empty_output, no_table_html, a converter's name, null for HTML. Null text is empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("__body", let(text, strip_fence))
-    df = with_first_table(df.withColumn("__html", F.when(F.col("__body").rlike(r"(?i)<table[\s>/]"), F.col("__body"))), "__html", "__table", strip_notes)
+    df = with_first_table(df.withColumn("__html", F.when(F.col("__body").rlike(r"(?i)<table[\s>/]"), F.col("__body"))), "__html", "__table", notes if strip_notes else None)
     made = F.lit(None).cast(f"struct<tag:string,grid:{GRID}>")
-    for name, make in (("coordinate_ocr_no_merge", coordinate_grid), ("paddle_token_table_no_merge", token_grid), ("loose_markdown_table_no_merge", loose_markdown_grid), ("markdown_table_no_merge", markdown_grid)):
+    for name, make in (("coordinate_ocr_no_merge", lambda t: coordinate_grid(t, notes)), ("paddle_token_table_no_merge", token_grid), ("loose_markdown_table_no_merge", loose_markdown_grid), ("markdown_table_no_merge", markdown_grid)):
         # from the last choice to the first: a grid, else what comes after
         made = let(make(F.col("__body")), _or_else(name, made))
-    cut = without_notes if strip_notes else (lambda g: g)
+    cut = (lambda g: without_notes(g, notes)) if strip_notes else (lambda g: g)
     native = let(made, lambda m: F.when(m.isNotNull(), let(cut(m["grid"]), lambda g: F.struct(m["tag"].alias("tag"), cells_to_html(g).alias("html"), (F.size(m["grid"]) - F.size(g)).alias("removed")))))
     df = df.withColumn("__made", F.when(F.col("__table.html").isNull() & (F.col("__body") != ""), native))
     ok = F.col("__table.html").isNotNull() | F.col("__made").isNotNull()

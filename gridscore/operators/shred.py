@@ -34,7 +34,6 @@ VOID = {"br", "img", "hr", "input", "wbr", "col", "meta", "link"}
 ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, **{g: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for g in ("thead", "tbody", "tfoot")}}
 #: A cell's content is one string: characters, and inline tags between these two in place of < and >.
 TAG_OPEN, TAG_CLOSE = "\ue001", "\ue002"
-_NOTE = re.compile(NOTE_ROW.replace("(?iU)", "(?i)"))
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
@@ -164,23 +163,24 @@ def cells(tr: Node) -> list[Node]:
     return [x for x in tr.children() if x.tag in ("td", "th")]
 
 
-def is_note(tr: Node, width: int) -> bool:
+def is_note(tr: Node, width: int, rule: re.Pattern) -> bool:
     own = cells(tr)
     filled = [c for c in own if squeeze("".join(c.strings()))]
     text = squeeze(" ".join(s.strip() for s in tr.strings() if s.strip()))
-    return len(filled) == 1 and bool(text) and sum(max(1, span(c, "colspan")[0]) for c in own) >= max(1, width - 1) and bool(_NOTE.match(text))
+    return len(filled) == 1 and bool(text) and sum(max(1, span(c, "colspan")[0]) for c in own) >= max(1, width - 1) and bool(rule.match(text))
 
 
-def without_notes(table: Node) -> int:
+def without_notes(table: Node, pattern: str = NOTE_ROW) -> int:
     """Removes captions, then note rows from the top and the bottom; the width is that of the whole table."""
+    rule = re.compile(pattern.replace("(?iU)", "(?i)"))
     gone: set[int] = {id(x) for x in table.all("caption")}
     removed = len(gone)
     rows = list(table.all("tr"))
     width = max((sum(max(1, span(c, "colspan")[0]) for c in cells(r)) for r in rows), default=1)
     lo, hi = 0, len(rows)
-    while lo < hi and is_note(rows[lo], width):
+    while lo < hi and is_note(rows[lo], width, rule):
         lo += 1
-    while hi > lo and is_note(rows[hi - 1], width):
+    while hi > lo and is_note(rows[hi - 1], width, rule):
         hi -= 1
     gone |= {id(r) for r in rows[:lo] + rows[hi:]}
     removed += lo + len(rows) - hi
@@ -304,12 +304,12 @@ def _hash128(*columns: Column) -> Column:
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (0, 1)])
 
 
-def _plain_first(table: Column, texts: Column, strip_notes: bool) -> Column:
+def _plain_first(table: Column, texts: Column, notes: str | None) -> Column:
     """FIRST_TABLE of a plain table: as the parser writes it, where quotes in texts are not escaped."""
     rows = F.regexp_extract_all(table, F.lit("(?s)<tr>.*?</tr>"), 0)
     cut = lambda b: F.when(b["n"] == F.size(texts), F.struct(table.alias("t"), F.lit(0).alias("r"))).otherwise(F.struct(F.concat(F.lit("<table>"), F.array_join(F.slice(rows, b["lo"] + 1, b["n"]), ""), F.lit("</table>")).alias("t"), (F.size(texts) - b["n"]).alias("r")))
     grid = F.transform(texts, lambda r: F.transform(r, normalize_text))
-    left = let(body_range(grid), cut) if strip_notes else F.struct(table.alias("t"), F.lit(0).alias("r"))
+    left = let(body_range(grid, notes), cut) if notes else F.struct(table.alias("t"), F.lit(0).alias("r"))
     text = lambda t: F.replace(F.replace(t, F.lit("&quot;"), F.lit('"')), F.lit("&#x27;"), F.lit("'"))
     return let(left, lambda x: F.struct(F.concat(F.lit("<html><body>"), text(x["t"]), F.lit("</body></html>")).alias("html"), x["r"].cast("int").alias("removed")))
 
@@ -324,19 +324,19 @@ def _arrow(kind: T.StructType, arrow: pa.DataType, of):
     return run.asNondeterministic()
 
 
-def with_first_table(df: DataFrame, column: str, out: str, strip_notes: bool = True) -> DataFrame:
-    """df with struct<html, removed>: the first table of a text, serialised again; null without one."""
+def with_first_table(df: DataFrame, column: str, out: str, notes: str | None = NOTE_ROW) -> DataFrame:
+    """df with struct<html, removed>: the first table of a text, serialised again; null without one. notes: the pattern of note rows to remove, with captions; null keeps all."""
 
     def of(text):
         table = parse(text)
         if table is None:
             return None
-        removed = without_notes(table) if strip_notes else 0
+        removed = without_notes(table, notes) if notes else 0
         return {"html": f"<html><body>{table.html()}</body></html>", "removed": removed}
 
     parsed = _arrow(FIRST_TABLE, pa.struct([("html", pa.string()), ("removed", pa.int32())]), of)
     rows = df.withColumn("__plain", plain_table(F.col(column)))
-    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), lambda texts: _plain_first(F.col("__plain"), texts, strip_notes)))
+    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), lambda texts: _plain_first(F.col("__plain"), texts, notes)))
     rows = rows.withColumn("__native", native).withColumn("__parsed", parsed(F.when(F.col("__plain").isNull(), F.col(column))))
     return rows.withColumn(out, F.coalesce("__native", "__parsed")).drop("__plain", "__native", "__parsed")
 

@@ -52,6 +52,13 @@ def test_notes(spark):
     assert [(out[i].g.grid, out[i].removed_rows) for i in range(len(NOTES))] == [(g, n) for _, g, n in NOTES]
 
 
+def test_own_note_pattern(spark):
+    texts = ["<table><tr><td colspan=2>Legend A</td></tr><tr><td>a</td><td>b</td></tr></table>", "<table><tr><td>Legend B</td></tr><tr><td>a</td></tr><tr><td>Source: x</td></tr></table>", "|Legend|x|\n|---|---|\n|Legend q||"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    out = {r.i: r for r in shred_tables(convert_responses(df, "text", notes="^Legend"), "html", "g").collect()}
+    assert [(out[i].g.grid, out[i].removed_rows) for i in range(3)] == [([["a", "b"]], 1), ([["a"], ["Source: x"]], 1), ([["Legend", "x"]], 1)]
+
+
 SPANS = [
     ("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>", [["a", "b"], ["a", "c"]]),
     ("<table><tr><td colspan=2>a</td></tr><tr><td>b</td><td>c</td></tr></table>", [["a", "a"], ["b", "c"]]),

@@ -134,7 +134,7 @@ def test_plain_tables_are_cut_as_parsed(spark):
     odd = ["<!-- <table></table> --><table><tr><td>x</td></tr></table>", "<TABLE><tr><td>a</td></tr></TABLE>", "<table><tr><td>a<td>b</tr></table>", "<table><tr><td>&copy;</td></tr></table>", "<table><tr><td><b>x</b></td></tr></table>", "<table><tr><td>open", "", "no table", "<script><table></script><table><tr><td>y</td></tr></table>"]
     df = df.union(spark.createDataFrame([(1000 + k, h) for k, h in enumerate(odd)], df.schema))
     rows = df.withColumn("plain", shred.plain_table(F.col("html")).isNotNull())
-    rows = shred.with_first_table(shred.with_first_table(shred.shred_tables(rows, "html", "g"), "html", "f"), "html", "w", strip_notes=False)
+    rows = shred.with_first_table(shred.with_first_table(shred.shred_tables(rows, "html", "g"), "html", "f"), "html", "w", notes=None)
     n = 0
     for r in rows.collect():
         table = shred.parse(r.html)

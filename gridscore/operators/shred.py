@@ -366,7 +366,7 @@ def shred_tables(df: DataFrame, column: str, out: str, ignore_nodes: tuple[str,
     rows = rows.withColumn("__native", native.cast(SHREDDED)).withColumn("__parsed", parsed(F.when(F.col("__plain").isNull(), F.coalesce(F.col(column), F.lit("")))))
     rows = rows.withColumn("__table", F.coalesce("__native", "__parsed"))
     nodes = F.col("__table.nodes")
-    shape = F.when(nodes.isNotNull(), _hash128(F.transform(nodes, lambda n: F.struct(n["tag"], n["colspan"], n["rowspan"], n["leftmost"]))))
+    shape = F.when(nodes.isNotNull(), _hash128(*[nodes[c] for c in ("tag", "colspan", "rowspan", "leftmost")]))
     return rows.withColumn(out, F.struct("__table.*", shape.alias("shape"), F.when(nodes.isNotNull(), _hash128(nodes)).alias("digest"))).drop("__plain", "__native", "__parsed", "__table")
 
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["score_run", "leaderboard", "compare_runs", "coords_to_cells", "corrupt_check", "normalize_number", "import_page_pairs", "ingest_responses", "stream_latest", "run_counters", "upsert_summary", "build_requests", "clean_cell_text", "import_items", "src_manifest_files", "import_paired_files", "reconvert_files", "score_files", "summary_file", "viewer_payload", "sql_functions", "sql_table_cells", "stream_leaderboard"]
+NAMES = ["score_run", "leaderboard", "compare_runs", "coords_to_cells", "corrupt_check", "normalize_number", "import_page_pairs", "ingest_responses", "stream_latest", "run_counters", "upsert_summary", "build_requests", "clean_cell_text", "import_items", "src_manifest_files", "import_paired_files", "reconvert_files", "sql_functions", "sql_table_cells", "stream_leaderboard"]
 
 
 def rows(table, columns):

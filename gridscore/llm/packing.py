@@ -63,37 +63,37 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     return sorted(set(out))
 
 
-def _cuts(max_len: int):
-    """Where the pieces of a long text begin, in code points: at 0 and at every max_len-th unit. Null stays null."""
+def _cutter(max_len: int, schema: pa.Schema):
+    """mapInArrow over (id, chars, units, long): `starts` in place of `long`, where the pieces of a long text begin, in code points; a null text has one piece."""
     unit = re.compile(PIECE, re.ASCII)
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def cuts(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            if not t.is_valid:
-                out.append(None)
-                continue
-            units = unit.finditer(t.as_py())
-            starts = [0, *(m.start() for m in islice(units, max_len, None, max_len))]
-            out.append(starts)
-        return pa.array(out, pa.list_(pa.int64()))
+    def run(batches):
+        for batch in batches:
+            starts = []
+            for t in batch.column(3):
+                more = islice(unit.finditer(t.as_py()), max_len, None, max_len) if t.is_valid else ()
+                starts.append([0, *(m.start() for m in more)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(starts, pa.list_(pa.int64()))], schema=schema)
 
-    return cuts
+    return run
 
 
 def split_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 4096) -> DataFrame:
     """(id, piece, start, stop, n_tokens): characters [start, stop) of the text, which hold n_tokens units.
 
     A text of more than max_len units is cut into pieces of max_len and a rest; what stands between two units belongs to the piece
-    before. The pieces of a text, joined, are the text. Null and empty texts are one piece of no characters.
+    before. The pieces of a text, joined, are the text. Null and empty texts are one piece of no characters. Only texts that are cut go to Python.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col), F.char_length(t).cast("long").alias("__chars"), piece_count(F.col(text_col)).alias("__len"), t.alias("__text"))
-    starts = F.coalesce(_cuts(max_len)(F.when(F.col("__len") > max_len, F.col("__text"))), F.array(F.lit(0).cast("long")))
-    rows = sized.select(id_col, "__chars", "__len", starts.alias("__starts")).select(id_col, "__chars", "__len", "__starts", F.posexplode("__starts").alias("piece", "start"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[id_col].dataType
+    sized = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("__chars"), piece_count(F.col(text_col)).alias("__len"), F.col(text_col).alias("__text"))
+    long = sized.select("__id", "__chars", "__len", F.when(F.col("__len") > max_len, F.col("__text")).alias("__long"))
+    arrow = pa.schema([("__id", to_arrow_type(kind)), ("__chars", pa.int64()), ("__len", pa.int64()), ("__starts", pa.list_(pa.int64()))])
+    schema = T.StructType([T.StructField("__id", kind), T.StructField("__chars", T.LongType()), T.StructField("__len", T.LongType()), T.StructField("__starts", T.ArrayType(T.LongType()))])
+    rows = long.mapInArrow(_cutter(max_len, arrow), schema).select("__id", "__chars", "__len", "__starts", F.posexplode("__starts").alias("piece", "start"))
     stop = F.coalesce(F.get("__starts", F.col("piece") + 1), F.col("__chars"))
-    return rows.select(id_col, F.col("piece").cast("long").alias("piece"), "start", stop.alias("stop"), F.least(F.lit(max_len), F.col("__len") - F.col("piece") * max_len).cast("long").alias("n_tokens"))
+    return rows.select(F.col("__id").alias(id_col), F.col("piece").cast("long").alias("piece"), "start", stop.alias("stop"), F.least(F.lit(max_len), F.col("__len") - F.col("piece") * max_len).cast("long").alias("n_tokens"))
 
 
 def pack(rows: DataFrame, id_col: str = "doc_id", max_len: int = 4096, buckets: int = 16, budget: int = 65536, shard_rows: int = 20_000) -> DataFrame:

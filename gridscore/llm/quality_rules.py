@@ -89,9 +89,9 @@ def removed_words(docs: DataFrame, id_col: str, host_col: str, text_col: str, ma
     return once.groupBy(*key).agg(F.count("*").alias("removed_lines"), F.sum("__n").alias("removed_words"), F.collect_set("__h").alias("__gone"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, max_docs: int = 100, max_removed: float = 0.7, out: str = "rules") -> DataFrame:
-    """docs with a struct `out`: the text without its frequent lines, statistics of the text as given, base_failed, removed_lines,
-    removed_words, depleted, kept. Every row and column of docs stays; a column that is named as `out` is replaced, names that begin with two
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 50, max_docs: int = 100, max_removed: float = 0.7, out: str = "rules", with_text: bool = True) -> DataFrame:
+    """docs with a struct `out`: the text without its frequent lines (null if not with_text, so that no text is shuffled where docs is not to
+    keep its own), statistics of the text as given, base_failed, removed_lines, removed_words, depleted, kept. Every row and column of docs stays; a column that is named as `out` is replaced, names that begin with two
     underscores are the operator's own.
 
     base_failed: n_words < min_words, or more than half of the words repeat in 3-word windows. depleted: frequent lines, those
@@ -106,8 +106,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source
     rest = F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(line_key(x))))
     failed = (F.col("__s.n_words") < min_words) | (100 * F.col("__s.n_repeat_words") > 50 * F.col("__s.n_words"))
     depleted = F.coalesce("__words", F.lit(0)) > max_removed * F.col("__s.n_words")
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     found = F.struct(
-        F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")).alias("text"),
+        (text if with_text else F.lit(None).cast("string")).alias("text"),
         "__s.*",
         failed.alias("base_failed"),
         F.coalesce("__lines", F.lit(0)).alias("removed_lines"),
@@ -120,7 +121,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, the verdicts and what was removed; rows as in apply_rules."""
-    return apply_rules(docs.select("doc_id", "source", "text")).select("doc_id", "rules.*").select(
+    return apply_rules(docs.select("doc_id", "source", "text"), with_text=False).select("doc_id", "rules.*").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "removed_words"
     )
 

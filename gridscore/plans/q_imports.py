@@ -100,7 +100,7 @@ _MANIFEST_SQL = "SELECT 'p' || page_id AS sample_id, CASE WHEN page_id % 3 <> 0
 
 
 def q_manifest_files(spark, d):
-    """The same from files: a manifest, a listing of images and texts of truths, all written and read by Spark; every fourth page of them has a file."""
+    """The same from files, for suppliers: a manifest, a listing of images, and texts of truths, all written and read by Spark."""
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     key = F.col("k").cast("string")
     m = p.select("k", F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("i"), key).alias("image"), F.concat(F.lit("g"), key).alias("gt"), F.lit("crawl").alias("source"))

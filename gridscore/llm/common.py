@@ -50,3 +50,8 @@ def held_out(doc_id: Column) -> Column:
 def line_key(line: Column) -> Column:
     """A line without white space at its ends, A-Z lower-cased."""
     return ascii_lower(F.btrim(line, F.lit(WS)))
+
+
+#: CRC-32 of the ASCII text VALUE in DuckDB's SQL, bit by bit (fixed values: the polynomial, and the first and last xor).
+CRC_SQL = """xor(list_reduce(list_transform(string_split(VALUE, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda crc, byte: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)), 4294967295), 4294967295)"""

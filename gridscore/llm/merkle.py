@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridscore.llm.common import stored
+from gridscore.llm.common import CRC_SQL, stored
 from gridscore.operators.ordinal import amount_before
 
 #: Children of a node, and levels of edges in a block (243 leaves).
@@ -230,10 +230,6 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-#: CRC-32 of a decimal number's text, bit by bit (fixed values: the polynomial, and the first and last xor).
-_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
-  lambda crc, byte: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)), 4294967295), 4294967295)"""
-
 ORACLE = r"""
 WITH RECURSIVE enc AS (SELECT doc_id, source, text, concat(coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
     coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head FROM documents),
@@ -259,4 +255,4 @@ f AS (SELECT source, pos, 0 AS step, coalesce(changed, leaf) AS cur, '' AS proof
 SELECT n.doc_id, n.leaf, sr.subroot, root.root, sha256(f.proof) AS proof_sha256, f.cur AS folded_root, f.cur = root.root AS verified
 FROM n JOIN sr ON n.source IS NOT DISTINCT FROM sr.source CROSS JOIN root
 JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.pos = f.pos AND f.step = sr.height + root.height
-""".replace("CRC", _CRC)
+""".replace("CRC", CRC_SQL.replace("VALUE", "CAST(doc_id AS VARCHAR)"))

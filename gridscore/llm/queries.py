@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridscore.llm import chat_format, decontaminate, html_extract, kmeans_tree, language_id, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from gridscore.llm import chat_format, conversation_repair, decontaminate, html_extract, kmeans_tree, language_id, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, suffix_dedup
 from gridscore.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_simhash": lambda spark, sf_dir: simhash.digest(table(spark, sf_dir, "documents")),
     "op11_merkle": lambda spark, sf_dir: merkle.digest(table(spark, sf_dir, "documents")),
     "op12_kmeans_tree": lambda spark, sf_dir: kmeans_tree.digest(table(spark, sf_dir, "embeddings")),
+    "op13_conversation_repair": lambda spark, sf_dir: conversation_repair.digest(table(spark, sf_dir, "conversations")),
 }
 
-ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op11_merkle": merkle.ORACLE}
+ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op11_merkle": merkle.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}

@@ -163,7 +163,7 @@ REPAIRED = "conv string, known boolean, gaps long, blank long, duplicate long, t
 
 
 def _repairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over rows (conv, known, has_turn, turn, role, text, fault) sorted by conversation and turn: a row for each conversation."""
+    """mapInPandas over rows (conv, known, has_turn, turn, role, text, fault, at) sorted by conversation and turn: a row for each conversation."""
     own, done = None, []
     for batch in batches:
         for conv, known, *row in batch.itertuples(index=False, name=None):
@@ -171,7 +171,7 @@ def _repairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if own is not None:
                     done.append(own.finish())
                 own = Repair(conv, known)
-            own.add(*row)
+            own.add(*row[:-1])
         if done:
             yield pd.DataFrame(done)
             done = []
@@ -201,9 +201,10 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
         F.when(F.col("gone"), NONE).when(F.btrim("text", F.lit(WS)) == "", BLANK).when(F.row_number().over(same) > 1, DUPLICATE)
         .when(~F.substring(F.rtrim("text", F.lit(WS)), -1, 1).isin(".", "!", "?"), TRUNCATED).otherwise(SOUND)
     )
-    flagged = own.withColumn("fault", fault).drop("gone")
-    flagged = flagged.sortWithinPartitions("conv", "known", "has_turn", "turn", "role", "text", F.col("fault") == DUPLICATE)
-    out = flagged.mapInPandas(_repairs, REPAIRED)
+    # This window, whose numbers aren't used, demands one partition and the order of turns for each conversation, whatever Spark made of the steps before.
+    turns = Window.partitionBy("conv", "known").orderBy("has_turn", "turn", "role", "text", F.col("fault") == DUPLICATE)
+    ordered = own.withColumn("fault", fault).drop("gone").withColumn("at", F.row_number().over(turns))
+    out = ordered.mapInPandas(_repairs, REPAIRED)
     own_id = F.when(F.col("known"), F.col("conv")).cast(rows.schema[conv_col].dataType).alias(conv_col)
     return out.select(own_id, *[c for c in out.columns if c not in ("conv", "known")])
 

@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every row is put into the leaf that it reaches by nearest centres. A query goes through the
 tree best bin first: a priority queue holds the branches seen so far by the inner product with their centre, the best is opened,
 until enough leaves are visited. How many are enough is measured: for a bounded set of queries the true neighbours among all rows
-are found, and leaf visits are widened until the wanted recall is reached. Queries meet rows in blocks of one leaf, of bounded size on both sides.
+are found, and leaf visits are widened until the wanted recall is reached. Neighbouring leaves lie in blocks of bounded size, and large leaves in
+several; a block of queries meets a block of rows once and compares only those of visited leaves.
 
 Equal vectors are one point, which keeps as many of its smallest ids as a result can show, so a vector that a third of all rows hold costs
 no more than another one.
@@ -29,7 +30,7 @@ SAMPLE_BYTES, TREE_BYTES = 64 << 20, 32 << 20
 
 @dataclass(frozen=True)
 class Tree:
-    """centers (a row a node, the root first), the range of each node's children (empty: a leaf), and the number of each leaf."""
+    """centers (a row a node, the root first), the range of each node's children (empty: a leaf), and the number of each leaf, depth first."""
 
     centers: np.ndarray
     first: np.ndarray
@@ -88,18 +89,23 @@ def fit_tree(sample: np.ndarray, leaf_rows: int, seed: int = 0) -> Tree:
     """A tree whose leaves hold up to leaf_rows rows of the sample (more where rows cannot be told apart); an empty sample gives one leaf."""
     random = np.random.default_rng(seed)
     centers, first, last, leaf = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])], [0], [0], [-1]
-    queue, leaves = [(0, np.arange(len(sample)))], 0
+    queue = [(0, np.arange(len(sample)))]
     for node, rows in queue:
         near = _split(sample[rows], random) if len(rows) > max(leaf_rows, BRANCH) else np.zeros(len(rows), np.int64)
         parts = np.unique(near)
         if len(parts) < 2:
-            leaf[node], leaves = leaves, leaves + 1
             continue
         first[node], last[node] = len(centers), len(centers) + len(parts)
         for k in parts:
             queue.append((len(centers), rows[near == k]))
             centers.append(sample[rows[near == k]].mean(0))
             first.append(0), last.append(0), leaf.append(-1)
+    stack, leaves = [0], 0
+    while stack:
+        node = stack.pop()
+        stack.extend(range(last[node] - 1, first[node] - 1, -1))
+        if first[node] == last[node]:
+            leaf[node], leaves = leaves, leaves + 1
     return Tree(np.stack(centers), np.array(first), np.array(last), np.array(leaf))
 
 
@@ -117,15 +123,14 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best vectors, ties to smaller ids. A fast product picks with room for rounding, an exact one decides."""
-    fast = queries @ vectors.T
+def best(fast: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best vectors, ties to smaller ids. fast: their inner products but for rounding, or -inf; it
+    picks with room for rounding, exact sums decide."""
+    floor = np.full(len(queries), -np.inf)
     if fast.shape[1] > k:
         room = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
         floor = np.partition(fast, fast.shape[1] - k, axis=1)[:, fast.shape[1] - k] - room
-        q, v = np.nonzero(fast >= floor[:, None])
-    else:
-        q, v = np.divmod(np.arange(fast.size), max(fast.shape[1], 1))
+    q, v = np.nonzero((fast >= floor[:, None]) & (fast > -np.inf))
     score = products(queries[q], vectors[v])
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
@@ -143,14 +148,19 @@ def _leaf_rows(tree) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def _visits(tree, leaves: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow over query points: a row for each leaf that a point visits."""
+def _visits(tree, visits: int, block_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow over query points: a row for each block of leaves that a point visits, with the leaves."""
     def run(batches):
         for b in batches:
             if b.num_rows:
-                seen = tree.value.visit(matrix(b["vec"]), leaves)
+                seen = np.sort(tree.value.visit(matrix(b["vec"]), visits), axis=1)
                 row, at = np.nonzero(seen >= 0)
-                yield b.take(pa.array(row)).append_column("leaf", pa.array(seen[row, at]))
+                leaf = seen[row, at]
+                block = block_of.value[leaf]
+                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(leaf)), pa.int32()), pa.array(leaf))
+                own = b.take(pa.array(row[starts]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(block[starts]), lists], [*own.schema.names, "block", "leaves"])
 
     return run
 
@@ -160,7 +170,8 @@ def _truth(queries, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches):
         for b in batches:
             if b.num_rows:
-                q, v, score = best(queries.value, matrix(b["vec"]), b["id"].to_numpy(), k)
+                vectors = matrix(b["vec"])
+                q, v, score = best(queries.value @ vectors.T, queries.value, vectors, b["id"].to_numpy(), k)
                 v = pa.array(v)
                 yield pa.RecordBatch.from_arrays([pa.array(q), b["leaf"].take(v), b["id"].take(v), pa.array(score)], ["q", "leaf", "id", "score"])
 
@@ -171,13 +182,23 @@ FOUND = "qh long, qu long, id long, ids array<long>, own boolean, score double"
 
 
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k best points for each query, of a block of queries and a block of points of one leaf."""
+    """The k best points of a block for each query of a block of queries, among the leaves that the query visits."""
     schema = pa.schema([("qh", pa.int64()), ("qu", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("own", pa.bool_()), ("score", pa.float64())])
 
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         if not queries.num_rows or not points.num_rows:
             return schema.empty_table()
-        q, v, score = best(matrix(queries["vec"]), matrix(points["vec"]), points["id"].to_numpy(), k)
+        points = points.sort_by("leaf")
+        asked, given = matrix(queries["vec"]), matrix(points["vec"])
+        leaf, lists = points["leaf"].to_numpy(), queries["leaves"].combine_chunks()
+        visits = {}
+        for row, own in zip(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())).tolist(), lists.flatten().to_pylist()):
+            visits.setdefault(own, []).append(row)
+        fast = np.full((len(asked), len(given)), -np.inf)
+        for own, rows in visits.items():
+            lo, hi = np.searchsorted(leaf, [own, own + 1])
+            fast[rows, lo:hi] = asked[rows] @ given[lo:hi].T
+        q, v, score = best(fast, asked, given, points["id"].to_numpy(), k)
         a, b = queries.select(["h", "u"]).take(pa.array(q)), points.select(["h", "u", "id", "ids"]).take(pa.array(v))
         own = (a["h"].to_numpy() == b["h"].to_numpy()) & (a["u"].to_numpy() == b["u"].to_numpy())
         return pa.Table.from_arrays([a["h"], a["u"], b["id"], b["ids"], pa.array(own), pa.array(score)], schema=schema)
@@ -234,8 +255,8 @@ def calibrated_visits(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int
 
 
 def search(
-    rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 256,
-    sample_rows: int = 20_000, sample_queries: int = 128, block_rows: int = 4096, seed: int = 0,
+    rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, leaf_rows: int = 256,
+    sample_rows: int = 20_000, sample_queries: int = 128, block_rows: int = 2048, seed: int = 0,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first, ties to smaller ids; all other rows where there are no more than k.
 
@@ -266,15 +287,28 @@ def search(
 
     indexed = stored(points.mapInArrow(_leaf_rows(shared), f"h long, u long, vec {kind}, ids array<long>, id long, leaf long"), "index")
     visits, _ = calibrated_visits(tree, indexed, asking, k, recall, sample_queries)
-    visiting = stored(asking.mapInArrow(_visits(shared, visits), f"h long, u long, vec {kind}, leaf long"), "visits")
 
-    # A leaf is cut into blocks of points and its visitors into blocks of queries; each block of the one meets each of the other. A row a leaf.
-    pieces = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias(name))
-    sizes = stored(pieces(indexed, "np").join(pieces(visiting, "nq").hint("merge"), "leaf"), "sizes")
+    # Blocks of about block_rows points, of neighbouring leaves or of a part of one leaf; each has its visitors in blocks. At most a row a leaf here.
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():
+        sizes[r["leaf"]] = r["count"]
+    block_of = np.zeros(tree.leaves, np.int64)
+    held = 0
+    for i in range(tree.leaves):
+        fits = i == 0 or held + sizes[i] <= block_rows
+        block_of[i] = 0 if i == 0 else block_of[i - 1] + (not fits)
+        held = held + sizes[i] if fits else sizes[i]
+    told = spark.sparkContext.broadcast(block_of)
+    visiting = stored(asking.mapInArrow(_visits(shared, visits, told), f"h long, u long, vec {kind}, block long, leaves array<long>"), "visits")
+    parts = np.maximum(1, -(-np.bincount(block_of, weights=sizes).astype(np.int64) // block_rows))
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "block long, np long")
+    asked_by = visiting.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+    blocks = stored(pieces.join(asked_by.hint("merge"), "block"), "blocks")
+    where = spark.createDataFrame([(i, int(b)) for i, b in enumerate(block_of)], "leaf long, block long")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    asked = visiting.join(F.broadcast(sizes), "leaf").withColumn("qb", F.pmod("u", "nq")).withColumn("pb", upto("np")).drop("np", "nq")
-    given = indexed.join(F.broadcast(sizes), "leaf").withColumn("pb", F.pmod("u", "np")).withColumn("qb", upto("nq")).drop("np", "nq")
-    keys = ["leaf", "qb", "pb"]
+    asked = visiting.join(F.broadcast(blocks), "block").withColumn("qb", F.pmod("u", "nq")).withColumn("pb", upto("np")).drop("np", "nq")
+    given = indexed.join(F.broadcast(where), "leaf").join(F.broadcast(blocks), "block").withColumn("pb", F.pmod("u", "np")).withColumn("qb", upto("nq")).drop("np", "nq")
+    keys = ["block", "qb", "pb"]
     met = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(_search(k + 1), FOUND)
 
     nth = F.row_number().over(Window.partitionBy("qh", "qu").orderBy(F.desc("score"), "id"))

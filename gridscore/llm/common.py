@@ -37,6 +37,11 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("__t"), F.xxhash64(F.lit(1), t).alias("__u")]
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits that tell rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("__t")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only: lower() where every character is one byte, translate() elsewhere."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -4,8 +4,8 @@ Texts are split once: hashes of lines are written as skinny rows (hash, document
 range-partitioned on (hash, document) and sorted within a partition by document and position, so a line that a third of
 all documents hold is dealt over neighbouring partitions. A stream over each partition marks the first occurrence in
 each document; one summary row per line and partition is merged into the line's document count and last document.
-Lines of enough documents meet the rows again: those with more than a thousandth of all rows, of which there are fewer
-than a thousand, by a broadcast, the others by a sort-merge join. What comes out is one compressed bitmap of kept lines for each document
+Lines of enough documents meet the rows again: those with more rows than a quarter of a partition, of which there are at most four
+a partition, by a broadcast, the others by a sort-merge join. What comes out is one compressed bitmap of kept lines for each document
 that loses any. Texts take no part in any of this.
 """
 
@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscore.llm.common import line_key, stored
+from gridscore.llm.common import line_key, stored, text_hash
 
 #: Lines of one bitmap: what bitmap_construct_agg holds.
 BITMAP_LINES = 32768
-#: A line with more than this share of all rows is joined by a broadcast; 1 / HEAVY such lines are possible.
-HEAVY = 0.001
+#: A line with more rows than this part of an even partition is joined by a broadcast, and so is one with more than a thousandth of all rows; at most
+#: four such lines a partition, or a thousand, are possible.
+HEAVY = 0.25
 HEX, INVERTED = "0123456789ABCDEF", "FEDCBA9876543210"
 
 
@@ -28,24 +29,25 @@ def lines_of(text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(__id, __keep): a map from bucket of 32,768 lines to a hex bitmap of the lines to keep. Ones at its end are left out, and so is a bucket of ones.
+    """(__id, __t, __keep): for a row, known by its id and the hash of its text, a map from bucket of 32,768 lines to a hex bitmap of the lines to keep.
+    Ones at a bitmap's end are left out, and so is a bucket of ones.
 
     A key (see line_key) of at least min_chars code points in at least min_docs documents loses its lines in
-    all documents but the largest id. Documents that lose nothing have no row. Rows with the same id are one
-    document; rows whose id is null neither count nor lose lines. An empty table gives an empty table.
+    all documents but the largest id. Rows that lose nothing have no row. Rows with the same id are one document, which counts
+    once; where their texts differ each loses its own lines. Rows whose id is null neither count nor lose lines. An empty table gives an empty table.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = (
-        docs.select(F.col(id_col).alias("__id"), F.posexplode(lines_of(F.col(text_col))).alias("__pos", "__line"))
+        docs.select(F.col(id_col).alias("__id"), text_hash(F.col(text_col)), F.posexplode(lines_of(F.col(text_col))).alias("__pos", "__line"))
         .where(F.col("__id").isNotNull() & (F.char_length("__line") >= min_chars))
         .withColumn("__key", line_key(F.col("__line")))
         .where(F.char_length("__key") >= min_chars)
-        .select("__id", "__pos", F.xxhash64("__key").alias("__h"), F.hash("__key").alias("__h2"))
+        .select("__id", "__t", "__pos", F.xxhash64("__key").alias("__h"), F.hash("__key").alias("__h2"))
     )
     lines = stored(lines, "lines")
     in_doc = Window.partitionBy("__h", "__h2", "__id").orderBy("__pos")
     frequent = (
-        lines.repartitionByRange(n, "__h", "__h2", "__id")
+        lines.drop("__t").repartitionByRange(n, "__h", "__h2", "__id")
         .withColumn("__nth", F.row_number().over(in_doc))
         .groupBy("__h", "__h2")
         .agg(F.count_if(F.col("__nth") == 1).alias("__docs"), F.max("__id").alias("__last"), F.count("*").alias("__rows"))
@@ -53,17 +55,18 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("__h", "__h2", "__last", "__rows")
     )
     frequent = stored(frequent, "frequent")
-    heavy = F.col("__rows") > HEAVY * lines.count()
+    heavy = F.col("__rows") > min(0.001, HEAVY / n) * lines.count()
     few = frequent.where(heavy).select("__h", "__h2", F.col("__last").alias("__heavy"))
     met = lines.join(F.broadcast(few), ["__h", "__h2"], "left")
     rest = met.where("__heavy IS NULL").drop("__heavy").join(frequent.where(~heavy).select("__h", "__h2", "__last").hint("merge"), ["__h", "__h2"])
-    dropped = met.where("__id < __heavy").select("__id", "__pos").union(rest.where("__id < __last").select("__id", "__pos"))
+    own = ["__id", "__t", "__pos"]
+    dropped = met.where("__id < __heavy").select(*own).union(rest.where("__id < __last").select(*own))
     bits = F.translate(F.rtrim(F.hex("__bits"), F.lit("0")), HEX, INVERTED)  # zeros at the end would be ones that are left out
     return (
-        dropped.select("__id", (F.col("__pos") + 1).cast("long").alias("__n"))
-        .groupBy("__id", F.bitmap_bucket_number("__n").alias("__bucket"))
+        dropped.select("__id", "__t", (F.col("__pos") + 1).cast("long").alias("__n"))
+        .groupBy("__id", "__t", F.bitmap_bucket_number("__n").alias("__bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__n")).alias("__bits"))
-        .groupBy("__id")
+        .groupBy("__id", "__t")
         .agg(F.map_from_entries(F.collect_list(F.struct("__bucket", bits.alias("b")))).alias("__keep"))
     )
 
@@ -83,7 +86,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     rows = docs.drop(out)
-    joined = rows.join(maps.withColumnRenamed("__id", "__did").hint("merge"), rows[id_col] == F.col("__did"), "left").drop("__did")
+    maps = maps.withColumnsRenamed({"__id": "__did", "__t": "__dt"}).hint("merge")
+    joined = rows.join(maps, (rows[id_col] == F.col("__did")) & (text_hash(F.col(text_col)) == F.col("__dt")), "left").drop("__did", "__dt")
     split = joined.withColumn("__lines", lines_of(F.col(text_col)))
     kept = F.when(F.col("__keep").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda _, i: is_kept(F.col("__keep"), i)))
     return split.withColumn(out, F.struct(F.size("__lines").cast("long").alias("n_lines"), kept.alias("kept"))).drop("__lines", "__keep")

@@ -16,11 +16,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridscore.llm.common import replaced, stored
+from gridscore.llm.common import replaced, stored, text_hash
 
 MAX_BITS, LEAST_BYTES = 3, 5
 #: Lists up to this size are compared by offset in bulk; longer ones are searched.
@@ -171,21 +171,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): one row per row of docs; the id column keeps its name and may be of any type that can be ordered.
+    """(id, fp, component, text_hash): one row per row of docs; the id column keeps its name and may be of any type that can be ordered.
 
     component: the smallest id reachable over links of at most three differing bits, itself included. Null and empty texts have
     fingerprint 0, which links like any other. Rows with a null id get a fingerprint and a null component and link nothing. Rows
     with equal ids are one document that has several fingerprints only if their texts differ; those don't link by the id.
     Texts of any length are read whole. An empty table gives an empty table.
     """
-    fps = stored(docs.select(F.col(id_col).alias("__id"), fingerprint(F.col(text_col).cast("binary")).alias("fp")), "fingerprints")
+    fps = stored(docs.select(F.col(id_col).alias("__id"), fingerprint(F.col(text_col).cast("binary")).alias("fp"), text_hash(F.col(text_col))), "fingerprints")
     nodes = stored(fps.where("__id IS NOT NULL").groupBy("fp").agg(F.min("__id").alias("least")), "nodes")
     found = components(fingerprint_links(nodes.select("fp")))
     classes = stored(nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "classes")
     roots = classes.groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(roots.hint("merge"), "root").select(F.col("fp").alias("__fp"), "component")
     joined = fps.join(named.hint("merge"), fps["fp"] == F.col("__fp"), "left")
-    return joined.select(F.col("__id").alias(id_col), "fp", F.when(F.col("__id").isNotNull(), F.col("component")).alias("component"))
+    return joined.select(F.col("__id").alias(id_col), "fp", F.when(F.col("__id").isNotNull(), F.col("component")).alias("component"), F.col("__t").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component: of the rows of its smallest id the one of least fingerprint and text hash; of rows that are equal in
+    both, the least by its other columns. Rows with a null id stay.
+
+    An id whose texts differ may lose some and keep others: each row goes by its own component.
+    """
+    heads = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component"))
+    heads = heads.groupBy("component").agg(F.min(F.struct("fp", "text_hash")).alias("__head")).select(F.col("component").alias("__id"), F.col("__head.text_hash").alias("__h"))
+    own = docs.withColumn("__t", text_hash(F.col(text_col)))
+    met = own.where(F.col(id_col).isNotNull()).join(heads.hint("merge"), (own[id_col] == F.col("__id")) & (own["__t"] == F.col("__h")))
+    rest = [F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))]
+    nth = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(*rest))
+    return met.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,33 @@ def store(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none where there is no folder."""
+    fs, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file's text, read on the driver."""
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside and renamed. It must be new."""
+    fs, at = _file_system(spark, path)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at.getParent()}/_{uuid.uuid4().hex}")
+    stream = fs.create(aside)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(at) or not fs.rename(aside, at):
+        fs.delete(aside, False)
+        raise FileExistsError(f"{path} was written by someone else")

@@ -73,10 +73,35 @@ def test_every_column_stays(spark, docs):
         assert out.count() == n
     assert decontaminate.drop_contaminated(docs, benchmark).columns == docs.columns
     assert len(decontaminate.drop_contaminated(docs, benchmark, broadcast_rows=0).collect()) == len(decontaminate.drop_contaminated(docs, benchmark).collect()) == n - 2
-    assert simhash.near_duplicates(docs).columns == ["doc_id", "fp", "component"] and suffix_dedup.remove_repeats(docs).columns[:2] == ["doc_id", "n_bytes"]
+    assert simhash.near_duplicates(docs).columns == ["doc_id", "fp", "component", "text_hash"] and suffix_dedup.remove_repeats(docs).columns[:2] == ["doc_id", "n_bytes"]
     assert packing.pack_documents(docs).columns == ["doc_id", "piece", "start", "stop", "n_tokens", "bucket_len", "batch", "slot"]
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows of one id with different texts lose their own lines only; one row of a group of copies stays, whichever ids its rows have."""
+    import hashlib
+
+    shared = "a line that three documents hold"
+    texts = [(1, f"{shared}\nown of copy A"), (1, "precious first line of copy B\nsecond"), (1, "precious first line of copy B\nsecond"), (2, shared), (3, f"{shared}\nlast"), (None, shared)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 2, 1, sha("own of copy A")), (1, 2, 0, sha(texts[1][1])), (1, 2, 0, sha(texts[1][1])), (2, 1, 1, sha("")), (3, 2, 0, sha(texts[4][1])), (None, 1, 0, sha(shared))]
+    assert sorted(map(tuple, line_dedup.digest(df).collect()), key=str) == sorted(want, key=str)
+
+    t, other = "one two three four five six", "words of a wholly different kind here"
+    rows = [(1, t, "en"), (2, t, "en"), (2, other, "en"), (2, other, "de"), (3, other, "en"), (None, t, "en"), (None, None, None), (4, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("component", F.lit(1)).repartition(3)
+    kept = sorted(((r.doc_id, r.text, r.lang) for r in simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, t, "en"), (2, other, "de"), (4, None, "x"), (None, t, "en"), (None, None, None)], key=str)
+
+
+def test_a_line_in_a_third_of_all_rows(spark):
+    """Heavy lines, which are joined by a broadcast, and the others give the same."""
+    rows = [(k, "\n".join([f"the common line of the corpus", f"line of group {k % 40:05d} of documents", f"own line of document {k:05d}"])) for k in range(400)]
+    out = line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in out} == {k: (k < 399) + (k < 360) for k in range(400)}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels, benchmark = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")
@@ -156,6 +181,15 @@ def test_pipeline_brute(spark):
         hit = {j for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n)}
         if not (hit and 20 * len(hit) >= len(w)):
             kept[k] = t
+    # The same with rows that repeat an id: copies of a row, and a copy of another document under an id that heads a component itself.
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    again = docs.where("doc_id < 20").union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(1000).cast("long")))
+    for table in (docs, docs.union(again)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES[2:3]:
+            ids = [r.doc_id for r in stage(spark, at, sf).select("doc_id").collect()]
+            heads = classes({r.doc_id: fingerprint(r.text) for r in docs.collect()})
+            assert sorted(ids) == sorted(k for k, v in heads.items() if k == v)
     got = defaultdict(int)
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id] += r.n_tokens

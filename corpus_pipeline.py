@@ -29,9 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component stays; rows without an id stay."""
-    found = simhash.near_duplicates(docs).where("doc_id = component").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found.hint("merge"), docs["doc_id"] == F.col("__id"), "left").where("doc_id IS NULL OR __id IS NOT NULL").select(*docs.columns)
+    """One row of each component stays, of its smallest id; rows without an id stay."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

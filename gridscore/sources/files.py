@@ -27,7 +27,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False, partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode("append" if append else "overwrite").partitionBy(*partition_by).json(path)
+    """An object a line. Where folders are made by columns, only those of the rows at hand are replaced."""
+    df.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).json(path)
 
 
 def read_samples(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -81,16 +82,20 @@ def write_texts(texts: DataFrame, path: str) -> None:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of whole files, invalid bytes replaced; path is the name where texts were written by name."""
+    """(path, value) of whole files, invalid bytes replaced; path is the name where texts were written by name. Names are strings, whatever they look like."""
     df = spark.read.text(path, wholetext=True)
-    at = F.col("name").cast("string") if "name" in df.columns else F.col("_metadata.file_path")
+    if "name" in df.columns:
+        df = spark.read.schema("value string, name string").text(path, wholetext=True)
+    at = F.col("name") if "name" in df.columns else F.col("_metadata.file_path")
     return df.select(at.alias("path"), F.make_valid_utf8("value").alias("value"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime); contents aren't read. path is the name where files were written by name."""
+    """(path, length, modificationTime); contents aren't read. path is the name where files were written by name, a string whatever it looks like."""
     df = spark.read.format("binaryFile").load(path)
-    at = F.col("name").cast("string") if "name" in df.columns else F.col("path")
+    if "name" in df.columns:
+        df = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, name string").load(path)
+    at = F.col("name") if "name" in df.columns else F.col("path")
     return df.select(at.alias("path"), "length", "modificationTime")
 
 
@@ -104,11 +109,13 @@ def read_scores(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_dataset(rows: DataFrame, path: str, source: str) -> DataFrame:
-    """rows (dataset, sample_id, image, gt_html, meta) as manifest and samples, by dataset; returns the import report."""
+    """rows (dataset, sample_id, image, gt_html, meta) as manifest and samples, by dataset; returns the import report. Other datasets at path stay."""
     rows = store(rows, new_path(rows.sparkSession, "import"))
-    rows.select("dataset", "sample_id", "image", "gt_html", F.map_concat("meta", F.create_map(F.lit("source"), F.lit(source))).alias("meta")).write.mode("overwrite").partitionBy("dataset").json(f"{path}/samples")
+    samples = rows.select("dataset", "sample_id", "image", "gt_html", F.map_concat("meta", F.create_map(F.lit("source"), F.lit(source))).alias("meta"))
+    write_jsonl(samples, f"{path}/samples", partition_by=("dataset",))
     name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    rows.select("dataset", F.col("sample_id").alias("id"), F.concat(F.lit("tables/"), name("image")).alias("image"), F.concat(F.lit("gt/"), "sample_id", F.lit(".html")).alias("gt"), F.lit(source).alias("source")).write.mode("overwrite").partitionBy("dataset").json(f"{path}/manifest")
+    manifest = rows.select("dataset", F.col("sample_id").alias("id"), F.concat(F.lit("tables/"), name("image")).alias("image"), F.concat(F.lit("gt/"), "sample_id", F.lit(".html")).alias("gt"), F.lit(source).alias("source"))
+    write_jsonl(manifest, f"{path}/manifest", partition_by=("dataset",))
     return rows.groupBy("dataset").agg(F.count("*").alias("sample_count")).withColumn("source", F.lit(source))
 
 

@@ -69,6 +69,24 @@ def test_scores_replace_their_own_run(spark, tmp_path):
     assert sorted(map(tuple, files.read_scores(spark, at, df.schema).select(*df.columns).collect())) == [("d", "a", "2", 0.9), ("d", "b", "1", 0.2), ("e", "a", "1", 0.3)]
 
 
+def test_datasets_in_one_folder(spark, tmp_path):
+    """A second dataset leaves the first; the same one again is replaced."""
+    at = str(tmp_path / "data")
+    rows = lambda d, *ids: spark.createDataFrame([(d, i, f"x/{i}.png", f"<table>{i}</table>", {"k": "v"}) for i in ids], "dataset string, sample_id string, image string, gt_html string, meta map<string,string>")
+    for d, *ids in (("A", "1", "2"), ("B", "1"), ("A", "3")):
+        assert files.write_dataset(rows(d, *ids), at, "s").first().sample_count == len(ids)
+    assert {(r.dataset, r.sample_id) for r in files.read_samples(spark, f"{at}/samples").collect()} == {("A", "3"), ("B", "1")}
+
+
+def test_names_that_look_like_numbers(spark, tmp_path):
+    names = ["0012", "12", "1e5", "2026-01-01", "true", "a b"]
+    files.write_texts(spark.createDataFrame([(n, f"text of {n}") for n in names], "name string, value string"), str(tmp_path / "t"))
+    assert {r.path: r.value for r in files.read_texts(spark, str(tmp_path / "t")).collect()} == {n: f"text of {n}" for n in names}
+    assert {r.path for r in files.list_files(spark, str(tmp_path / "t")).collect()} == set(names)
+    files.write_texts(spark.createDataFrame([("0012", "x")], "name string, value string"), str(tmp_path / "u"))
+    assert [tuple(r) for r in files.read_texts(spark, str(tmp_path / "u")).collect()] == [("0012", "x")]
+
+
 def test_shared_folder(spark):
     on = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, applicationId="test-app"))
     assert shared.shared_dir(on("local[4]")) == shared.shared_dir(on("local"))

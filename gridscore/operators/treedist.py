@@ -5,13 +5,17 @@
    put into buckets by size, and each bucket is dealt into as many slots as its share of all work asks for, so big tables spread.
 3. An Arrow function solves a slot's pairs, with and without text at once, and results are joined back by digests.
 
-The distance is the dynamic program over pairs of keyroots; insertions and deletions cost 1, a rename costs 1 if tag or spans
-differ and the share of edited content elsewhere. A pair is solved in one piece, whatever its size: none is left out.
+The distance is the dynamic program over pairs of subtrees whose roots no leftmost path continues; insertions and deletions cost 1, a
+rename costs 1 if tag or spans differ and the share of edited content elsewhere. Rows of the program are arrays: a subtree of one side meets all
+subtrees of one shape on the other at once, and pairs with a leaf have a closed form. Both trees are mirrored where rightmost paths leave less to
+do. So the work is about the product of the sizes times the depths, and memory one number for each pair of nodes. A pair is solved in one piece,
+whatever its size: none is left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +30,63 @@ _PLAIN = {ord(TAG_OPEN): "<", ord(TAG_CLOSE): ">"}
 _TOKEN = re.compile(f"{TAG_OPEN}[^{TAG_CLOSE}]*{TAG_CLOSE}|.", re.S)
 
 
-def edits(a, b) -> int:
-    """Edit distance of two sequences, without what they share at the ends."""
-    if a == b:
-        return 0
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) + len(b)
-    row = list(range(len(b) + 1))
+def edit_distances(a: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edit distance of a sequence of numbers to each row of a matrix of such sequences, of which the first `lengths` numbers count."""
+    at = np.arange(others.shape[1] + 1)
+    row = np.broadcast_to(at, (len(others), len(at)))
     for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
-def rename_cost(a: dict, b: dict, structure_only: bool, mode: str) -> float:
-    if a["tag"] != b["tag"] or a["colspan"] != b["colspan"] or a["rowspan"] != b["rowspan"]:
-        return 1.0
-    x, y = a["content"] or "", b["content"] or ""
-    if structure_only or x == y:
-        return 0.0
-    if mode == "chars":
-        x, y = x.translate(_PLAIN), y.translate(_PLAIN)
-    else:
-        x, y = _TOKEN.findall(x), _TOKEN.findall(y)
-    return edits(x, y) / max(a["size"], b["size"], 1)
-
-
-def keyroots(nodes: list[dict]) -> list[int]:
-    last = {n["leftmost"]: i for i, n in enumerate(nodes)}
-    return sorted(last.values())
+        new = np.empty_like(row)
+        new[:, 0] = i
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (others != x), out=new[:, 1:])
+        new -= at  # an insertion adds one a step, so the least over all that come before is a running minimum
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += at
+        row = new
+    return row[np.arange(len(others)), lengths]
+
+
+def content_costs(own: list[tuple[str, int]], others: list[tuple[str, int]], mode: str) -> Iterator[tuple[int, np.ndarray]]:
+    """For each distinct (content, size) of one side: its number and the rename costs to all of the other side, between cells of the same spans."""
+    numbers: dict[str, int] = {}
+    symbols = lambda x: x.translate(_PLAIN) if mode == "chars" else _TOKEN.findall(x)
+    coded = lambda x: np.array([numbers.setdefault(t, len(numbers)) for t in symbols(x)], np.int32)
+    mine, theirs = [coded(x) for x, _ in own], [coded(x) for x, _ in others]
+    sizes = np.array([n for _, n in others])
+    lengths = np.array([len(x) for x in theirs])
+    groups = []  # of like length, so that little is filled up
+    for k in np.unique(np.ceil(np.log2(lengths + 1))):
+        rows = np.flatnonzero(np.ceil(np.log2(lengths + 1)) == k)
+        filled = np.full((len(rows), lengths[rows].max()), -1, np.int32)
+        for i, r in enumerate(rows):
+            filled[i, : lengths[r]] = theirs[r]
+        groups.append((rows, filled))
+    for i, x in enumerate(mine):
+        out = np.empty(len(others))
+        for rows, filled in groups:
+            out[rows] = edit_distances(x, filled, lengths[rows])
+        yield i, out / np.maximum(np.maximum(sizes, own[i][1]), 1)
+
+
+def rename_costs(a: list[dict], b: list[dict], structure_only: bool, mode: str) -> np.ndarray:
+    """The cost of renaming each node of a tree to each of another one."""
+    kinds: dict[tuple, int] = {}
+    kind = lambda nodes: np.array([kinds.setdefault((n["tag"], n["colspan"], n["rowspan"]), len(kinds)) for n in nodes])
+    cost = (kind(a)[:, None] != kind(b)[None, :]).astype(float)
+    if structure_only:
+        return cost
+    text = lambda n: (n["content"] or "", n["size"])
+    cells = [[i for i, n in enumerate(t) if n["tag"] == "td"] for t in (a, b)]
+    own, others = ({x: k for k, x in enumerate(dict.fromkeys(text(t[i]) for i in c))} for t, c in zip((a, b), cells))
+    if not own or not others:
+        return cost
+    columns, theirs = np.array(cells[1]), np.array([others[text(b[j])] for j in cells[1]])
+    rows: dict[int, list[int]] = {}
+    for i in cells[0]:
+        rows.setdefault(own[text(a[i])], []).append(i)
+    for k, costs in content_costs(list(own), list(others), mode):
+        for i in rows[k]:
+            cost[i, columns] = np.where(cost[i, columns] == 0, costs[theirs], 1.0)
+    return cost
 
 
 def _children(nodes: list[dict]) -> list[list[dict]]:
@@ -99,47 +126,101 @@ def without_shared_ends(a: list[dict], b: list[dict]) -> tuple[list[dict], list[
     return _rooted(x[lo : len(x) - hi], a[-1]), _rooted(y[lo : len(y) - hi], b[-1])
 
 
+def _mirrored(nodes: list[dict]) -> list[dict]:
+    """The tree with all children in opposite order."""
+    n, out = len(nodes), []
+    size = [i - x["leftmost"] + 1 for i, x in enumerate(nodes)]
+    stack = [(n - 1, False)]
+    while stack:
+        i, seen = stack.pop()
+        if seen:
+            out.append({**nodes[i], "leftmost": len(out) + 1 - size[i]})
+            continue
+        stack.append((i, True))
+        children, k = [], i - 1
+        while k >= nodes[i]["leftmost"]:
+            children.append(k)
+            k = nodes[k]["leftmost"] - 1
+        stack.extend((c, False) for c in reversed(children))
+    return out
+
+
+def _roots(leftmost: np.ndarray) -> np.ndarray:
+    """Nodes with children that are no leftmost child: the roots of the subtrees that the program compares, in post-order."""
+    last = {int(first): i for i, first in enumerate(leftmost)}
+    return np.array(sorted(i for first, i in last.items() if first < i), int)
+
+
+def _work(nodes: list[dict]) -> int:
+    leftmost = np.array([n["leftmost"] for n in nodes])
+    roots = _roots(leftmost)
+    return int((roots - leftmost[roots] + 1).sum())
+
+
+def _leaf_pairs(d: np.ndarray, la: np.ndarray, lb: np.ndarray) -> None:
+    """Rename costs become distances of subtrees where either has one node: the best rename of it, or none, and insertions for the rest."""
+    leaves = [np.flatnonzero(x == np.arange(len(x))) for x in (la, lb)]
+    for m, first, own in ((d, lb, leaves[0]), (d.T, la, leaves[1])):
+        for k in range(len(first) - 1, -1, -1):  # an outer subtree before those inside it, which it reads
+            if first[k] < k:
+                for chunk in range(0, len(own), 512):
+                    rows = own[chunk : chunk + 512]
+                    m[rows, k] = np.minimum(m[rows, first[k] : k + 1].min(axis=1), 2.0) + (k - first[k])
+    for chunk in range(0, len(leaves[0]), 512):
+        at = np.ix_(leaves[0][chunk : chunk + 512], leaves[1])
+        d[at] = np.minimum(d[at], 2.0)
+
+
 def tree_distance(a: list[dict], b: list[dict], structure_only: bool = False, mode: str = "chars") -> float:
     a, b = without_shared_ends(a, b)
     if min(len(a), len(b)) == 1 and a[-1]["tag"] == b[-1]["tag"] != "td":
         return float(abs(len(a) - len(b)))
-    la, lb = [n["leftmost"] for n in a], [n["leftmost"] for n in b]
-    memo: dict = {}
-    cost = np.zeros((len(a), len(b)))
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x["tag"] == y["tag"] == "td":
-                key = (x["colspan"], x["rowspan"], x["content"], y["colspan"], y["rowspan"], y["content"])
-                if key not in memo:
-                    memo[key] = rename_cost(x, y, structure_only, mode)
-                cost[i, j] = memo[key]
-            else:
-                cost[i, j] = rename_cost(x, y, structure_only, mode)
-    rename = cost.tolist()
-    tree = [[0.0] * len(b) for _ in a]
-    for i in keyroots(a):
-        for j in keyroots(b):
-            li, lj = la[i], lb[j]
-            if li == i and lj == j:
-                tree[i][j] = min(rename[i][j], 2.0)
-                continue
-            above = [float(k) for k in range(j - lj + 2)]
-            table = [above]
-            for x in range(li, i + 1):
-                row = [table[0][0] + (x - li + 1)]
-                whole_x, cut_x = la[x] == li, la[x] - li
-                for y in range(lj, j + 1):
-                    k = y - lj
-                    best = min(above[k + 1], row[k]) + 1.0
-                    if whole_x and lb[y] == lj:
-                        best = min(best, above[k] + rename[x][y])
-                        tree[x][y] = best
-                    else:
-                        best = min(best, table[cut_x][lb[y] - lj] + tree[x][y])
-                    row.append(best)
-                table.append(row)
-                above = row
-    return tree[-1][-1]
+    x, y = _mirrored(a), _mirrored(b)
+    if _work(x) * _work(y) < _work(a) * _work(b):
+        a, b = x, y
+    la, lb = (np.array([n["leftmost"] for n in t]) for t in (a, b))
+    d = rename_costs(a, b, structure_only, mode)  # turns into distances of subtrees
+    _leaf_pairs(d, la, lb)
+    shapes: dict[tuple, list[int]] = {}
+    for j in _roots(lb).tolist():
+        shapes.setdefault((j - lb[j], (lb[lb[j] : j + 1] - lb[j]).tobytes()), []).append(j)
+    for i in _roots(la).tolist():
+        for shape in sorted(shapes):  # smaller ones first: larger ones read their distances
+            _compare(d, la, lb, i, np.array(shapes[shape]))
+    return float(d[-1, -1])
+
+
+def _compare(d: np.ndarray, la: np.ndarray, lb: np.ndarray, i: int, roots: np.ndarray) -> None:
+    """The program for the subtree at i and all subtrees of one shape at roots: distances of what lies on their leftmost paths go into d."""
+    first, start = int(la[i]), lb[roots]
+    width = int(roots[0] - start[0]) + 1
+    columns = start[:, None] + np.arange(width)
+    cut = lb[columns[0]] - start[0]  # what of a forest stands before the subtree that ends at a node
+    path = np.flatnonzero((cut == 0) & (lb[columns[0]] < columns[0]))  # nodes with children on the leftmost path
+    steps = np.arange(width + 1, dtype=float)
+    row = np.broadcast_to(steps, (len(roots), width + 1))
+    last_use = {int(la[x]) - first: x for x in range(first, i + 1)}
+    rows = {0: row}
+    for x in range(first, i + 1):
+        before = int(la[x]) - first
+        costs = d[x][columns]
+        best = rows[before][:, cut] + costs
+        new_pairs = before == 0 and la[x] < x
+        if new_pairs:
+            best[:, path] = row[:, path] + costs[:, path]
+        new = np.empty((len(roots), width + 1))
+        new[:, 0] = x - first + 1
+        np.minimum(row[:, 1:] + 1, best, out=new[:, 1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += steps
+        if new_pairs:
+            d[x, columns[:, path]] = new[:, path + 1]
+        row = new
+        if last_use[before] == x:
+            rows.pop(before)
+        if x - first + 1 in last_use:
+            rows[x - first + 1] = row
 
 
 def _in_place(pred: Column, truth: Column, mode: str) -> Column:

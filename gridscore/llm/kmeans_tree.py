@@ -256,14 +256,15 @@ def calibrated_visits(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int
 
 def search(
     rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, leaf_rows: int = 256,
-    sample_rows: int = 20_000, sample_queries: int = 128, block_rows: int = 2048, seed: int = 0,
+    sample_rows: int = 20_000, sample_queries: int = 128, block_rows: int = 8192, query_rows: int = 1024, seed: int = 0,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first, ties to smaller ids; all other rows where there are no more than k.
 
     is_query is a condition on the id, named `id`. A query's own row, with its id and vector, is no candidate; rows of its id with another
     vector are, and so are rows of other ids with its vector. Scores are inner products in double precision. See vectors_of for what takes part;
     an empty table gives an empty one. sample_rows bounds the sample of the tree (and SAMPLE_BYTES), whose leaves are at most a fourth of
-    that; beyond sample_rows / 4 * leaf_rows points leaves grow with the table.
+    that; beyond sample_rows / 4 * leaf_rows points leaves grow with the table. A task compares query_rows queries with block_rows points at a time,
+    and each query has one result of k + 1 points from a block.
     """
     spark = rows.sparkSession
     vectors = stored(vectors_of(rows, id_col, vec_col), "vectors")
@@ -302,7 +303,7 @@ def search(
     visiting = stored(asking.mapInArrow(_visits(shared, visits, told), f"h long, u long, vec {kind}, block long, leaves array<long>"), "visits")
     parts = np.maximum(1, -(-np.bincount(block_of, weights=sizes).astype(np.int64) // block_rows))
     pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "block long, np long")
-    asked_by = visiting.groupBy("block").agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+    asked_by = visiting.groupBy("block").agg(F.ceil(F.count("*") / query_rows).alias("nq"))
     blocks = stored(pieces.join(asked_by.hint("merge"), "block"), "blocks")
     where = spark.createDataFrame([(i, int(b)) for i, b in enumerate(block_of)], "leaf long, block long")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))

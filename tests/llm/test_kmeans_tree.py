@@ -54,7 +54,7 @@ def test_leaves_and_copies(spark, block_rows):
     vectors = [common if k % 3 == 0 else v for k, v in enumerate(vectors)]
     ids = [7 * k for k in range(600)]
     df = spark.createDataFrame([(i, v, 0) for i, v in zip(ids, vectors)], ROWS).repartition(5)
-    out = got(kmeans_tree.search(df, F.col("id") % 20 == 0, leaf_rows=20, block_rows=block_rows, recall=1.0, sample_queries=1000))
+    out = got(kmeans_tree.search(df, F.col("id") % 20 == 0, leaf_rows=20, block_rows=block_rows, query_rows=block_rows, recall=1.0, sample_queries=1000))
     assert out == brute(ids, vectors)
     part = got(kmeans_tree.search(df, F.col("id") % 20 == 0, leaf_rows=20, block_rows=block_rows))
     want = brute(ids, vectors)

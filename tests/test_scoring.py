@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridscore.operators import scoring
 from gridscore.operators.shred import nodes_of, parse
-from gridscore.operators.treedist import rename_cost, tree_distance
+from gridscore.operators.treedist import tree_distance
+from tests.test_treedist import rename as rename_cost
 
 SAMPLES = "dataset string, sample_id string, image string, gt_html string"
 PREDICTIONS = "dataset string, run_id string, sample_id string, seq long, html string, run_ok boolean, conversion_ok boolean, seconds double, error string"

@@ -1,7 +1,8 @@
 """HTML tables to rows and trees.
 
 Plain tables, rows of cells without attributes or inner tags, are cut by patterns inside the JVM: grid, tree and note rows are column
-expressions over them. Only the others go through an Arrow function, with a lenient parser: cells, rows and row groups
+expressions over them. Tidy tables, with attributes, row groups, spans and inline tags but nothing to repair, are shredded there too (see tidy). Only
+the others go through an Arrow function, with a lenient parser: cells, rows and row groups
 close by implication, comments are dropped, references are decoded, spans are expanded.
 A shredded table is the grid after span expansion and the tree in post-order for tree distance.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from gridscore.functions.textnorm import NOTE_ROW, let, normalize_text
 from gridscore.operators.notes import body_range
+from gridscore.operators.tidy import TAG_CLOSE, TAG_OPEN, tidy_table
+from gridscore.operators.tidy import shredded as tidy_shredded
 
 FIRST_TABLE = T.StructType([T.StructField("html", T.StringType()), T.StructField("removed", T.IntegerType())])
 NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType()), T.StructField("leftmost", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("size", T.IntegerType())])
@@ -32,8 +35,6 @@ BEFORE_TABLE = r"(?i)</?(?:html|body|div|p|br)>"
 VOID = {"br", "img", "hr", "input", "wbr", "col", "meta", "link"}
 #: A start tag ends these open elements, up to the nearest table.
 ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, **{g: {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"} for g in ("thead", "tbody", "tfoot")}}
-#: A cell's content is one string: characters, and inline tags between these two in place of < and >.
-TAG_OPEN, TAG_CLOSE = "\ue001", "\ue002"
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
@@ -362,8 +363,10 @@ def shred_tables(df: DataFrame, column: str, out: str, ignore_nodes: tuple[str,
     parsed = _arrow(SHREDDED, arrow, of)
     plain = F.lit(None).cast("string") if ignore_nodes else plain_table(F.col(column))
     rows = df.withColumn("__plain", plain)
-    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), _plain_shredded))
-    rows = rows.withColumn("__native", native.cast(SHREDDED)).withColumn("__parsed", parsed(F.when(F.col("__plain").isNull(), F.coalesce(F.col(column), F.lit("")))))
+    tidy = F.lit(None).cast("string") if ignore_nodes else F.when(F.col("__plain").isNull(), tidy_table(F.col(column), BEFORE_TABLE))
+    native = F.when(F.col("__plain").isNotNull(), let(plain_cells(F.col("__plain")), _plain_shredded)).cast(SHREDDED)
+    native = F.coalesce(native, let(tidy, lambda t: F.when(t.isNotNull(), tidy_shredded(t))).cast(SHREDDED))
+    rows = rows.withColumn("__native", native).withColumn("__parsed", parsed(F.when(F.col("__native").isNull(), F.coalesce(F.col(column), F.lit("")))))
     rows = rows.withColumn("__table", F.coalesce("__native", "__parsed"))
     nodes = F.col("__table.nodes")
     shape = F.when(nodes.isNotNull(), _hash128(*[nodes[c] for c in ("tag", "colspan", "rowspan", "leftmost")]))

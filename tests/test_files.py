@@ -121,8 +121,35 @@ def test_patterns_in_blocks(spark):
     models = spark.createDataFrame([("Qwen3:8b",), ("qwen3:30b",), ("other.x",), ("otherzx",)], "tag string")
     targets = spark.createDataFrame([("a", None, ["qwen*"]), ("b", "otherzx", None), ("c", None, ["other.?", "*8B"]), ("d", None, ["none"]), ("e", None, None)], "id string, model_tag string, model_patterns array<string>")
     want = {"a": ["Qwen3:8b", "qwen3:30b"], "b": ["otherzx"], "c": ["Qwen3:8b", "other.x"], "d": [], "e": []}
-    for block in (1, 10_000):
-        assert {r.id: r.installed for r in requests.match_models(models, targets, block).collect()} == want
+    assert {r.id: r.installed for r in requests.match_models(models, targets).collect()} == want
+    assert {(r.id, r.tag) for r in requests.installed_models(models, targets).collect()} == {(k, t) for k, ts in want.items() for t in ts}
+
+
+def test_patterns_by_grams(spark):
+    """Against trying all pairs with fnmatch: pieces of every length, ends, classes, brackets that nothing closes, patterns without a letter."""
+    import fnmatch
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abAB:.-+$^[]é7") for _ in range(n))
+    tags = sorted({word(rng.randint(0, 9)) for _ in range(400)})
+    patterns = ["*", "?", "??*", "", "a*", "*b", "*a*", "[ab]*", "[!a]?", "[", "a[", "*[]]", "[!]]*", "[a-b]b*", "*.*", "a?b", "*\\*", "^*", "*$"]
+    patterns += ["".join(rng.choice(["*", "?", "[ab]", "[!b.]", word(1), word(2), word(4)]) for _ in range(rng.randint(1, 4))) for _ in range(150)] + [f"*{t[1:-1]}*" for t in tags[::9]] + tags[::7]
+    closed = lambda p: all("[" not in x for x in p.split("]")[-1:])
+    patterns = [p for p in patterns if "&&" not in p and closed(p) or p in ("[", "a[")]
+    want = {(p, t) for p in patterns for t in tags if fnmatch.fnmatchcase(t.lower(), p.lower())}
+    met = requests.pattern_matches(spark.createDataFrame([(t,) for t in [*tags, None]], "tag string"), spark.createDataFrame([(p,) for p in [*patterns, None]], "pattern string"))
+    assert {(r.pattern, r.tag) for r in met.collect()} == want
+    assert "NestedLoop" not in met._jdf.queryExecution().toString() and "Cartesian" not in met._jdf.queryExecution().toString()
+    none = spark.createDataFrame([], "tag string")
+    assert requests.pattern_matches(none, spark.createDataFrame([("*",)], "pattern string")).collect() == []
+
+
+def test_many_patterns(spark):
+    """10,000 patterns by 200,000 tags, by counts alone; a nested loop would try two thousand million pairs."""
+    tags = spark.range(200_000).select(F.concat(F.lit("model-"), F.col("id").cast("string"), F.lit(":"), (F.col("id") % 7).cast("string"), F.lit("b")).alias("tag"))
+    patterns = spark.range(10_000).select(F.concat(F.lit("*-"), (F.col("id") * 17).cast("string"), F.lit(":?B")).alias("pattern"))
+    met = requests.pattern_matches(tags, patterns)
+    assert met.count() == 10_000
 
 
 PAGES = [

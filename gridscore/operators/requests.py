@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.runs import chat_request, generate_request, with_model_defaults
 from gridscore.sources.shared import new_path, store
+from gridscore.sources.sizes import few
 
 
 _CLASS = r"\[!?\]?[^\]]*\]"
@@ -96,6 +97,6 @@ def match_models(models: DataFrame, targets: DataFrame) -> DataFrame:
 def build_requests(pending: DataFrame, samples: DataFrame, targets: DataFrame, prompts: DataFrame) -> DataFrame:
     """A request row for each pending sample. targets: (run_id, model, kind, prompt_id, min_image_side, long_image_side, num_ctx, num_predict, max_tokens, top_k)."""
     t = targets.withColumn("s", with_model_defaults(*[F.col(c) for c in ("model", "prompt_id", "min_image_side", "long_image_side", "num_ctx")])).drop("prompt_id", "min_image_side", "long_image_side", "num_ctx").select("*", "s.*").drop("s")
-    rows = pending.join(samples.select("dataset", "sample_id", "image").hint("merge"), ["dataset", "sample_id"]).join(t.hint("merge"), "run_id").join(prompts.hint("merge"), "prompt_id")
+    rows = pending.join(samples.select("dataset", "sample_id", "image").hint("merge"), ["dataset", "sample_id"]).join(few(t), "run_id").join(few(prompts), "prompt_id")
     body = F.when(F.col("kind") == "chat", chat_request(*[F.col(c) for c in ("model", "text", "image", "max_tokens", "top_k")])).otherwise(generate_request(*[F.col(c) for c in ("model", "text", "image", "num_predict", "num_ctx")]))
     return rows.select("dataset", "run_id", "sample_id", "model", "prompt_id", "min_image_side", "long_image_side", body.alias("body"))

@@ -12,9 +12,8 @@ from gridscore.operators.ordinal import amount_before
 from gridscore.operators.shred import shred_tables
 from gridscore.operators.treedist import tree_scores
 from gridscore.operators.upsert import latest
+from gridscore.sources.sizes import few
 
-#: Lists of runs up to this length are broadcast; longer ones are joined by a shuffle.
-BROADCAST_RUNS = 100_000
 SCORE_COLUMNS = (
     "dataset", "run_id", "sample_id", "image", "teds", "teds_s", "numeric_cell_accuracy", "numeric_cells_correct", "numeric_cells_total", "cell_precision", "cell_recall", "cell_f1",
     "cell_text_correct", "pred_cells_total", "gt_cells_total", "run_ok", "conversion_ok", "run_failure", "conversion_failure", "seconds", "error",
@@ -37,19 +36,15 @@ def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | Non
     told = shred_tables(last.repartition(n, *by), "html", "p").drop("html")
     truth = shred_tables(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
     if runs is not None:
-        told = told.join(_few(runs.select("dataset", "run_id").distinct()), ["dataset", "run_id"], "left_semi")
+        told = told.join(few(runs.select("dataset", "run_id").distinct()), ["dataset", "run_id"], "left_semi")
     scored = score_pairs(told.join(truth.repartition(n, *by).hint("merge"), by), mode)
     return scored.unionByName(_missing(samples, predictions, runs))
 
 
-def _few(runs: DataFrame) -> DataFrame:
-    return F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs.hint("merge")
-
-
 def _missing(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None) -> DataFrame:
     """Score rows of samples that a run has no prediction for."""
     keys = ["dataset", "run_id", "sample_id"]
-    wanted = samples.select("dataset", "sample_id", "image").join(_few((predictions if runs is None else runs).select("dataset", "run_id").distinct()), "dataset")
+    wanted = samples.select("dataset", "sample_id", "image").join(few((predictions if runs is None else runs).select("dataset", "run_id").distinct()), "dataset")
     rows = wanted.join(predictions.select(*keys).distinct().hint("merge"), keys, "left_anti")
     no, zero, none = F.lit(False), F.lit(0.0), F.lit(0)
     values = {c: zero for c in ("teds", "teds_s", "numeric_cell_accuracy", "cell_precision", "cell_recall", "cell_f1")}

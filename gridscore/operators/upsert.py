@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridscore.sources.sizes import few
+
 
 def _ordered(kind: T.DataType) -> bool:
     """Whether values of a type can be compared."""
@@ -38,13 +40,13 @@ def completed(predictions: DataFrame) -> DataFrame:
 
 def pending_samples(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     """(dataset, run_id, sample_id) that a run of the dataset still has to do."""
-    wanted = samples.select("dataset", "sample_id").join(predictions.select("dataset", "run_id").distinct().hint("merge"), "dataset")
+    wanted = samples.select("dataset", "sample_id").join(few(predictions.select("dataset", "run_id").distinct()), "dataset")
     return wanted.join(completed(predictions).hint("merge"), ["dataset", "run_id", "sample_id"], "left_anti").select("dataset", "run_id", "sample_id")
 
 
 def run_counters(samples: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """Per dataset and run of `after`: samples skipped (complete before), attempted, and of these run_ok and with a table."""
-    wanted = samples.select("dataset", "sample_id").join(after.select("dataset", "run_id").distinct().hint("merge"), "dataset")
+    wanted = samples.select("dataset", "sample_id").join(few(after.select("dataset", "run_id").distinct()), "dataset")
     keys = ["dataset", "run_id", "sample_id"]
     rows = wanted.join(completed(before).withColumn("__done", F.lit(True)).hint("merge"), keys, "left").join(after.select(*keys, "run_ok", "conversion_ok", "html").hint("merge"), keys, "left")
     tried = F.col("__done").isNull()

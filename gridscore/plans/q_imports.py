@@ -100,24 +100,40 @@ _MANIFEST_SQL = "SELECT 'p' || page_id AS sample_id, CASE WHEN page_id % 3 <> 0
 
 
 def q_manifest_files(spark, d):
-    """The same from files, for suppliers: a manifest, a listing of images, and texts of truths, all written and read by Spark."""
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    """The same from files, for customers: a manifest, a listing of images, and texts of truths, all written and read by Spark. Names look like numbers."""
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     key = F.col("k").cast("string")
-    m = p.select("k", F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("i"), key).alias("image"), F.concat(F.lit("g"), key).alias("gt"), F.lit("crawl").alias("source"))
+    long = F.lpad(key, 12, "0")
+    m = p.select("k", F.concat(F.lit("p"), key).alias("id"), long.alias("image"), F.concat(key, F.lit("e5")).alias("gt"), F.lit("crawl").alias("source"), key.alias("number"))
     at = scratch(spark, "manifest")
     m.drop("k").write.json(f"{at}/manifest")
     files.write_texts(m.where("k % 3 <> 0").select(F.col("image").alias("name"), F.lit("x").alias("value")), f"{at}/images")
     files.write_texts(m.where("k % 5 <> 0").select(F.col("gt").alias("name"), F.concat(F.lit("<table><tr><td>"), "id", F.lit("</td></tr></table>")).alias("value")), f"{at}/truths")
     manifest = files.read_manifest(spark, f"{at}/manifest", lines=True)
-    images = files.list_files(spark, f"{at}/images").select(F.col("path").alias("image"))
-    truths = files.read_texts(spark, f"{at}/truths").select(F.col("path").alias("gt"), F.trim(F.replace("value", F.lit("\n"), F.lit(""))).alias("value"))
-    good = imports.manifest_samples(manifest, images, truths, "bench", "r1").select("sample_id", "image", "gt_html", F.col("meta")["dataset_revision"].alias("revision"), F.lit("usable").alias("state"))
+    images = files.list_packed(spark, f"{at}/images").where("length = 1").select(F.col("path").alias("image"))
+    truths = files.read_packed(spark, f"{at}/truths").select(F.col("path").alias("gt"), "value")
+    good = imports.manifest_samples(manifest, images, truths, "bench", "r1").select("sample_id", "image", "gt_html", F.col("meta")["dataset_revision"].alias("revision"), F.col("meta")["number"].alias("number"), F.lit("usable").alias("state"))
     null = F.lit(None).cast("string")
-    return good.union(imports.manifest_missing(manifest, images, truths).select("missing", null, null, null, F.lit("missing")))
+    return good.union(imports.manifest_missing(manifest, images, truths).select("missing", null, null, null, null, F.lit("missing")))
 
 
-_MANIFEST_FILES_SQL = """WITH m AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AS ok FROM supplier)
-SELECT 'p' || k AS sample_id, CASE WHEN ok THEN 'i' || k END AS image, CASE WHEN ok THEN '<table><tr><td>p' || k || '</td></tr></table>' END AS gt_html, CASE WHEN ok THEN 'r1' END AS revision, CASE WHEN ok THEN 'usable' ELSE 'missing' END AS state FROM m"""
+_MANIFEST_FILES_SQL = """WITH m AS (SELECT c_custkey AS k, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS ok FROM customer)
+SELECT 'p' || k AS sample_id, CASE WHEN ok THEN lpad(CAST(k AS VARCHAR), 12, '0') END AS image, CASE WHEN ok THEN '<table><tr><td>p' || k || '</td></tr></table>' END AS gt_html, CASE WHEN ok THEN 'r1' END AS revision,
+ CASE WHEN ok THEN CAST(k AS VARCHAR) END AS number, CASE WHEN ok THEN 'usable' ELSE 'missing' END AS state FROM m"""
+
+
+def q_json_arrays(spark, d):
+    """Arrays of orders, one for each customer, in text files: elements with objects, arrays, brackets and quotes inside them."""
+    o = table(spark, d, "orders")
+    text = F.concat(F.lit("}] \\ \" { "), "o_orderpriority", F.lit(" ["))
+    item = F.struct(F.col("o_orderkey").cast("string").alias("id"), text.alias("image"), F.struct(F.array(F.lit("[{"), F.lit("}")).alias("x"), F.col("o_orderstatus").alias("y")).alias("gt"))
+    at = scratch(spark, "arrays")
+    o.groupBy("o_custkey").agg(F.to_json(F.collect_list(item)).alias("value")).select("value").write.text(at)
+    m = files.read_manifest(spark, at)
+    return m.select(F.col("id").cast("long").alias("o_orderkey"), "image", F.get_json_object("gt", "$.y").alias("status"), F.get_json_object("gt", "$.x[0]").alias("x"))
+
+
+_JSON_ARRAYS_SQL = """SELECT o_orderkey, '}] ' || chr(92) || ' " { ' || o_orderpriority || ' [' AS image, o_orderstatus AS status, '[{' AS x FROM orders"""
 
 
 def q_page_pairs(spark, d):
@@ -154,18 +170,19 @@ _PAIRED_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 'im/' || p_part
 
 
 def q_paired_files(spark, d):
-    """Paired folders as files: images listed, truths read as whole texts, some with bytes that are no text."""
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("s"))
+    """Paired containers of orders: images listed, truths read as whole texts, some with bytes that are no text."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("s"))
     suffix = F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".gif")), (F.col("k") % 3 + 1).cast("int"))
     bad = F.when(F.col("k") % 2 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
     at = scratch(spark, "paired")
     files.write_texts(p.select(F.concat("s", suffix).alias("name"), F.lit("x").alias("value")), f"{at}/images")
     files.write_texts(p.where("k % 7 <> 0").select(F.concat("s", F.lit(".html")).alias("name"), F.concat(F.lit("<table><tr><td>"), "s", bad, F.lit("</td></tr></table>")).alias("value")), f"{at}/truths")
-    return imports.paired_samples(files.list_files(spark, f"{at}/images").select("path"), files.read_texts(spark, f"{at}/truths"), "pairs").select("sample_id", "image", "gt_html")
+    return imports.paired_samples(files.list_packed(spark, f"{at}/images").select("path"), files.read_packed(spark, f"{at}/truths"), "pairs").select("sample_id", "image", "gt_html")
 
 
-_PAIRED_FILES_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS sample_id, s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.png' ELSE '.JPG' END AS image,
- '<html><body><table><tr><td>' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN chr(65533) ELSE '' END || '</td></tr></table></body></html>' AS gt_html FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 2"""
+_PAIRED_FILES_SQL = """WITH o AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS s FROM orders)
+SELECT s AS sample_id, s || CASE WHEN k % 3 = 0 THEN '.png' ELSE '.JPG' END AS image,
+ '<html><body><table><tr><td>' || s || CASE WHEN k % 2 = 0 THEN chr(65533) ELSE '' END || '</td></tr></table></body></html>' AS gt_html FROM o WHERE k % 7 <> 0 AND k % 3 <> 2"""
 
 
 def q_items(spark, d):
@@ -189,6 +206,23 @@ def q_manifest_report(spark, d):
     return files.write_dataset(_samples(spark, d), scratch(spark, "dataset"), "html:orders")
 
 
+def q_dataset_roundtrip(spark, d):
+    """Samples written as a dataset and read back from its manifest and truths, with all that an entry tells."""
+    at = scratch(spark, "dataset")
+    files.write_dataset(_samples(spark, d), at, "html:orders")
+    names = [r.dataset for r in _samples(spark, d).select("dataset").distinct().collect()]  # five priorities
+    out = None
+    for name in sorted(names):
+        back = files.read_dataset(spark, at, name)
+        own = imports.manifest_samples(back, back.select("image"), back.select("gt", "value"), name, "r2")
+        out = own if out is None else out.union(own)
+    sized = shred_tables(out, "gt_html", "g")
+    return sized.select("dataset", "sample_id", "image", "g.n_elements", *[F.col("meta")[k].alias(k) for k in ("o_orderkey", "source", "gt", "dataset_revision")])
+
+
+_ROUNDTRIP_SQL = "SELECT dataset, sample_id, 'tables/' || sample_id || '.png' AS image, CAST(6 * (n + 1) AS INTEGER) AS n_elements, sample_id AS o_orderkey, 'html:orders' AS source, 'gt/' || sample_id || '.html' AS gt, 'r2' AS dataset_revision FROM (SELECT DISTINCT dataset, sample_id, n FROM mode)"
+
+
 def q_data_report(spark, d):
     return imports.data_report(_samples(spark, d))
 
@@ -282,20 +316,20 @@ def q_reconvert(spark, d):
 
 
 def q_reconvert_files(spark, d):
-    """Stored predictions with raw texts in files, some with bytes that are no text; a raw text that is gone leaves its row as it was."""
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("raw_path"))
+    """Stored predictions of orders with raw texts in containers, some with bytes that are no text; a raw text that is gone leaves its row as it was."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("0"), F.col("o_orderkey").cast("string")).alias("raw_path"))
     bad = F.unhex(F.lit("C3")).cast("string")
     text = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<table><tr><td>a"), bad, F.lit("</td></tr></table>"))).otherwise("|a|b|\n|---|---|\n|1|2|")
     at = scratch(spark, "raw")
     files.write_texts(p.where("k % 5 <> 0").select(F.col("raw_path").alias("name"), text.alias("value")), at)
     stored = p.select("k", "raw_path", F.lit("old").alias("html"), F.lit(False).alias("conversion_ok"), F.lit("old").alias("error"))
-    raw = files.read_texts(spark, at).select(F.col("path").alias("raw_path"), "value")
+    raw = files.read_packed(spark, at).select(F.col("path").alias("raw_path"), "value")
     return ingest.reconvert(stored, raw).select("k", "html", "conversion_ok", "error")
 
 
-_RECONVERT_FILES_SQL = """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN '<html><body><table><tr><td>a' || chr(65533) || '</td></tr></table></body></html>'
- ELSE '<html><body><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>' END AS html, s_suppkey % 5 <> 0 AS conversion_ok,
- CASE WHEN s_suppkey % 5 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'markdown_table_no_merge' END AS error FROM supplier"""
+_RECONVERT_FILES_SQL = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'old' WHEN o_orderkey % 2 = 0 THEN '<html><body><table><tr><td>a' || chr(65533) || '</td></tr></table></body></html>'
+ ELSE '<html><body><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>' END AS html, o_orderkey % 5 <> 0 AS conversion_ok,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'old' WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'markdown_table_no_merge' END AS error FROM orders"""
 
 
 def _arrivals(spark, d):
@@ -336,6 +370,8 @@ ENTRIES = {
     "reconcile_inventory": (q_reconcile, _RECONCILE_SQL),
     "src_manifest": (q_manifest, _MANIFEST_SQL),
     "src_manifest_files": (q_manifest_files, _MANIFEST_FILES_SQL),
+    "src_json_arrays": (q_json_arrays, _JSON_ARRAYS_SQL),
+    "dataset_roundtrip": (q_dataset_roundtrip, with_pairs(_ROUNDTRIP_SQL)),
     "import_page_pairs": (q_page_pairs, _PAGES_SQL),
     "import_paired": (q_paired, _PAIRED_SQL),
     "import_paired_files": (q_paired_files, _PAIRED_FILES_SQL),

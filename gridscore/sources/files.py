@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscore.operators.scoring import SUMMARY_NAMES
-from gridscore.sources.schemas import MANIFEST, PREDICTION, SAMPLE
+from gridscore.sources.arrays import read_json_array
+from gridscore.sources.schemas import PREDICTION, SAMPLE
 from gridscore.sources.shared import new_path, store
+from gridscore.sources.sizes import few
 
 
 def or_empty(read, spark: SparkSession, schema) -> DataFrame:
@@ -72,31 +74,39 @@ def summary_as_file(summary: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Manifest entries from a JSON array, or from an object a line."""
-    return spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
+    """(id, image, gt, source, record) of manifest entries, from JSON arrays of any size or from an object a line; record has all fields as texts."""
+    rows = spark.read.text(path).where(F.trim("value") != "") if lines else read_json_array(spark, path)
+    rows = rows.select(F.from_json("value", "map<string,string>").alias("record"))
+    return rows.select(*[F.col("record")[c].alias(c) for c in ("id", "image", "gt", "source")], "record")
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """texts (name, value): each in a folder of its name, as Spark lays out partitions."""
-    texts.select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
+    """texts (name, value) as containers: Parquet sorted by name, so that its statistics are the index by which a name is found. Names are strings."""
+    rows = texts.select("name", "value", F.octet_length("value").cast("long").alias("length"))
+    rows.repartitionByRange("name").sortWithinPartitions("name").write.mode("overwrite").parquet(path)
+
+
+PACKED = "name string, value string, length long"
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of the texts of write_texts, by name, invalid bytes replaced."""
+    return spark.read.schema(PACKED).parquet(path).select(F.col("name").alias("path"), F.make_valid_utf8("value").alias("value"))
+
+
+def list_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modificationTime) of the texts of write_texts; values aren't read."""
+    return spark.read.schema(PACKED).parquet(path).select(F.col("name").alias("path"), "length", F.col("_metadata.file_modification_time").alias("modificationTime"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of whole files, invalid bytes replaced; path is the name where texts were written by name. Names are strings, whatever they look like."""
-    df = spark.read.text(path, wholetext=True)
-    if "name" in df.columns:
-        df = spark.read.schema("value string, name string").text(path, wholetext=True)
-    at = F.col("name") if "name" in df.columns else F.col("_metadata.file_path")
-    return df.select(at.alias("path"), F.make_valid_utf8("value").alias("value"))
+    """(path, value) of whole files, invalid bytes replaced."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("value"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime); contents aren't read. path is the name where files were written by name, a string whatever it looks like."""
-    df = spark.read.format("binaryFile").load(path)
-    if "name" in df.columns:
-        df = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, name string").load(path)
-    at = F.col("name") if "name" in df.columns else F.col("path")
-    return df.select(at.alias("path"), "length", "modificationTime")
+    """(path, length, modificationTime) of files; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -109,14 +119,37 @@ def read_scores(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_dataset(rows: DataFrame, path: str, source: str) -> DataFrame:
-    """rows (dataset, sample_id, image, gt_html, meta) as manifest and samples, by dataset; returns the import report. Other datasets at path stay."""
+    """rows (dataset, sample_id, image, gt_html, meta) as samples, manifest, truths and import report, by dataset; returns the report.
+
+    Other datasets at path stay. read_dataset gives the rows back from the manifest and the truths.
+    """
     rows = store(rows, new_path(rows.sparkSession, "import"))
-    samples = rows.select("dataset", "sample_id", "image", "gt_html", F.map_concat("meta", F.create_map(F.lit("source"), F.lit(source))).alias("meta"))
-    write_jsonl(samples, f"{path}/samples", partition_by=("dataset",))
-    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    manifest = rows.select("dataset", F.col("sample_id").alias("id"), F.concat(F.lit("tables/"), name("image")).alias("image"), F.concat(F.lit("gt/"), "sample_id", F.lit(".html")).alias("gt"), F.lit(source).alias("source"))
-    write_jsonl(manifest, f"{path}/manifest", partition_by=("dataset",))
-    return rows.groupBy("dataset").agg(F.count("*").alias("sample_count")).withColumn("source", F.lit(source))
+    file_name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    own = F.map_from_entries(F.array(F.struct(F.lit("source").alias("key"), F.lit(source).alias("value"))))
+    meta = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(F.coalesce("meta", F.create_map().cast("map<string,string>")), k)), F.coalesce("meta", F.create_map().cast("map<string,string>")))
+    write_jsonl(rows.select("dataset", "sample_id", "image", "gt_html", meta.alias("meta")), f"{path}/samples", partition_by=("dataset",))
+
+    fixed = {"id": F.col("sample_id"), "image": F.concat(F.lit("tables/"), file_name("image")), "gt": F.concat(F.lit("gt/"), "sample_id", F.lit(".html"))}
+    first = F.map_from_arrays(F.array(*[F.lit(k) for k in fixed]), F.array(*fixed.values()))
+    record = F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(meta, k)), meta)  # fields of meta go before those of the row
+    manifest = rows.select("dataset", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+    _by_dataset(manifest).text(f"{path}/manifest")
+    truths = rows.select("dataset", fixed["gt"].alias("name"), F.coalesce("gt_html", F.lit("")).alias("value")).withColumn("length", F.octet_length("value").cast("long"))
+    _by_dataset(truths.repartitionByRange("dataset", "name").sortWithinPartitions("dataset", "name")).parquet(f"{path}/truths")
+    report = rows.groupBy("dataset").agg(F.count("*").alias("sample_count")).withColumn("source", F.lit(source))
+    write_jsonl(report, f"{path}/report", partition_by=("dataset",))
+    return report
+
+
+def _by_dataset(df: DataFrame):
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset")
+
+
+def read_dataset(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """(id, image, gt, source, record, value): the manifest of a dataset that write_dataset wrote, with its truths."""
+    manifest = read_manifest(spark, f"{path}/manifest/dataset={dataset}", lines=True)
+    truths = spark.read.schema(PACKED).parquet(f"{path}/truths/dataset={dataset}").select(F.col("name").alias("gt"), "value")
+    return manifest.join(truths.hint("merge"), "gt")
 
 
 def viewer_payload(samples: DataFrame, scores: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -124,9 +157,9 @@ def viewer_payload(samples: DataFrame, scores: DataFrame, predictions: DataFrame
 
     A run's list is its rows in id order; no row or task holds a run.
     """
-    runs = predictions.select("dataset", "run_id").distinct()
+    runs = few(predictions.select("dataset", "run_id").distinct())
     keys = ["dataset", "run_id", "sample_id"]
-    wanted = samples.select("dataset", "sample_id", "image").join(runs.hint("merge"), "dataset")
+    wanted = samples.select("dataset", "sample_id", "image").join(runs, "dataset")
     s = scores.select(*keys, "teds", "teds_s", "cell_f1", F.col("numeric_cell_accuracy").alias("numeric"))
     p = predictions.select(*keys, "run_ok", "conversion_ok", "seconds", "preprocess_profile", "backend_tag", "prompt_id", "long_image_side", "error")
     return wanted.join(p.hint("merge"), keys, "left").join(s.hint("merge"), keys, "left")

@@ -10,6 +10,7 @@ from gridscore.functions.textnorm import file_stem, file_suffix, let
 from gridscore.operators.convert import convert_responses
 from gridscore.operators.ordinal import amount_before
 from gridscore.sources.schemas import ITEM
+from gridscore.sources.sizes import few
 
 # Fixed value: the image files that are taken.
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".webp", ".bmp")
@@ -42,10 +43,11 @@ def reconcile_inventory(annotated: DataFrame, images: DataFrame, name: str = "na
 
 
 def manifest_samples(manifest: DataFrame, images: DataFrame, truths: DataFrame, dataset: str, revision: str | None = None) -> DataFrame:
-    """Entries whose image and truth exist. images: (image); truths: (gt, value)."""
-    rows = manifest.join(images.select("image").distinct().hint("merge"), "image", "left_semi").join(truths.groupBy("gt").agg(F.max("value").alias("value")).hint("merge"), "gt")
-    meta = F.create_map(F.lit("source"), "source", F.lit("dataset_revision"), F.lit(revision))
-    return rows.select(F.lit(dataset).alias("dataset"), F.col("id").alias("sample_id"), "image", F.col("value").alias("gt_html"), meta.alias("meta"))
+    """Entries whose image and truth exist. images: (image); truths: (gt, value). meta is the entry's whole record, where the manifest has it, and the revision."""
+    rows = manifest.join(images.select("image").distinct().hint("merge"), "image", "left_semi").join(truths.groupBy("gt").agg(F.max("value").alias("__truth")).hint("merge"), "gt")
+    own = F.map_filter(F.col("record"), lambda k, _: k != "dataset_revision") if "record" in manifest.columns else F.create_map(F.lit("source"), "source")
+    meta = F.map_concat(own, F.create_map(F.lit("dataset_revision"), F.lit(revision).cast("string")))
+    return rows.select(F.lit(dataset).alias("dataset"), F.col("id").alias("sample_id"), "image", F.col("__truth").alias("gt_html"), meta.alias("meta"))
 
 
 def manifest_missing(manifest: DataFrame, images: DataFrame, truths: DataFrame) -> DataFrame:
@@ -153,4 +155,4 @@ def data_report(samples: DataFrame) -> DataFrame:
 
 def report_rows(samples: DataFrame) -> DataFrame:
     """(dataset, sample_count, sample_id): the report with its ids, an id a row."""
-    return samples.select("dataset", "sample_id").join(data_report(samples).hint("merge"), "dataset").select("dataset", "sample_count", "sample_id")
+    return samples.select("dataset", "sample_id").join(few(data_report(samples)), "dataset").select("dataset", "sample_count", "sample_id")

@@ -7,5 +7,4 @@ PREDICTION = (
     "removed_caption_note_rows int, response_chars int, thinking_chars int"
 )
 TOKENS = "filename string, split string, imgid bigint, html struct<structure:struct<tokens:array<string>>,cells:array<struct<tokens:array<string>>>>"
-MANIFEST = "id string, image string, gt string, source string"
 ITEM = "id string, gt_html string, html string, table_html string, image_data_uri string, image string, src string"

@@ -78,13 +78,58 @@ def test_datasets_in_one_folder(spark, tmp_path):
     assert {(r.dataset, r.sample_id) for r in files.read_samples(spark, f"{at}/samples").collect()} == {("A", "3"), ("B", "1")}
 
 
-def test_names_that_look_like_numbers(spark, tmp_path):
-    names = ["0012", "12", "1e5", "2026-01-01", "true", "a b"]
-    files.write_texts(spark.createDataFrame([(n, f"text of {n}") for n in names], "name string, value string"), str(tmp_path / "t"))
-    assert {r.path: r.value for r in files.read_texts(spark, str(tmp_path / "t")).collect()} == {n: f"text of {n}" for n in names}
-    assert {r.path for r in files.list_files(spark, str(tmp_path / "t")).collect()} == set(names)
-    files.write_texts(spark.createDataFrame([("0012", "x")], "name string, value string"), str(tmp_path / "u"))
-    assert [tuple(r) for r in files.read_texts(spark, str(tmp_path / "u")).collect()] == [("0012", "x")]
+def test_packed_texts(spark, tmp_path):
+    """Many texts in few files; names are strings, whatever they look like."""
+    at = str(tmp_path / "t")
+    names = ["0012", "12", "1e5", "2026-01-01", "true", "a b", "a/b", "x=1"]
+    many = spark.range(100_000).select(F.format_string("%07d", "id").alias("name"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("value"))
+    files.write_texts(many.union(spark.createDataFrame([(n, f"text of {n}") for n in names], "name string, value string")), at)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) <= 20
+    back = files.read_packed(spark, at)
+    assert {r.path: r.value for r in back.where(F.col("path").isin(*names)).collect()} == {n: f"text of {n}" for n in names}
+    assert back.count() == 100_000 + len(names) == back.select("path").distinct().count()
+    listed = files.list_packed(spark, at)
+    assert {r.path: r.length for r in listed.where("path >= '0099998' AND path <= '0099999'").collect()} == {"0099998": 10, "0099999": 10}
+    assert "value" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_arrays_by_several_tasks(spark, tmp_path, indent):
+    """Objects with brackets, quotes and escapes inside, in splits of a few hundred bytes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["}", "{", "[", "]", '"', "\\", ",", ":", "é", "a", "\n"]) for _ in range(rng.randint(0, 6)))
+    made = lambda k: {"id": str(k), word() + "k": word(), "deep": [{"x": [word(), {"y": word()}]}, word()], "n": 5}
+    arrays = {"a.json": [made(k) for k in range(200)], "b.json": [], "c.json": [made(900), 7, "}{", [1], made(901)]}
+    (tmp_path / "in").mkdir()
+    for name, array in arrays.items():
+        (tmp_path / "in" / name).write_text(json.dumps(array, indent=indent, ensure_ascii=rng.random() < 0.5))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        from gridscore.sources.arrays import read_json_array
+
+        assert spark.read.text(str(tmp_path / "in"), lineSep="}").rdd.getNumPartitions() > 10
+        rows = read_json_array(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.pos)):
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(json.loads(r.value))
+    assert got == {"a.json": arrays["a.json"], "c.json": [x for x in arrays["c.json"] if isinstance(x, dict)]}
+    assert [r.pos for r in rows if r.path.endswith("c.json")] and sorted(r.pos for r in rows if r.path.endswith("a.json")) == list(range(200))
+
+
+def test_a_dataset_is_read_back(spark, tmp_path):
+    """Row for row, with meta that overrides fields, null meta and no truth."""
+    at = str(tmp_path / "d")
+    rows = [("d", "0012", "x/i.png", "<table>1</table>", {"k": "v", "source": "own"}), ("d", "12", "i2.png", None, None), ("d", "1e5", "z/i3.png", "t", {})]
+    df = spark.createDataFrame(rows, "dataset string, sample_id string, image string, gt_html string, meta map<string,string>")
+    files.write_dataset(df, at, "html:x")
+    back = {r.id: r for r in files.read_dataset(spark, at, "d").collect()}
+    assert {k: (r.image, r.gt, r.source, r.value) for k, r in back.items()} == {"0012": ("tables/i.png", "gt/0012.html", "own", "<table>1</table>"), "12": ("tables/i2.png", "gt/12.html", "html:x", ""), "1e5": ("tables/i3.png", "gt/1e5.html", "html:x", "t")}
+    assert back["0012"].record == {"id": "0012", "image": "tables/i.png", "gt": "gt/0012.html", "k": "v", "source": "own"}
+    samples = imports.manifest_samples(files.read_dataset(spark, at, "d"), spark.createDataFrame([("tables/i.png",)], "image string"), spark.createDataFrame([("gt/0012.html", "T")], "gt string, value string"), "d", None)
+    assert [(r.sample_id, r.gt_html, r.meta) for r in samples.collect()] == [("0012", "T", {**back["0012"].record, "dataset_revision": None})]
 
 
 def test_shared_folder(spark):

@@ -19,6 +19,17 @@ def cell_f1(pred: Column, truth: Column) -> Column:
     return cell_scores(correct, _total(pred), _total(truth))
 
 
+def equal_cell_f1(grid: Column) -> Column:
+    """cell_f1 of a grid and itself."""
+    return let(_total(grid), lambda n: cell_scores(n, n, n))
+
+
+def equal_numeric_accuracy(grid: Column) -> Column:
+    """numeric_accuracy of a grid and itself."""
+    numbers = lambda r: F.size(F.filter(r, lambda c: c.rlike(r"(?U)\d")))
+    return let(F.aggregate(grid, F.lit(0), lambda a, r: a + numbers(r)), lambda n: F.struct((n / F.nullif(n, F.lit(0))).alias("accuracy"), n.alias("correct"), n.alias("total")))
+
+
 def cell_scores(correct: Column, pred_total: Column, gt_total: Column) -> Column:
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     counts = F.struct(correct.alias("c"), pred_total.alias("p"), gt_total.alias("g"))

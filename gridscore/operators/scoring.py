@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.runs import short_run_label
 from gridscore.functions.textnorm import parse_flag
-from gridscore.operators.metrics import cell_f1, numeric_accuracy
+from gridscore.operators.metrics import cell_f1, equal_cell_f1, equal_numeric_accuracy, numeric_accuracy
 from gridscore.operators.ordinal import amount_before
 from gridscore.operators.shred import shred_tables
 from gridscore.operators.treedist import tree_scores
@@ -59,7 +59,10 @@ def score_pairs(pairs: DataFrame, mode: str = "chars") -> DataFrame:
     both = F.col("run_ok") & F.col("conversion_ok")
     empty = F.array().cast("array<array<string>>")
     p, g = F.coalesce("p.grid", empty), F.col("g.grid")
-    pairs = pairs.withColumn("__cells", F.when(both, cell_f1(p, g))).withColumn("__numbers", F.when(F.col("conversion_ok"), numeric_accuracy(p, g)))
+    same = F.coalesce(F.col("p.digest") == F.col("g.digest"), F.lit(False))  # equal trees have equal grids
+    cells = F.when(both & same, equal_cell_f1(g)).when(both, cell_f1(p, g))
+    numbers = F.when(F.col("conversion_ok") & same, equal_numeric_accuracy(g)).when(F.col("conversion_ok"), numeric_accuracy(p, g))
+    pairs = pairs.withColumn("__cells", cells).withColumn("__numbers", numbers)
     pairs = tree_scores(pairs, "p", "g", both, mode)
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     return pairs.withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.runs import chat_response_text, generate_response_text
 from gridscore.operators.convert import convert_responses
+from gridscore.operators.once import converted_once
 
 
 def ingest_responses(responses: DataFrame) -> DataFrame:
@@ -21,9 +22,14 @@ def ingest_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def reconvert(predictions: DataFrame, raw_texts: DataFrame) -> DataFrame:
-    """predictions with html, conversion_ok and error as the current rules make them from raw_texts (raw_path, value); rows without a raw text stay."""
-    raw = convert_responses(raw_texts.select("raw_path", "value"), "value").select("raw_path", F.col("html").alias("__html"), F.col("conversion_ok").alias("__ok"), F.col("conversion_tag").alias("__tag"))
+def reconvert(predictions: DataFrame, raw_texts: DataFrame, converted: str | None = None) -> DataFrame:
+    """predictions with html, conversion_ok and error as the current rules make them from raw_texts (raw_path, value); rows without a raw text stay.
+
+    converted: a folder where conversions are kept, by text and version of the rules; what lies there is not converted again.
+    """
+    texts = raw_texts.select("raw_path", "value")
+    raw = converted_once(texts, "value", converted) if converted else convert_responses(texts, "value")
+    raw = raw.select("raw_path", F.col("html").alias("__html"), F.col("conversion_ok").alias("__ok"), F.col("conversion_tag").alias("__tag"))
     rows = predictions.join(raw.hint("merge"), "raw_path", "left")
     found = F.col("__ok").isNotNull()
     new = {"html": "__html", "conversion_ok": "__ok", "error": "__tag"}

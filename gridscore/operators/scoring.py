@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridscore.functions.runs import short_run_label
 from gridscore.functions.textnorm import parse_flag
 from gridscore.operators.metrics import cell_f1, equal_cell_f1, equal_numeric_accuracy, numeric_accuracy
+from gridscore.operators.once import shredded_once
 from gridscore.operators.ordinal import amount_before
 from gridscore.operators.shred import shred_tables
 from gridscore.operators.treedist import tree_scores
@@ -20,21 +21,23 @@ SCORE_COLUMNS = (
 )
 
 
-def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, order_col: str = "seq", mode: str = "chars") -> DataFrame:
+def score_runs(samples: DataFrame, predictions: DataFrame, runs: DataFrame | None = None, order_col: str = "seq", mode: str = "chars", shredded: str | None = None) -> DataFrame:
     """One score row for each sample of a dataset and run of it; a missing prediction is a failed run.
 
     samples: dataset, sample_id, image, gt_html. predictions: dataset, run_id, sample_id, order_col, html, run_ok, conversion_ok, seconds,
     error; the last by order_col counts. runs: dataset, run_id; those of the predictions unless given. Tables
     are shredded once on each side and shuffled once, by sample; runs meet samples as ids only, to find what is missing. Tree and cell
     scores need a run and a conversion that succeeded; the number score needs the conversion only. Predictions without a sample are ignored.
+    shredded: a folder where shredded tables are kept, by text and version of the rules (see once); what lies there is not shredded again.
     """
+    shred = (lambda df, column, out: shredded_once(df, column, out, shredded)) if shredded else shred_tables
     by, keys = ["dataset", "sample_id"], ["dataset", "run_id", "sample_id"]
     # a pair is few bytes and much work, so the number of partitions is set and not left to coalescing by size
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = latest(predictions.select(*keys, order_col, "html", "run_ok", "conversion_ok", "seconds", "error"), keys, order_col).drop(order_col)
     last = last.withColumn("html", F.when(F.coalesce("conversion_ok", F.lit(False)), F.col("html")))
-    told = shred_tables(last.repartition(n, *by), "html", "p").drop("html")
-    truth = shred_tables(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
+    told = shred(last.repartition(n, *by), "html", "p").drop("html")
+    truth = shred(samples.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").drop("gt_html")
     if runs is not None:
         told = told.join(few(runs.select("dataset", "run_id").distinct()), ["dataset", "run_id"], "left_semi")
     scored = score_pairs(told.join(truth.repartition(n, *by).hint("merge"), by), mode)

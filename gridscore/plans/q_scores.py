@@ -64,6 +64,16 @@ def q_run_summary(spark, d):
     return rounded(scoring.run_summary(_scores(spark, d)))
 
 
+def q_rescore(spark, d):
+    """Scores of a second pass, whose tables are all taken from what the first one has kept."""
+    at = new_path(spark, "kept")
+    truth = samples(spark, d)
+    p = predictions(spark, d, truth)
+    first = scoring.score_runs(truth, p.where("run_id <> 'asia'"), dataset_runs(spark, d).where("run_id <> 'asia'"), shredded=at)
+    first.agg(F.count("*")).collect()
+    return rounded(scoring.run_summary(scoring.score_runs(truth, p, dataset_runs(spark, d), shredded=at)))
+
+
 def q_compare(spark, d):
     return rounded(scoring.compare_runs(scoring.run_summary(_scores(spark, d)), ["orders_1", "no_such_dataset"]))
 
@@ -260,6 +270,7 @@ ENTRIES = {
     "score_run": (q_score_run, with_pairs(_SCORE_SQL)),
     "score_all_runs": (lambda spark, d: q_score_run(spark, d).groupBy("run_id").agg(F.count("*").alias("tables"), F.sum("cell_text_correct").alias("correct")), with_pairs("SELECT run_id, count(*) AS tables, CAST(sum(correct) AS BIGINT) AS correct FROM scored GROUP BY run_id")),
     "run_summary": (q_run_summary, with_pairs(SUMMARY_SQL)),
+    "rescore_kept": (q_rescore, with_pairs(SUMMARY_SQL)),
     "compare_runs": (q_compare, with_pairs(SUMMARY_SQL)),
     "leaderboard_text": (q_leaderboard_text, with_pairs(_BOARD_SQL + " SELECT run_id, rank, " + ", ".join(f"printf('%.4f', round({c}, 9)) AS {c}" for c in ("teds", "teds_s", "cell_f1", "numeric", "run_fail", "conv_fail", "seconds")) + " FROM ranked")),
     "conclusions": (q_conclusions, with_pairs(_BOARD_SQL + " " + _CONCLUSIONS_SQL)),

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscore.operators.scoring import SUMMARY_NAMES
 from gridscore.sources.arrays import read_json_array
 from gridscore.sources.schemas import PREDICTION, SAMPLE
-from gridscore.sources.shared import new_path, store
+from gridscore.sources.shared import new_path, or_empty, store
 from gridscore.sources.sizes import few
 
 
-def or_empty(read, spark: SparkSession, schema) -> DataFrame:
-    """What read() gives; a path that isn't there is an empty table."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped; a path that isn't there is an empty table."""
     return or_empty(lambda: spark.read.schema(schema).json(path), spark, schema)

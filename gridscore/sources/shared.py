@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
@@ -53,6 +54,16 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def or_empty(read, spark: SparkSession, schema) -> DataFrame:
+    """What read() gives; a path that isn't there is an empty table."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder, sorted; none where there is no folder."""
     fs, at = _file_system(spark, path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gridscore.operators import ingest, scoring, upsert
+from gridscore.operators import ingest, keyed, scoring, upsert
 from gridscore.operators.shred import grid_cells, shred_tables
 from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, predictions, responses, samples, table
 from gridscore.sources import files, imports
@@ -347,6 +349,18 @@ def q_stream_latest(spark, d):
     return latest_rows(spark, path, stream.schema).select("dataset", "run_id", "seq", "value")
 
 
+def q_upsert_keyed(spark, d):
+    """Even events as a bucketed table by type and user, into which the odd ones go."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), "value")
+    keys, name = ["dataset", "run_id"], f"keyed_{uuid.uuid4().hex}"
+    keyed.create_keyed(upsert.latest(e.where("seq % 2 = 0"), keys, "seq"), name, keys, 8)
+    keyed.upsert_keyed(spark, name, e.where("seq % 2 = 1"), keys, "seq", 8)
+    return spark.table(name).select("dataset", "run_id", "seq", "value")
+
+
+_KEYED_SQL = "SELECT event_type AS dataset, CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id % 2 DESC, event_id DESC) = 1"
+
+
 def q_stream_leaderboard(spark, d):
     s = _arrivals(spark, d).select("dataset", "run_id", F.col("run_id").alias("sample_id"), "seq", *[F.col("value").alias(c) for c in ("teds", "teds_s", "cell_f1", "seconds")], F.lit(1).alias("numeric_cells_correct"), F.lit(2).alias("numeric_cells_total"), F.lit(False).alias("run_failure"), F.lit(False).alias("conversion_failure"))
     path = scratch(spark, "board")
@@ -389,5 +403,6 @@ ENTRIES = {
     "reconvert_run": (q_reconvert, with_pairs("SELECT run_id, mode, count(*) AS rows, count(*) FILTER (WHERE conv AND mode <> 4) AS converted, count(*) FILTER (WHERE mode IN (0, 4)) AS kept FROM pair GROUP BY run_id, mode")),
     "reconvert_files": (q_reconvert_files, _RECONVERT_FILES_SQL),
     "stream_latest": (q_stream_latest, _LAST),
+    "upsert_keyed": (q_upsert_keyed, _KEYED_SQL),
     "stream_leaderboard": (q_stream_leaderboard, f"WITH l AS ({_LAST}) SELECT dataset, run_id, count(*) AS tables, round(avg(value), 9) AS teds, 0.5::DOUBLE AS numeric_cell_accuracy FROM l GROUP BY dataset, run_id"),
 }

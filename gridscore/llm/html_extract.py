@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that an implied end tag doesn't reach beyond.
 FENCE = {"div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "table", "ul", "ol", "dl", "blockquote", "body", "html", "figure", "details", "fieldset"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 WORD = re.compile(r"[a-z]+")
 
@@ -47,7 +48,10 @@ def _names(attributes: str) -> frozenset[str]:
         elif m[1] == "hidden" or m[1] == "aria-hidden" and value == "true":
             found.add("hidden")
         else:
-            found.update(WORD.findall(value))
+            for name in WORD.findall(value):
+                found.add(name)
+                if len(name) > 5:  # compounds share how they begin or end
+                    found |= {f"{name[:6]}-", f"-{name[-3:]}"}
     return frozenset(found)
 
 
@@ -70,6 +74,8 @@ class Parser:
         root: frozenset[str] = frozenset()
         stack: list[tuple[str, frozenset[str]]] = []
         links = 0
+        open_tags: dict[str, int] = {}  # how many of each are on the stack: what isn't there isn't looked for
+        unended: set[str] = set()  # raw elements that no end tag follows any more
 
         def flush():
             nonlocal parts, linked
@@ -91,7 +97,9 @@ class Parser:
 
         def pop_to(k: int):
             nonlocal links
-            links -= sum(t == "a" for t, _ in stack[k:])
+            for t, _ in stack[k:]:
+                links -= t == "a"
+                open_tags[t] -= 1
             del stack[k:]
 
         def leave_head():
@@ -115,7 +123,7 @@ class Parser:
             elif tag == "br":
                 parts.append(" ")
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if open_tags.get(tag) else ():
                     if stack[k][0] == tag:
                         pop_to(k)
                         break
@@ -127,20 +135,23 @@ class Parser:
             if tag in SLASHED and attributes.rstrip().endswith("/"):
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = None if tag in unended else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end is None:
+                    unended.add(tag)
                 at = end.end() if end else at if tag in SLASHED else len(page)
                 continue
             if tag in VOID or attributes.endswith("/"):
                 continue
             if block:
                 ends = CLOSES.get(tag, {"p"})
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if open_tags.get("p") or any(open_tags.get(x) for x in ends) else ():
                     if stack[k][0] in ends or stack[k][0] == "p":
                         pop_to(k)
                         break
                     if stack[k][0] in FENCE and not (tag in CLOSES and stack[k][0] not in ("ul", "ol", "dl", "table")):
                         break
             stack.append((tag, self._child(stack[-1][1] if stack else root, tag, attributes)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             links += tag == "a"
         text(page[at:])
         flush()
@@ -280,7 +291,7 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[tuple[str, list[int]]]:
             return "".join(f'<{tag}><a href="/x">{words(1, 3)}</a></{tag}>' for _ in range(k))
 
         def clutter(where: str) -> None:
-            kind = rng.choice(["ad", "aside", "share", "notice", "form", "related", "crumbs", "sidebar", "menu"])
+            kind = rng.choice(["ad", "aside", "share", "notice", "form", "related", "crumbs", "sidebar", "menu", "bar", "cell"])
             k = rng.randint(1, 5)
             box = lambda names, body: f'<{rng.choice(["div", "section", "div"])} {rng.choice(["class", "class", "id"])}="{rng.choice(names)}">{body}</div>'
             if kind == "ad":
@@ -293,6 +304,10 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[tuple[str, list[int]]]:
                 put(f'<form class="{rng.choice(["search", "newsletter", "login", "signup", ""])}"><label>{words(1, 4)}</label><input name="q"><p>{sentence(3, 20)}</p><button>{words(1, 2)}</button></form>', 0, 0, 0)
             elif kind == "crumbs":
                 put(f'<div class="{rng.choice(["breadcrumb", "breadcrumbs", "pagination", "pager"])}"><a href="/">{words(1, 2)}</a> &gt; <a href="/y">{words(1, 2)}</a></div>', 0)
+            elif kind == "bar":  # links side by side, under any name or none
+                put(f'<div class="{rng.choice(["topbar", "navbar", "linkbar", "toplinks", "quicklinks", words(1, 1)])}">' + rng.choice([" ", " | ", " &middot; "]).join(f'<a href="/x">{words(1, 3)}</a>' for _ in range(k + 1)) + "</div>", 0)
+            elif kind == "cell":
+                put(f'<table><tr><td class="{rng.choice(["menu", "nav", "left", "sidemenu", words(1, 1)])}">' + rng.choice([" ", "<br>"]).join(f'<a href="/x">{words(1, 3)}</a>' for _ in range(k + 1)) + "</td></tr></table>", 0)
             elif kind == "menu":
                 put(f'<div class="{rng.choice(["menu", "nav", "navbar", "navigation"])}"><ul>{links(k)}</ul></div>', *[0] * k)
             else:
@@ -307,7 +322,7 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[tuple[str, list[int]]]:
             put(f"<nav><ul>{links(k)}</ul></nav>", *[0] * k)
         for _ in range(rng.randint(0, 3)):
             clutter("before")
-        tag, names = rng.choice([("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"), ("div", "post"), ("section", "entry content"), ("div", "main"), ("div", "story text")])
+        tag, names = rng.choice([("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"), ("div", "post"), ("section", "entry content"), ("div", "main"), ("div", "story text"), ("div", words(1, 1)), ("div", f"{words(1, 1)} {words(1, 1)}")])
         put(f'<{tag} class="{names}">' if names else f"<{tag}>")
         if rng.random() < 0.9:
             put(f"<h1>{prose(1, 12)}</h1>", 1)
@@ -334,9 +349,14 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[tuple[str, list[int]]]:
         put(f"</{tag}>")
         for _ in range(rng.randint(0, 3)):
             clutter("after")
-        if rng.random() < 0.35:
-            c = rng.randint(1, 4)
-            put(f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment list", "discussion", "replies"])}"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{sentence(2, 50)}</p></div>' for _ in range(c)) + f"</{t}>", 0, *[0] * c)
+        if rng.random() < 0.5:
+            c, outer = rng.randint(1, 4), rng.choice(["section", "div", "div", "ol", "ul"])
+            item = "li" if outer in ("ol", "ul") else rng.choice(["div", "div", "article"])
+            names = ["comments", "comments", "comment list", "commentlist", "comment-thread", "readercomments", "discussion", "replies", "responses"]
+            own = rng.choice(["comment", "comment", "comment body", "commentitem", "reply", ""])
+            body = "".join(f'<{item} class="{own}"><p>{sentence(2, 50)}</p></{item}>' if rng.random() < 0.8 else f'<{item} class="{own}">{sentence(2, 50)}</{item}>' for _ in range(c))
+            head = f"<h3>{words(1, 3)}</h3>" if item != "li" else ""
+            put(f'<{outer} {rng.choice(["class", "id"])}="{rng.choice(names)}">{head}{body}</{outer}>', *[0] * (c + bool(head)))
         if rng.random() < 0.85:
             put(f"<footer>&copy; {words(1, 3)} &middot; {sentence(2, 15)}</footer>", 0)
         page = "<html><head><meta charset=\"utf-8\"></head><body>" + "".join(m for m, _ in parts) + "</body></html>"
@@ -361,8 +381,14 @@ def extractor(session, field: Field):
     return extract
 
 
+@cache
+def _fitted() -> Field:
+    return Field(labelled_pages())
+
+
 def fit(pages: list[tuple[str, list[int]]] | None = None) -> Field:
-    return Field(labelled_pages() if pages is None else pages)
+    """A field of labelled pages; that of the drawn ones is fitted once for a driver."""
+    return _fitted() if pages is None else Field(pages)
 
 
 def extract_text(pages: DataFrame, field: Field, html_col: str = "html", out: str = "text") -> DataFrame:

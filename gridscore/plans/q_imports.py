@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridscore.operators import ingest, keyed, scoring, upsert
-from gridscore.operators.shred import grid_cells, shred_tables
+from gridscore.operators.shred import count_elements, grid_cells
 from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, predictions, responses, samples, table
 from gridscore.sources import files, imports
 from gridscore.sources.shared import new_path as scratch
@@ -33,7 +33,7 @@ _SAMPLES_SQL = "SELECT dataset, sample_id, 'tables/' || sample_id || '.png' AS i
 
 
 def _sized(df):
-    return shred_tables(df.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "g").select("dataset", "sample_id", "image", "g.n_elements")
+    return count_elements(df.select("dataset", "sample_id", "image", "gt_html"), "gt_html", "n_elements").drop("gt_html")
 
 
 def q_jsonl(spark, d):
@@ -218,8 +218,8 @@ def q_dataset_roundtrip(spark, d):
         back = files.read_dataset(spark, at, name)
         own = imports.manifest_samples(back, back.select("image"), back.select("gt", "value"), name, "r2")
         out = own if out is None else out.union(own)
-    sized = shred_tables(out, "gt_html", "g")
-    return sized.select("dataset", "sample_id", "image", "g.n_elements", *[F.col("meta")[k].alias(k) for k in ("o_orderkey", "source", "gt", "dataset_revision")])
+    sized = count_elements(out, "gt_html", "n_elements")
+    return sized.select("dataset", "sample_id", "image", "n_elements", *[F.col("meta")[k].alias(k) for k in ("o_orderkey", "source", "gt", "dataset_revision")])
 
 
 _ROUNDTRIP_SQL = "SELECT dataset, sample_id, 'tables/' || sample_id || '.png' AS image, CAST(6 * (n + 1) AS INTEGER) AS n_elements, sample_id AS o_orderkey, 'html:orders' AS source, 'gt/' || sample_id || '.html' AS gt, 'r2' AS dataset_revision FROM (SELECT DISTINCT dataset, sample_id, n FROM mode)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridscore.operators.shred import TAG_OPEN, grid_cells, shred_tables
+from gridscore.operators.shred import TAG_OPEN, grid_cells, shred_grids, shred_tables
 from gridscore.operators.treedist import tree_scores
 from gridscore.plans.derive import samples
 
@@ -30,7 +30,7 @@ def _tables(spark, d, groups: bool = True):
 
 
 def q_span_cells(spark, d):
-    return grid_cells(shred_tables(_tables(spark, d), "html", "t").select("k", "t.grid"), "grid", "k")
+    return grid_cells(shred_grids(_tables(spark, d).select("k", "html"), "html", "grid"), "grid", "k")
 
 
 _LINES = """l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n,

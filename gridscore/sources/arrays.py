@@ -1,19 +1,22 @@
 """JSON arrays of any size, read by several tasks.
 
-A file is read in pieces that end with a closing brace, which Spark finds within its own splits of the file. What a piece does to the state of a
-reader, inside a string or not and how deep in brackets, is known for either start from the piece alone; running sums over the
-pieces in order give each its start. An element ends where the depth is back at the array's, and is put together from its own pieces.
+A file is read in pieces that end with a closing brace, which Spark finds within its own splits of the file; pieces of a split that follow each other
+are a chunk. What a piece does to the state of a reader, inside a string or not and how deep in brackets, is known for either start from the piece
+alone, and what a chunk does for either start from running sums inside it. Sums over the chunks, a row each, give each chunk its start.
+An element ends where the depth is back at the array's. It is put together inside its chunk, and across chunks where it is in several.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridscore.operators.ordinal import amount_before
 from gridscore.sources.shared import new_path, store
+from gridscore.sources.sizes import few
 
-PLACE = ["path", "block", "at"]
+#: A chunk: pieces of a split, 2^17 at most.
+CHUNK = ["path", "block", "chunk"]
+CHUNK_BITS = 17
 #: What may stand before an element: the array's start, commas, and elements that hold no object.
 BEFORE_OBJECT = r'(?s)^(?:[^"{]++|"(?:[^"\\]++|\\.)*+")*+'
 
@@ -21,7 +24,7 @@ BEFORE_OBJECT = r'(?s)^(?:[^"{]++|"(?:[^"\\]++|\\.)*+")*+'
 def _depth(text: Column) -> Column:
     """Brackets that a text opens less those it closes, strings left out; it starts outside of a string and may end in one."""
     outside = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), '"[^"]*$', "")
-    return F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+    return F.length(F.translate(outside, "]}", "")) - F.length(F.translate(outside, "[{", ""))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -31,24 +34,41 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     compressed as a whole are read by one task each.
     """
     pieces = spark.read.text(path, lineSep="}")
-    own = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    own = store(own, new_path(spark, "pieces"))
+    at = F.monotonically_increasing_id()
+    own = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), "value")
     bare = F.regexp_replace("value", r"(?s)\\.", "")
-    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
-    inside = F.when(quotes == 0, 0).otherwise(_depth(F.regexp_replace(bare, '^[^"]*"', "")))
-    signs = own.select(*PLACE, quotes.alias("quotes"), _depth(bare).alias("if_out"), inside.alias("if_in"))
-
-    signs = amount_before(signs, PLACE[1:], F.col("quotes"), "q", within=["path"])
-    starts_in = F.col("q") % 2 == 1
-    ends_out = (F.col("q") + F.col("quotes")) % 2 == 0
-    deeper = F.when(starts_in, F.col("if_in")).otherwise(F.col("if_out")) - F.when(ends_out, 1).otherwise(0)  # the brace that ends the piece
-    signs = signs.select(*PLACE, deeper.alias("deeper"), ends_out.alias("ends_out"))
-    signs = amount_before(signs, PLACE[1:], F.col("deeper"), "depth", within=["path"])
-    ends = F.col("ends_out") & (F.col("depth") + F.col("deeper") == 1)
-    signs = amount_before(signs.select(*PLACE, ends.alias("ends")), PLACE[1:], F.col("ends").cast("int"), "pos", within=["path"])
-
-    told = signs.select(*[F.col(c).alias(f"__{c}") for c in PLACE], "pos", "ends")
-    met = own.join(told.hint("merge"), [own[c] == F.col(f"__{c}") for c in PLACE])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda p: F.concat(p["value"], F.lit("}")))
-    elements = met.groupBy("path", "pos").agg(F.array_join(parts, "").alias("value"), F.bool_or("ends").alias("whole"))
-    return elements.where("whole").select("path", "pos", F.regexp_replace("value", BEFORE_OBJECT, "").alias("value"))
+    own = own.withColumn("bare", F.when(F.contains("value", F.lit("\\")), bare).otherwise(F.col("value")))
+    quotes = F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))
+    own = own.withColumn("quotes", quotes).withColumn("if_out", _depth(F.col("bare")))
+    own = own.withColumn("if_in", F.when(F.col("quotes") == 0, 0).otherwise(_depth(F.regexp_replace("bare", '^[^"]*"', "")))).drop("bare")
+    own = own.withColumn("chunk", F.shiftright("at", CHUNK_BITS))
+
+    earlier = Window.partitionBy(*CHUNK).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    own = own.withColumn("q", before("quotes"))
+    for start in (0, 1):  # outside of a string, or inside
+        starts_in, ends_out = (F.col("q") + start) % 2 == 1, (F.col("q") + F.col("quotes") + start) % 2 == 0
+        deeper = F.when(starts_in, F.col("if_in")).otherwise(F.col("if_out")) - F.when(ends_out, 1).otherwise(0)  # the brace that ends the piece
+        own = own.withColumn(f"out{start}", ends_out).withColumn(f"deeper{start}", deeper)
+    own = own.withColumns({f"depth{start}": before(f"deeper{start}") + F.col(f"deeper{start}") for start in (0, 1)})
+    own = store(own.drop("q", "if_out", "if_in"), new_path(spark, "pieces"))
+
+    chunks = own.groupBy(*CHUNK).agg(*[F.sum(c).alias(c) for c in ("quotes", "deeper0", "deeper1")])
+    so_far = Window.partitionBy("path").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("inside", F.coalesce(F.sum("quotes").over(so_far), F.lit(0)) % 2 == 1)
+    starts = chunks.withColumn("start", F.coalesce(F.sum(F.when(F.col("inside"), F.col("deeper1")).otherwise(F.col("deeper0"))).over(so_far), F.lit(0)))
+    met = own.join(few(starts.select(*CHUNK, "inside", "start")), CHUNK)
+    now = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    met = met.select(*CHUNK, "at", "value", (now("out") & (F.col("start") + now("depth") == 1)).alias("ends"))
+
+    met = met.withColumn("nth", before(F.col("ends").cast("int")))
+    text = F.array_sort(F.collect_list(F.struct("at", "value")))
+    parts = met.groupBy(*CHUNK, "nth").agg(F.concat(F.array_join(text["value"], "}"), F.lit("}")).alias("value"), F.bool_or("ends").alias("ends"))
+    parts = store(parts, new_path(spark, "elements"))
+    counted = parts.groupBy(*CHUNK).agg(F.count_if("ends").alias("n"))
+    first = few(counted.select(*CHUNK, F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("first")))
+    parts = parts.join(first, CHUNK).withColumn("pos", F.col("first") + F.col("nth"))
+    inner = F.col("ends") & (F.col("nth") > 0)  # begins and ends in its chunk
+    rest = parts.where(~inner).groupBy("path", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "chunk", "value")))["value"], "").alias("value"), F.bool_or("ends").alias("ends"))
+    elements = parts.where(inner).select("path", "pos", "value").union(rest.where("ends").select("path", "pos", "value"))
+    return elements.select("path", "pos", F.regexp_replace("value", BEFORE_OBJECT, "").alias("value"))

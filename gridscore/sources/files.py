@@ -17,9 +17,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return or_empty(lambda: spark.read.schema(schema).json(path), spark, schema)
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False, partition_by: tuple[str, ...] = ()) -> None:
+def write_jsonl(df: DataFrame, path: str, append: bool = False, partition_by: tuple[str, ...] = (), compression: str = "none") -> None:
     """An object a line. Where folders are made by columns, only those of the rows at hand are replaced."""
-    df.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).json(path)
+    df.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*partition_by).json(path)
 
 
 def read_samples(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -110,19 +110,20 @@ def read_scores(spark: SparkSession, path: str, schema) -> DataFrame:
 def write_dataset(rows: DataFrame, path: str, source: str) -> DataFrame:
     """rows (dataset, sample_id, image, gt_html, meta) as samples, manifest, truths and import report, by dataset; returns the report.
 
-    Other datasets at path stay. read_dataset gives the rows back from the manifest and the truths.
+    Other datasets at path stay. read_dataset gives the rows back from the manifest and the truths. Samples and manifest are lines in gzip files,
+    which Spark reads as it reads others; a file is what one task wrote, and is read by one.
     """
     rows = store(rows, new_path(rows.sparkSession, "import"))
     file_name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
     own = F.map_from_entries(F.array(F.struct(F.lit("source").alias("key"), F.lit(source).alias("value"))))
     meta = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(F.coalesce("meta", F.create_map().cast("map<string,string>")), k)), F.coalesce("meta", F.create_map().cast("map<string,string>")))
-    write_jsonl(rows.select("dataset", "sample_id", "image", "gt_html", meta.alias("meta")), f"{path}/samples", partition_by=("dataset",))
+    write_jsonl(rows.select("dataset", "sample_id", "image", "gt_html", meta.alias("meta")), f"{path}/samples", partition_by=("dataset",), compression="gzip")
 
     fixed = {"id": F.col("sample_id"), "image": F.concat(F.lit("tables/"), file_name("image")), "gt": F.concat(F.lit("gt/"), "sample_id", F.lit(".html"))}
     first = F.map_from_arrays(F.array(*[F.lit(k) for k in fixed]), F.array(*fixed.values()))
     record = F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(meta, k)), meta)  # fields of meta go before those of the row
     manifest = rows.select("dataset", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
-    _by_dataset(manifest).text(f"{path}/manifest")
+    _by_dataset(manifest).option("compression", "gzip").text(f"{path}/manifest")
     truths = rows.select("dataset", fixed["gt"].alias("name"), F.coalesce("gt_html", F.lit("")).alias("value")).withColumn("length", F.octet_length("value").cast("long"))
     _by_dataset(truths.repartitionByRange("dataset", "name").sortWithinPartitions("dataset", "name")).parquet(f"{path}/truths")
     report = rows.groupBy("dataset").agg(F.count("*").alias("sample_count")).withColumn("source", F.lit(source))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridscore.operators import ingest, keyed, scoring, upsert
 from gridscore.operators.shred import count_elements, grid_cells
-from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, predictions, responses, samples, table
+from gridscore.plans.derive import PAIRS_SQL, SUMMARY_SQL, dataset_runs, keyed_samples, predictions, responses, samples, table
 from gridscore.sources import files, imports
 from gridscore.sources.shared import new_path as scratch
 from gridscore.sources.schemas import SAMPLE, TOKENS
@@ -230,8 +230,8 @@ def q_data_report(spark, d):
 
 
 def _scores(spark, d):
-    truth = samples(spark, d)
-    return scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d))
+    truth = keyed_samples(spark, d)
+    return scoring.score_runs(truth, predictions(spark, d, truth), dataset_runs(spark, d), placed=True)
 
 
 def q_predictions_file(spark, d):

@@ -235,13 +235,16 @@ def _scores(spark, d):
 
 
 def q_predictions_file(spark, d):
-    """Predictions as JSON lines, each run's odd samples appended once more with a later order; the last counts."""
-    p = predictions(spark, d).select("dataset", "run_id", "sample_id", "seq", "run_ok", "conversion_ok", "html", "seconds", "error")
+    """Predictions as JSON lines, each run's odd samples appended once more with a later order; the last counts. Rows meet without their tables."""
+    keys = ("dataset", "run_id", "sample_id")
+    p = predictions(spark, d).select(*keys, "seq", "run_ok", "conversion_ok", "html", "seconds", "error")
     at = scratch(spark, "predictions")
-    files.write_jsonl(p, at)
-    files.write_jsonl(p.where("seq % 20 >= 10").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("error", F.lit("again")), at, append=True)
-    last = upsert.latest(files.read_predictions(spark, at), ["dataset", "run_id", "sample_id"], "seq")
-    return last.groupBy("dataset", "run_id").agg(F.count("*").alias("rows"), F.count_if("run_ok").alias("run_ok"), F.count_if(F.col("error") == "again").alias("again"), F.count_if(F.col("html").startswith("<html>")).alias("tables"))
+    files.write_jsonl(p, at, compression="gzip")
+    again = files.read_predictions(spark, at).select(*p.columns).where("seq % 20 >= 10").withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("error", F.lit("again"))
+    files.write_jsonl(again, at, append=True, compression="gzip")
+    told = files.read_predictions(spark, at).select(*keys, "seq", "run_ok", "error", F.col("html").startswith("<html>").alias("table"))
+    last = upsert.latest(told, list(keys), "seq")
+    return last.groupBy("dataset", "run_id").agg(F.count("*").alias("rows"), F.count_if("run_ok").alias("run_ok"), F.count_if(F.col("error") == "again").alias("again"), F.count_if("table").alias("tables"))
 
 
 _PREDICTIONS_SQL = "SELECT dataset, run_id, count(*) AS rows, count(*) FILTER (WHERE ran) AS run_ok, count(*) FILTER (WHERE (o_orderkey * 10 + rk) % 20 >= 10) AS again, count(*) FILTER (WHERE conv) AS tables FROM pair GROUP BY dataset, run_id"

@@ -25,8 +25,7 @@ def _tables(spark, d, groups: bool = True):
 
     body = F.concat(F.lit("<tbody>"), F.array_join(F.transform("lines", row), ""), F.lit("</tbody>"))
     html = F.concat(F.lit("<table>" + _HEAD), body, F.lit(_FOOT + "</table>"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work in each row: not left to coalescing
-    return own.select("k", (html if groups else F.regexp_replace(html, "</?t(?:head|body|foot)>", "")).alias("html")).repartition(n, "k")
+    return own.select("k", (html if groups else F.regexp_replace(html, "</?t(?:head|body|foot)>", "")).alias("html"))  # samples are placed already
 
 
 def q_span_cells(spark, d):

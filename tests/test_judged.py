@@ -51,3 +51,25 @@ def test_a_layout_that_repeats_is_read_once():
     assert printable._placed(page("uvwxyz"), notes) == [["u", "v", "w"], ["x", "y", "z"]]
     assert printable._layout.cache_info().hits == 1
     assert printable._placed(page(["a", "b", "c", "d", "e", "Source: x"]), notes) == [["a", "b", "c"], ["d", "e", ""]]
+
+
+def test_converters_whose_marks_are_absent_are_not_tried(monkeypatch):
+    from gridscore.operators import printable
+
+    rule = re.compile("^(?:source|note)")
+    placed = "\n".join(f"{r}{c} [[{100 * c},{40 * r},{100 * c + 40},{40 * r + 20}]]" for r in range(3) for c in range(3))
+    tokens = "\n".join("<fcel>a b<fcel>1 <nl>" for _ in range(2))
+    want = [printable.converted(t, rule, None) for t in (placed, tokens, "no table")]
+    assert [w[1] for w in want] == ["coordinate_ocr_no_merge", "paddle_token_table_no_merge", "no_table_html"] and "<td>a b</td><td>1</td>" in want[1][0]
+    for name in ("_markdown", "_loose"):
+        monkeypatch.setattr(printable, name, lambda *_: 1 / 0)
+    assert [printable.converted(t, rule, None) for t in (placed, tokens, "no table")] == want
+
+
+def test_notes_of_a_row_are_read_once():
+    from gridscore.operators import printable
+
+    row = "<td>Source: ledger of this test</td><td></td>"
+    before = printable._only_text.cache_info().hits
+    assert [printable._only_text(row) for _ in range(3)] == ["Source: ledger of this test"] * 3
+    assert printable._only_text.cache_info().hits == before + 2

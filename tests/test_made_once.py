@@ -45,3 +45,21 @@ def test_the_payload_converts_predictions_once(spark, monkeypatch):
     monkeypatch.setattr(files, "write_viewer", lambda df, at: seen.append(df) or real(df, at))
     assert q_scores.q_payload(spark, SF).count() > 0
     assert _reads(seen[0]) == 0  # scores are stored once, with what is shown
+
+
+def test_both_passes_read_samples_that_are_stored(spark, monkeypatch):
+    seen, real = [], scoring.score_runs
+    monkeypatch.setattr(scoring, "score_runs", lambda samples, *a, **k: seen.append(samples) or real(samples, *a, **k))
+    assert q_scores.q_rescore(spark, SF).count() == 25
+    assert len(seen) == 2 and not any("lineitem" in f for df in seen for f in df.inputFiles())
+
+
+def test_texts_of_new_pairs_move_and_trees_do_not(spark, tmp_path, monkeypatch):
+    seen, real = [], scoring.tree_scores
+    monkeypatch.setattr(scoring, "tree_scores", lambda df, *a: seen.append(df) or real(df, *a))
+    samples = spark.createDataFrame([("d", str(k), "i", f"<table><tr><td>{k}</td></tr></table>") for k in range(3)], "dataset string, sample_id string, image string, gt_html string")
+    told = scoring.self_check(samples).union(scoring.self_check(samples.withColumn("gt_html", F.concat("gt_html", F.lit(" "))), "r"))
+    out = scoring.score_runs(samples, told, shredded=str(tmp_path))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.rfind("ArrowEvalPython") < plan.find("Exchange")
+    assert seen[0].count() == 6 and [r.teds for r in out.collect()] == [1.0] * 6
